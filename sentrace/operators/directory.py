@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrace.functions.columns import period_of
+from sentrace.functions.columns import period_of, struct_of
 from sentrace.operators.ordered import previous_in_order
 
+# Fixed: trait column -> name in the session features.
 TRAIT_NAMES = {
     "o": "openness",
     "c": "conscientiousness",
@@ -33,50 +34,57 @@ def snapshot_changes(
     """
     attrs = attrs or {"role": "role", "department": "dept"}
     sliced = snapshots.withColumn("_slice", F.substring(period, 1, slice_chars))
-    previous = previous_in_order(sliced, [user], [period], "_slice", {f"prev_{a}": a for a in attrs}).drop("_slice")
-    for attr, prefix in attrs.items():
-        before = F.col(f"prev_{attr}")
-        changed = before.isNotNull() & ~F.col(attr).eqNullSafe(before)
-        previous = previous.withColumn(f"{prefix}_changed", changed)
-    last = snapshots.groupBy(user).agg(F.max(period).alias(f"last_{period}"))
+    previous = previous_in_order(sliced, [user], [period], "_slice", {f"prev_{a}": a for a in attrs})
+    flags = [
+        f"prev_{a} IS NOT NULL AND NOT ({a} <=> prev_{a}) AS {prefix}_changed" for a, prefix in attrs.items()
+    ]
+    last = snapshots.groupBy(user).agg(F.expr(f"max({period}) AS last_{period}"))
     final = snapshots.agg(F.max(period)).scalar()
-    return previous.join(last, user, "left").withColumn("is_terminated", F.col(f"last_{period}") < final)
+    return (
+        previous.drop("_slice")
+        .selectExpr("*", *flags)
+        .join(last, user, "left")
+        .withColumn("is_terminated", F.col(f"last_{period}") < final)
+    )
 
 
 def snapshot_latest(history: DataFrame, *, user: str = "user_id", period: str = "ldap_month") -> DataFrame:
     """The row of the last period of each user."""
-    row = F.struct(*[c for c in history.columns if c != user])
-    return history.groupBy(user).agg(F.max_by(row, period).alias("_row")).select(user, "_row.*")
+    row = struct_of(c for c in history.columns if c != user)
+    return history.groupBy(user).agg(F.expr(f"max_by({row}, {period}) AS _row")).select(user, "_row.*")
 
 
 def enrich_directory(
     features: DataFrame,
     history: DataFrame,
     *,
-    session_period: Column | None = None,
+    session_period: str | None = None,
     period: str = "ldap_month",
     admin_role: str = "ITAdmin",
     carried: tuple[str, ...] = ("role", "department", "business_unit", "supervisor"),
 ) -> DataFrame:
     """Directory state of the period the session began in."""
-    when = session_period if session_period is not None else period_of(F.col("start_time"))
-    facts = history.select(
+    known = [c for c in carried if c in history.columns]
+    facts = history.selectExpr(
         "user_id",
-        F.col(period).alias("_period"),
-        *[c for c in carried if c in history.columns],
-        F.col("role_changed").alias("role_changed_this_month"),
-        F.col("dept_changed").alias("dept_changed_this_month"),
+        f"{period} AS _period",
+        *known,
+        "role_changed",
+        "dept_changed",
         "prev_role",
-        F.col("is_terminated").alias("user_terminated"),
+        "is_terminated",
         f"last_{period}",
     )
-    joined = features.withColumn("_period", when).join(facts, ["user_id", "_period"], "left").drop("_period")
-    no = F.lit(False)
-    return (
-        joined.withColumn("is_admin", F.when(F.col("role") == admin_role, 1).otherwise(0))
-        .withColumn("role_changed_this_month", F.coalesce("role_changed_this_month", no))
-        .withColumn("dept_changed_this_month", F.coalesce("dept_changed_this_month", no))
-        .withColumn("user_terminated", F.coalesce("user_terminated", no))
+    keyed = features.selectExpr("*", f"{session_period or period_of('start_time')} AS _period")
+    return keyed.join(facts, ["user_id", "_period"], "left").selectExpr(
+        *features.columns,
+        *known,
+        f"CASE WHEN role = '{admin_role}' THEN 1 ELSE 0 END AS is_admin",
+        "coalesce(role_changed, false) AS role_changed_this_month",
+        "coalesce(dept_changed, false) AS dept_changed_this_month",
+        "prev_role",
+        "coalesce(is_terminated, false) AS user_terminated",
+        f"last_{period}",
     )
 
 
@@ -88,23 +96,23 @@ def enrich_directory_latest(
     carried: tuple[str, ...] = ("role", "department", "business_unit"),
 ) -> DataFrame:
     """Fallback without history: the last known directory row of the user."""
-    facts = latest.select("user_id", *[c for c in carried if c in latest.columns], "is_terminated")
-    return (
-        features.join(facts, "user_id", "left")
-        .withColumn("is_admin", F.when(F.col("role") == admin_role, 1).otherwise(0))
-        .withColumn("user_terminated", F.coalesce("is_terminated", F.lit(False)))
-        .drop("is_terminated")
+    known = [c for c in carried if c in latest.columns]
+    return features.join(latest.select("user_id", *known, "is_terminated"), "user_id", "left").selectExpr(
+        *features.columns,
+        *known,
+        f"CASE WHEN role = '{admin_role}' THEN 1 ELSE 0 END AS is_admin",
+        "coalesce(is_terminated, false) AS user_terminated",
     )
 
 
 def enrich_traits(features: DataFrame, traits: DataFrame) -> DataFrame:
-    named = traits.select("user_id", *[F.col(c).alias(name) for c, name in TRAIT_NAMES.items()])
+    named = traits.selectExpr("user_id", *[f"{c} AS {name}" for c, name in TRAIT_NAMES.items()])
     return features.join(named, "user_id", "left")
 
 
 def directory_summary(features: DataFrame) -> DataFrame:
     return features.agg(
-        F.count_distinct("role").alias("distinct_roles"),
-        F.count_if("role_changed_this_month").alias("sessions_with_role_change"),
-        F.count_if("user_terminated").alias("sessions_by_terminated"),
+        F.expr("count(DISTINCT role) AS distinct_roles"),
+        F.expr("count_if(role_changed_this_month) AS sessions_with_role_change"),
+        F.expr("count_if(user_terminated) AS sessions_by_terminated"),
     )

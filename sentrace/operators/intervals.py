@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrace.functions.columns import time_bucket
+from sentrace.functions.columns import struct_of, time_bucket
 from sentrace.operators.ordered import running_sums
 
 HOUR = 3600
@@ -18,46 +16,38 @@ def sums_before(
     points: DataFrame,
     events: DataFrame,
     key: str,
-    sums: dict[str, Column],
+    sums: dict[str, str],
     *,
     point_time: str = "ts",
     event_time: str = "ts",
-    event_tie: str | None = None,
+    event_tie: str = "1",
     slice_seconds: int = HOUR,
 ) -> DataFrame:
     """Adds to each point the sums over all events of its key before the point.
 
-    Events at the very time of a point count only if their ``event_tie`` is below 0.
-    No pairs of points and events are built: both run through one ordered running sum.
+    Events at the very time of a point count only if ``event_tie`` is below 0. No pairs of
+    points and events are built: both run through one ordered running sum.
     """
     held = [c for c in points.columns if c != key]
-    point_rows = points.select(
-        F.col(key),
-        F.col(point_time).alias("_ts"),
-        F.lit(0).alias("_tie"),
-        F.struct(*held).alias("_point"),
-    )
-    measures = [c for c in events.columns if c not in (key, event_time, event_tie)]
-    event_rows = events.select(
-        F.col(key),
-        F.col(event_time).alias("_ts"),
-        (F.col(event_tie) if event_tie else F.lit(1)).alias("_tie"),
-        *measures,
+    measures = [c for c in events.columns if c not in (key, event_time)]
+    slice_of = lambda ts: f"{time_bucket(ts, slice_seconds)} AS _slice"
+    point_rows = points.selectExpr(
+        key, f"{point_time} AS _ts", slice_of(point_time), "0 AS _tie", f"{struct_of(held)} AS _point"
     )
-    stream = point_rows.unionByName(event_rows, allowMissingColumns=True).withColumn(
-        "_slice", time_bucket(F.col("_ts"), slice_seconds)
+    event_rows = events.selectExpr(
+        key, f"{event_time} AS _ts", slice_of(event_time), f"{event_tie} AS _tie", *measures
     )
-    is_point = F.col("_point").isNotNull()
-    guarded = {n: F.when(is_point, F.lit(0)).otherwise(F.coalesce(c, F.lit(0))) for n, c in sums.items()}
+    stream = point_rows.unionByName(event_rows, allowMissingColumns=True)
+    guarded = {n: f"CASE WHEN _point IS NULL THEN coalesce({text}, 0) ELSE 0 END" for n, text in sums.items()}
     out = running_sums(stream, [key], ["_ts", "_tie"], "_slice", guarded)
-    return out.where(is_point).select(key, *[F.col(f"_point.{c}").alias(c) for c in held], *sums)
+    return out.where("_point IS NOT NULL").selectExpr(key, *[f"_point.{c} AS {c}" for c in held], *sums)
 
 
 def sums_inside(
     intervals: DataFrame,
     events: DataFrame,
     key: str,
-    sums: dict[str, Column],
+    sums: dict[str, str],
     *,
     interval_id: str = "session_id",
     start: str = "start_time",
@@ -70,29 +60,20 @@ def sums_inside(
     A sum inside an interval is the sum before its end less the sum before its start, so
     the work is linear in events plus intervals, however much intervals overlap.
     """
-    bounds = intervals.select(
-        key,
-        interval_id,
-        F.inline(
-            F.array(
-                F.struct(F.col(start).alias("ts"), F.lit(-1).alias("_sign")),
-                F.struct(F.col(end).alias("ts"), F.lit(1).alias("_sign")),
-            )
-        ),
+    bounds = intervals.selectExpr(
+        key, interval_id, f"inline(array(struct({start} AS ts, -1 AS _sign), struct({end} AS ts, 1 AS _sign)))"
     )
     before = sums_before(bounds, events, key, sums, event_time=event_time, slice_seconds=slice_seconds)
-    return before.groupBy(interval_id).agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in sums])
+    return before.groupBy(interval_id).agg(*[F.expr(f"sum(_sign * {n}) AS {n}") for n in sums])
 
 
 def interval_slices(
-    intervals: DataFrame, start: str, end: str, slice_seconds: int, name: str = "_slice", *, closed: bool = False
+    intervals: DataFrame, start: str, end: str, slice_seconds: int, *, closed: bool = False
 ) -> DataFrame:
-    """One row per interval and time slice it touches."""
-    last = F.col(end) if closed else F.col(end) - F.expr("INTERVAL '0.000001' SECOND")
-    first_slice = time_bucket(F.col(start), slice_seconds)
-    return intervals.withColumn(
-        name, F.explode(F.sequence(first_slice, F.greatest(first_slice, time_bucket(last, slice_seconds))))
-    )
+    """One row per interval and time slice it touches, as ``_slice``."""
+    first = time_bucket(start, slice_seconds)
+    last = time_bucket(end if closed else f"({end} - INTERVAL '0.000001' SECOND)", slice_seconds)
+    return intervals.selectExpr("*", f"explode(sequence({first}, greatest({first}, {last}))) AS _slice")
 
 
 def events_inside(
@@ -118,45 +99,33 @@ def events_inside(
     """
     fields = [c for c in events.columns if c != key and not (match_lane and c == lane)]
     pieces = interval_slices(
-        intervals.where(F.col(end) > F.col(start)).select(key, lane, interval_id, start, end),
-        start,
-        end,
-        slice_seconds,
+        intervals.where(f"{end} > {start}").select(key, lane, interval_id, start, end), start, end, slice_seconds
     )
-    sliced = events.withColumn("_slice", time_bucket(F.col(event_time), slice_seconds))
-    event = F.struct(*fields).alias("_event")
+    event = [key, f"{time_bucket(event_time, slice_seconds)} AS _slice", f"{event_time} AS _ts"]
+    event.append(f"{struct_of(fields)} AS _event")
     if match_lane:
-        candidates = sliced.select(key, lane, "_slice", event)
+        candidates = events.selectExpr(*event, lane)
     else:
         lanes = pieces.select(key, "_slice", lane).distinct()
-        candidates = sliced.select(key, "_slice", event).join(lanes, [key, "_slice"])
-    stream = candidates.select(
-        key, lane, "_slice", F.col(f"_event.{event_time}").alias("_ts"), F.lit(1).alias("_tie"), "_event"
-    ).unionByName(
-        pieces.select(
-            key,
-            lane,
-            "_slice",
-            F.col(start).alias("_ts"),
-            F.lit(0).alias("_tie"),
-            F.struct(interval_id, end).alias("_open"),
-        ),
-        allowMissingColumns=True,
+        candidates = events.selectExpr(*event).join(lanes, [key, "_slice"])
+    marks = pieces.selectExpr(
+        key, lane, "_slice", f"{start} AS _ts", "0 AS _tie", f"{struct_of([interval_id, end])} AS _open"
     )
-    order = Window.partitionBy(key, lane, "_slice").orderBy("_ts", "_tie")
-    covering = F.last("_open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    stream = candidates.selectExpr("*", "1 AS _tie").unionByName(marks, allowMissingColumns=True)
+    covering = f"""last(_open, true) OVER (PARTITION BY {key}, {lane}, _slice ORDER BY _ts, _tie
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
     return (
-        stream.withColumn("_open", covering)
-        .where(F.col("_event").isNotNull() & (F.col("_ts") < F.col(f"_open.{end}")))
-        .select(F.col(f"_open.{interval_id}").alias(interval_id), key, *_unpack("_event", fields, match_lane, lane))
+        stream.selectExpr(key, lane, "_ts", "_event", f"{covering} AS _open")
+        .where(f"_event IS NOT NULL AND _ts < _open.{end}")
+        .selectExpr(
+            f"_open.{interval_id} AS {interval_id}",
+            key,
+            *[f"_event.{f} AS {f}" for f in fields],
+            *([lane] if match_lane else []),
+        )
     )
 
 
-def _unpack(column: str, fields: Sequence[str], match_lane: bool, lane: str) -> list[Column]:
-    out = [F.col(f"{column}.{f}").alias(f) for f in fields]
-    return [*out, F.col(lane)] if match_lane else out
-
-
 def first_per_epoch(
     events: DataFrame,
     starts: DataFrame,
@@ -173,19 +142,19 @@ def first_per_epoch(
     that value inside any interval. Distinct counts per interval stay exact while repeats
     are gone before they are matched with intervals.
     """
-    slice_of = lambda c: time_bucket(F.col(c), slice_seconds)
-    marks = starts.select(
-        key, F.col(start).alias("_ts"), slice_of(start).alias("_slice"), F.lit(1).alias("_mark")
+    marks = starts.selectExpr(
+        key, f"{start} AS _ts", f"{time_bucket(start, slice_seconds)} AS _slice", "1 AS _mark"
     )
-    rows = events.where(F.col(value).isNotNull()).select(
-        key, F.col(event_time).alias("_ts"), slice_of(event_time).alias("_slice"), F.lit(0).alias("_mark"), value
+    rows = events.where(f"{value} IS NOT NULL").selectExpr(
+        key, f"{event_time} AS _ts", f"{time_bucket(event_time, slice_seconds)} AS _slice", "0 AS _mark", value
     )
-    order = Window.partitionBy(key, "_slice").orderBy("_ts", F.col("_mark").desc())
+    epoch = f"""sum(_mark) OVER (PARTITION BY {key}, _slice ORDER BY _ts, _mark DESC
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _epoch"""
     return (
         rows.unionByName(marks, allowMissingColumns=True)
-        .withColumn("_epoch", F.sum("_mark").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("_mark") == 0)
+        .selectExpr("*", epoch)
+        .where("_mark = 0")
         .groupBy(key, "_slice", "_epoch", value)
-        .agg(F.min("_ts").alias(event_time))
+        .agg(F.expr(f"min(_ts) AS {event_time}"))
         .select(key, event_time, value)
     )

@@ -12,17 +12,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CARRY = "_carry"
-_RANK = "_carry_rank"
-HASH_BUCKET_HEX_DIGITS = 3  # 4096 slices
+from sentrace.functions.columns import struct_of
 
+HASH_SLICES = 4096  # three hex digits of a hash key
+_ALL_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
-def _window(keys: Sequence[str], order: Sequence[Column | str]):
-    spec = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return spec.orderBy(*order)
+
+def _over(keys: Sequence[str], order: Sequence[str], frame: str = "") -> str:
+    by = ", ".join(keys) or "0"
+    return f"OVER (PARTITION BY {by} ORDER BY {', '.join(order)} {frame})"
+
+
+def _neighbour(df, keys, order, slice_col, values, *, ahead: bool) -> DataFrame:
+    payload = struct_of(f"{source} AS {name}" for name, source in values.items())
+    shift, edge, rank = ("lead", "min_by", 1) if ahead else ("lag", "max_by", 0)
+    edges = df.groupBy(*keys, slice_col).agg(F.expr(f"{edge}({payload}, {struct_of(order)}) AS _edge"))
+    carry = edges.selectExpr(
+        *keys, slice_col, f"{shift}(_edge) {_over(keys, [slice_col])} AS _carry", f"{rank} AS _rank"
+    )
+    rows = df.selectExpr("*", f"{payload} AS _carry", f"{1 - rank} AS _rank")
+    inside = _over([*keys, slice_col], ["_rank", *order])
+    return (
+        rows.unionByName(carry, allowMissingColumns=True)
+        .selectExpr(*df.columns, "_rank", f"{shift}(_carry) {inside} AS _found")
+        .where(f"_rank = {1 - rank}")
+        .selectExpr(*df.columns, *[f"_found.{name} AS {name}" for name in values])
+    )
 
 
 def next_in_order(
@@ -33,52 +51,22 @@ def next_in_order(
     ``slice_col`` must not decrease along ``order``. Only the first row of each slice is
     looked at across slices.
     """
-    payload = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    heads = df.groupBy(*keys, slice_col).agg(F.min_by(payload, F.struct(*order)).alias("_head"))
-    carry = heads.select(
-        *keys,
-        slice_col,
-        F.lead("_head").over(_window(keys, [slice_col])).alias(_CARRY),
-        F.lit(1).alias(_RANK),
-    )
-    rows = df.withColumn(_CARRY, payload).withColumn(_RANK, F.lit(0))
-    inside = _window([*keys, slice_col], [_RANK, *order])
-    out = (
-        rows.unionByName(carry, allowMissingColumns=True)
-        .withColumn("_next", F.lead(_CARRY).over(inside))
-        .where(F.col(_RANK) == 0)
-    )
-    return out.select(*df.columns, *[F.col(f"_next.{name}").alias(name) for name in values])
+    return _neighbour(df, keys, order, slice_col, values, ahead=True)
 
 
 def previous_in_order(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: str, values: dict[str, str]
 ) -> DataFrame:
     """LAG counterpart of :func:`next_in_order`."""
-    payload = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    tails = df.groupBy(*keys, slice_col).agg(F.max_by(payload, F.struct(*order)).alias("_tail"))
-    carry = tails.select(
-        *keys,
-        slice_col,
-        F.lag("_tail").over(_window(keys, [slice_col])).alias(_CARRY),
-        F.lit(0).alias(_RANK),
-    )
-    rows = df.withColumn(_CARRY, payload).withColumn(_RANK, F.lit(1))
-    inside = _window([*keys, slice_col], [_RANK, *order])
-    out = (
-        rows.unionByName(carry, allowMissingColumns=True)
-        .withColumn("_previous", F.lag(_CARRY).over(inside))
-        .where(F.col(_RANK) == 1)
-    )
-    return out.select(*df.columns, *[F.col(f"_previous.{name}").alias(name) for name in values])
+    return _neighbour(df, keys, order, slice_col, values, ahead=False)
 
 
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column | str],
+    order: Sequence[str],
     slice_col: str,
-    sums: dict[str, Column],
+    sums: dict[str, str],
     *,
     totals: dict[str, str] | None = None,
     slice_descending: bool = False,
@@ -87,98 +75,98 @@ def running_sums(
 
     ``totals`` (output name -> name of a sum) adds the sum over the whole key.
     """
-    names = list(sums)
     totals = totals or {}
+    names = list(sums)
     per_slice = df.groupBy(*keys, slice_col).agg(
-        *[F.coalesce(F.sum(sums[n].cast("bigint")), F.lit(0).cast("bigint")).alias(n) for n in names]
+        *[F.expr(f"CAST(coalesce(sum({sums[n]}), 0) AS BIGINT) AS {n}") for n in names]
     )
-    slice_order = F.col(slice_col).desc() if slice_descending else F.col(slice_col).asc()
-    before = _window(keys, [slice_order]).rowsBetween(Window.unboundedPreceding, -1)
-    whole = _window(keys, [slice_order]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = [F.coalesce(F.sum(n).over(before), F.lit(0).cast("bigint")) for n in names]
-    wholes = [F.sum(n).over(whole) for n in totals.values()]
-    carry = per_slice.select(
-        *keys, slice_col, F.array(*offsets, *wholes).alias(_CARRY), F.lit(0).alias(_RANK)
-    )
-    rows = df.withColumn(_RANK, F.lit(1))
-    inside = _window([*keys, slice_col], [_RANK, *order]).rowsBetween(Window.unboundedPreceding, 0)
-    is_carry = F.col(_RANK) == 0
+    slices = [f"{slice_col} DESC" if slice_descending else slice_col]
+    before = _over(keys, slices, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    whole = _over(keys, slices, "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+    carried = [f"coalesce(sum({n}) {before}, 0L)" for n in names]
+    carried += [f"sum({n}) {whole}" for n in totals.values()]
+    carry = per_slice.selectExpr(*keys, slice_col, f"array({', '.join(carried)}) AS _carry", "0 AS _rank")
+    inside = _over([*keys, slice_col], ["_rank", *order], _ALL_BEFORE)
     running = [
-        F.sum(F.when(is_carry, F.col(_CARRY)[i]).otherwise(sums[n].cast("bigint"))).over(inside).alias(n)
+        f"sum(CASE WHEN _rank = 0 THEN _carry[{i}] ELSE CAST({sums[n]} AS BIGINT) END) {inside} AS {n}"
         for i, n in enumerate(names)
     ]
-    whole_values = [
-        F.first(F.col(_CARRY)[len(names) + i]).over(inside).alias(out) for i, out in enumerate(totals)
-    ]
+    wholes = [f"first(_carry[{len(names) + i}]) {inside} AS {out}" for i, out in enumerate(totals)]
     return (
-        rows.unionByName(carry, allowMissingColumns=True)
-        .select(*df.columns, _RANK, *running, *whole_values)
-        .where(F.col(_RANK) == 1)
-        .drop(_RANK)
+        df.selectExpr("*", "1 AS _rank")
+        .unionByName(carry, allowMissingColumns=True)
+        .selectExpr(*df.columns, "_rank", *running, *wholes)
+        .where("_rank = 1")
+        .drop("_rank")
     )
 
 
 def ordinal(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], slice_col: str, name: str = "_n"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    slice_col: str,
+    name: str = "_n",
+    *,
+    total: str | None = None,
 ) -> DataFrame:
-    """1-based ROW_NUMBER over ``keys`` in ``order``."""
-    return running_sums(df, keys, order, slice_col, {name: F.lit(1)})
+    """1-based ROW_NUMBER over ``keys`` in ``order``, and on request the row count of the key."""
+    return running_sums(df, keys, order, slice_col, {name: "1"}, totals={total: name} if total else None)
 
 
 def trailing(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column | str],
+    order: Sequence[str],
     slice_col: str,
     length: int,
-    aggregates: dict[str, callable],
+    aggregates: dict[str, str],
     block: int = 4096,
 ) -> DataFrame:
     """Aggregates over the current and the ``length - 1`` rows before it, per key.
 
     Rows are numbered per key, cut into blocks of at least ``length`` rows, and the last
     ``length - 1`` rows of a block are copied to the next one, so a task holds at most
-    ``block + length`` rows whatever the size of the key. ``aggregates`` maps an output
-    name to a function that takes the window and gives the column.
+    ``block + length`` rows of a key whatever the size of the key.
     """
     block = max(block, length)
-    numbered = ordinal(df, keys, order, slice_col, "_n")
-    own = F.floor((F.col("_n") - 1) / F.lit(block)).cast("bigint")
-    place = (F.col("_n") - 1) % F.lit(block)
-    targets = F.when(place >= block - (length - 1), F.array(own, own + 1)).otherwise(F.array(own))
-    copies = numbered.withColumn("_own", own).withColumn("_block", F.explode(targets))
-    frame = _window([*keys, "_block"], ["_n"]).rowsBetween(-(length - 1), 0)
+    place = f"(_n - 1) % {block}"
+    numbered = ordinal(df, keys, order, slice_col, "_n").selectExpr("*", f"(_n - 1) div {block} AS _own")
+    copies = numbered.selectExpr(
+        "*",
+        f"explode(CASE WHEN {place} >= {block - (length - 1)} THEN array(_own, _own + 1) ELSE array(_own) END)"
+        " AS _block",
+    )
+    frame = _over([*keys, "_block"], ["_n"], f"ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW")
     return (
-        copies.select("*", *[make(frame).alias(name) for name, make in aggregates.items()])
-        .where(F.col("_block") == F.col("_own"))
+        copies.selectExpr("*", *[f"{aggregate} {frame} AS {name}" for name, aggregate in aggregates.items()])
+        .where("_block = _own")
         .drop("_own", "_block", "_n")
     )
 
 
-def with_value_slices(df: DataFrame, value: str, slices: int = 256, name: str = "_slice") -> DataFrame:
-    """Adds slices of about equal size along ``value``.
+def with_value_slices(
+    df: DataFrame, value: str, keys: Sequence[str] = (), slices: int = 256, name: str = "_slice"
+) -> DataFrame:
+    """Adds slices of about equal size along ``value``, within each of a few ``keys``.
 
-    The cut points come from one quantile sketch, read as a scalar subquery: at most
-    ``slices`` numbers whatever the size of the data.
+    The cut points come from one quantile sketch per key: at most ``slices`` numbers per
+    key whatever the size of the data. Without keys they are read as a scalar subquery.
     """
-    fractions = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(value, fractions, slices * 20)).scalar()
-    return (
-        df.withColumn("_cuts", cuts)
-        .withColumn(
-            name,
-            F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col(value))), F.lit(0)).cast("bigint"),
-        )
-        .drop("_cuts")
-    )
+    fractions = ", ".join(str(i / slices) for i in range(1, slices))
+    sketch = f"percentile_approx({value}, array({fractions}), {slices * 20})"
+    number = f"CAST(coalesce(size(filter(_cuts, cut -> cut <= {value})), 0) AS BIGINT) AS {name}"
+    if keys:
+        with_cuts = df.join(df.groupBy(*keys).agg(F.expr(f"{sketch} AS _cuts")), list(keys))
+    else:
+        with_cuts = df.withColumn("_cuts", df.agg(F.expr(sketch)).scalar())
+    return with_cuts.selectExpr(*df.columns, number)
 
 
-def hash_key(id_col: Column | str, seed: int) -> Column:
+def hash_key(id_col: str, seed: int) -> str:
     """Reproducible pseudo-random key of a row: hex MD5 of id and seed."""
-    column = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.md5(F.concat(column.cast("string"), F.lit(f":{seed}")))
+    return f"md5(CAST(concat(CAST({id_col} AS STRING), ':{seed}') AS BINARY))"
 
 
-def hash_slice(key: Column | str) -> Column:
-    column = F.col(key) if isinstance(key, str) else key
-    return F.conv(F.substring(column, 1, HASH_BUCKET_HEX_DIGITS), 16, 10).cast("bigint")
+def hash_slice(key: str) -> str:
+    return f"CAST(conv(substring({key}, 1, 3), 16, 10) AS BIGINT)"

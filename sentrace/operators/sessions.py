@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrace.functions import columns as C
 from sentrace.operators.intervals import DAY, HOUR, events_inside, first_per_epoch, sums_inside
 from sentrace.operators.ordered import next_in_order
 
-WEEKEND_DAYS = (0, 6)
 DEFAULT_DOMAIN = "@dtaa.com"
 COUNT_MODES = ("true", "compat")
 # The count of a log that becomes 1 instead of 0 in an event-less session in compat mode.
@@ -45,31 +44,27 @@ def sessions(
     ends it too unless it is more than ``max_gap`` away; then, and when nothing follows,
     the session lasts ``cap``. Sessions without positive length are dropped.
     """
-    ordered = logon.select("id", "date", "user_id", "pc", "activity").withColumn(
-        "_slice", C.time_bucket(F.col("date"), slice_seconds)
+    ordered = logon.selectExpr(
+        "id", "date", "user_id", "pc", "activity", f"{C.time_bucket('date', slice_seconds)} AS _slice"
     )
     following = next_in_order(
         ordered, ["user_id", "pc"], ["date", "id"], "_slice", {"next_time": "date", "next_activity": "activity"}
     )
-    start, nxt = F.col("date"), F.col("next_time")
-    capped = start + F.expr(f"INTERVAL {cap}")
-    end = (
-        F.when(F.col("next_activity").isin("Logoff", "Logon"), nxt)
-        .when(nxt.isNull(), capped)
-        .when(nxt - start > F.expr(f"INTERVAL {max_gap}"), capped)
-        .otherwise(nxt)
-    )
-    day = F.dayofweek("start_time") - 1
-    hour = F.hour("start_time")
+    end = f"""CASE WHEN next_activity IN ('Logoff', 'Logon') THEN next_time
+        WHEN next_time IS NULL OR next_time - date > INTERVAL {max_gap} THEN date + INTERVAL {cap}
+        ELSE next_time END"""
     return (
-        following.where(F.col("activity") == "Logon")
-        .select(F.col("id").alias("session_id"), "user_id", "pc", start.alias("start_time"), end.alias("end_time"))
-        .where(F.col("end_time") > F.col("start_time"))
-        .withColumn("duration_minutes", C.minutes_between(F.col("start_time"), F.col("end_time")))
-        .withColumn("start_hour", hour)
-        .withColumn("day_of_week", day)
-        .withColumn("is_weekend", F.when(day.isin(*WEEKEND_DAYS), 1).otherwise(0))
-        .withColumn("is_after_hours", F.when((hour < 6) | (hour >= 18), 1).otherwise(0))
+        following.where("activity = 'Logon'")
+        .selectExpr("id AS session_id", "user_id", "pc", "date AS start_time", f"{end} AS end_time")
+        .where("end_time > start_time")
+        .selectExpr(
+            "*",
+            f"{C.minutes_between('start_time', 'end_time')} AS duration_minutes",
+            "hour(start_time) AS start_hour",
+            "dayofweek(start_time) - 1 AS day_of_week",
+            "CASE WHEN dayofweek(start_time) IN (1, 7) THEN 1 ELSE 0 END AS is_weekend",
+            "CASE WHEN hour(start_time) < 6 OR hour(start_time) >= 18 THEN 1 ELSE 0 END AS is_after_hours",
+        )
     )
 
 
@@ -80,78 +75,81 @@ def events_in_session(
     return events_inside(sessions, events, match_lane=match_pc, slice_seconds=slice_seconds)
 
 
-# One narrow row per event: bit flags for the counted conditions plus the summed values.
-def _flag_bits(conditions: list[Column]) -> Column:
-    bits = [F.when(cond, F.lit(1 << i)).otherwise(F.lit(0)) for i, cond in enumerate(conditions)]
-    return reduce(lambda a, b: a + b, bits)
-
-
-def _bit(index: int) -> Column:
-    return F.getbit(F.col("flags"), F.lit(index))
-
+# Each log becomes narrow rows (user, date, bit flags of the counted conditions, summed
+# values); bits of different logs do not overlap, so the logs can share one pass.
+_DEVICE_BITS, _HTTP_BITS, _EMAIL_BITS, _FILE_BITS = 0, 3, 4, 8
 
-def _device_conditions() -> list[Column]:
-    return [F.lit(True), F.col("activity") == "Connect", F.col("activity") == "Disconnect"]
+_DEVICE_CONDITIONS = ("true", "activity = 'Connect'", "activity = 'Disconnect'")
+_HTTP_CONDITIONS = ("true",)
+_FILE_CONDITIONS = (
+    "true",
+    C.is_exe("filename"),
+    C.is_doc("filename"),
+    C.is_pdf("filename"),
+    C.is_archive("filename"),
+)
 
 
-def _email_conditions(domain: str) -> list[Column]:
-    user, to = F.col("user_id"), F.col("to_addr")
-    return [
-        F.lit(True),
-        C.mail_sent(user, F.col("from_addr")),
-        C.mail_received(user, to, F.col("cc_addr"), F.col("bcc_addr")),
-        C.mail_external(to, domain),
-    ]
+def _email_conditions(domain: str) -> tuple[str, ...]:
+    return (
+        "true",
+        C.mail_sent("user_id", "from_addr"),
+        C.mail_received("user_id", "to_addr", "cc_addr", "bcc_addr"),
+        C.mail_external("to_addr", domain),
+    )
 
 
-def _file_conditions() -> list[Column]:
-    name = F.col("filename")
-    return [F.lit(True), C.is_exe(name), C.is_doc(name), C.is_pdf(name), C.is_archive(name)]
+def _bit(index: int) -> str:
+    return f"getbit(flags, {index})"
 
 
-def _email_event_columns(shift: int) -> dict[str, Column]:
-    return {
-        "email_count": _bit(shift),
-        "emails_sent": _bit(shift + 1),
-        "emails_received": _bit(shift + 2),
-        "total_attachments": F.col("attachments"),
-        "total_email_size": F.col("size"),
-        "external_email_count": _bit(shift + 3),
-    }
+_DEVICE_SUMS = {c: _bit(_DEVICE_BITS + i) for i, c in enumerate(DEVICE_COLUMNS)}
+_HTTP_SUMS = {"http_request_count": _bit(_HTTP_BITS)}
+_FILE_SUMS = {c: _bit(_FILE_BITS + i) for i, c in enumerate(FILE_COLUMNS)}
+_EMAIL_SUMS = {
+    "email_count": _bit(_EMAIL_BITS),
+    "emails_sent": _bit(_EMAIL_BITS + 1),
+    "emails_received": _bit(_EMAIL_BITS + 2),
+    "total_attachments": "attachments",
+    "total_email_size": "size",
+    "external_email_count": _bit(_EMAIL_BITS + 3),
+}
 
 
-def _flagged(log: DataFrame, conditions: list[Column], shift: int = 0, *extra: str) -> DataFrame:
-    flags = F.shiftleft(_flag_bits(conditions), shift).cast("int")
-    return log.select("user_id", "date", flags.alias("flags"), *extra)
+def _flagged(log: DataFrame, conditions: tuple[str, ...], first_bit: int, *extra: str) -> DataFrame:
+    bits = [f"CASE WHEN {c} THEN {1 << (first_bit + i)} ELSE 0 END" for i, c in enumerate(conditions)]
+    return log.selectExpr("user_id", "date", f"{' + '.join(bits)} AS flags", *extra)
 
 
 def _counted(sessions: DataFrame, counts: DataFrame, columns: tuple[str, ...], count_mode: str) -> DataFrame:
+    """All sessions with 0 for what was not found; 1 for totals in compat mode."""
     if count_mode not in COUNT_MODES:
         raise ValueError(f"count_mode must be one of {COUNT_MODES}")
-    out = sessions.select("session_id").join(counts, "session_id", "left")
     least = {c: 1 if count_mode == "compat" and c in TOTALS else 0 for c in columns}
-    return out.select(
-        "session_id",
-        *[F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(least[c])).cast("bigint").alias(c) for c in columns],
+    held = [c for c in sessions.columns]
+    return sessions.join(counts, "session_id", "left").selectExpr(
+        *held, *[f"CAST(greatest(coalesce({c}, 0), {least[c]}) AS BIGINT) AS {c}" for c in columns]
     )
 
 
+def _log_counts(sessions, log, conditions, first_bit, sums, count_mode, slice_seconds, *extra) -> DataFrame:
+    events = _flagged(log, conditions, first_bit, *extra)
+    found = sums_inside(sessions, events, "user_id", sums, slice_seconds=slice_seconds)
+    return _counted(sessions.select("session_id"), found, tuple(sums), count_mode)
+
+
 def session_device(
     sessions: DataFrame, device: DataFrame, *, count_mode: str = "true", slice_seconds: int = HOUR
 ) -> DataFrame:
-    sums = {c: _bit(i) for i, c in enumerate(DEVICE_COLUMNS)}
-    found = sums_inside(
-        sessions, _flagged(device, _device_conditions()), "user_id", sums, slice_seconds=slice_seconds
+    return _log_counts(
+        sessions, device, _DEVICE_CONDITIONS, _DEVICE_BITS, _DEVICE_SUMS, count_mode, slice_seconds
     )
-    return _counted(sessions, found, DEVICE_COLUMNS, count_mode)
 
 
 def session_file(
     sessions: DataFrame, file: DataFrame, *, count_mode: str = "true", slice_seconds: int = HOUR
 ) -> DataFrame:
-    sums = {c: _bit(i) for i, c in enumerate(FILE_COLUMNS)}
-    found = sums_inside(sessions, _flagged(file, _file_conditions()), "user_id", sums, slice_seconds=slice_seconds)
-    return _counted(sessions, found, FILE_COLUMNS, count_mode)
+    return _log_counts(sessions, file, _FILE_CONDITIONS, _FILE_BITS, _FILE_SUMS, count_mode, slice_seconds)
 
 
 def session_email(
@@ -162,31 +160,28 @@ def session_email(
     domain: str = DEFAULT_DOMAIN,
     slice_seconds: int = HOUR,
 ) -> DataFrame:
-    events = _flagged(email, _email_conditions(domain), 0, "attachments", "size")
-    found = sums_inside(sessions, events, "user_id", _email_event_columns(0), slice_seconds=slice_seconds)
-    return _counted(sessions, found, EMAIL_COLUMNS, count_mode)
+    conditions = _email_conditions(domain)
+    return _log_counts(
+        sessions, email, conditions, _EMAIL_BITS, _EMAIL_SUMS, count_mode, slice_seconds, "attachments", "size"
+    )
 
 
 def session_hosts(sessions: DataFrame, http: DataFrame, *, slice_seconds: int = HOUR) -> DataFrame:
     """Distinct web hosts per session, for the sessions that have any."""
-    visits = http.select("user_id", "date", C.url_host(F.col("url")).alias("host"))
+    visits = http.selectExpr("user_id", "date", f"{C.url_host('url')} AS host")
     firsts = first_per_epoch(visits, sessions, "host", slice_seconds=slice_seconds)
     pairs = events_inside(sessions, firsts, slice_seconds=slice_seconds)
-    return pairs.groupBy("session_id").agg(F.count_distinct("host").alias("unique_domains"))
+    return pairs.groupBy("session_id").agg(F.expr("count(DISTINCT host) AS unique_domains"))
 
 
 def session_http(
     sessions: DataFrame, http: DataFrame, *, count_mode: str = "true", slice_seconds: int = HOUR
 ) -> DataFrame:
-    requests = sums_inside(
-        sessions,
-        _flagged(http, [F.lit(True)]),
-        "user_id",
-        {"http_request_count": _bit(0)},
-        slice_seconds=slice_seconds,
-    )
+    events = _flagged(http, _HTTP_CONDITIONS, _HTTP_BITS)
+    requests = sums_inside(sessions, events, "user_id", _HTTP_SUMS, slice_seconds=slice_seconds)
     hosts = session_hosts(sessions, http, slice_seconds=slice_seconds)
-    return _counted(sessions, requests.join(hosts, "session_id", "left"), HTTP_COLUMNS, count_mode)
+    counts = requests.join(hosts, "session_id", "left")
+    return _counted(sessions.select("session_id"), counts, HTTP_COLUMNS, count_mode)
 
 
 def session_features(
@@ -201,42 +196,27 @@ def session_features(
     slice_seconds: int = HOUR,
 ) -> DataFrame:
     """Sessions with all activity counts; the four logs pass one shuffle together."""
-    groups = [
-        (device, _device_conditions(), ()),
-        (http, [F.lit(True)], ()),
-        (email, _email_conditions(domain), ("attachments", "size")),
-        (file, _file_conditions(), ()),
+    logs = [
+        _flagged(device, _DEVICE_CONDITIONS, _DEVICE_BITS),
+        _flagged(http, _HTTP_CONDITIONS, _HTTP_BITS),
+        _flagged(email, _email_conditions(domain), _EMAIL_BITS, "attachments", "size"),
+        _flagged(file, _FILE_CONDITIONS, _FILE_BITS),
     ]
-    shifts, shift = [], 0
-    for _, conditions, _ in groups:
-        shifts.append(shift)
-        shift += len(conditions)
-    logs = [_flagged(log, cond, at, *extra) for (log, cond, extra), at in zip(groups, shifts)]
     events = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)
-    sums = {
-        **{c: _bit(shifts[0] + i) for i, c in enumerate(DEVICE_COLUMNS)},
-        "http_request_count": _bit(shifts[1]),
-        **_email_event_columns(shifts[2]),
-        **{c: _bit(shifts[3] + i) for i, c in enumerate(FILE_COLUMNS)},
-    }
-    counts = sums_inside(sessions, events, "user_id", sums, slice_seconds=slice_seconds).join(
-        session_hosts(sessions, http, slice_seconds=slice_seconds), "session_id", "left"
-    )
+    sums = {**_DEVICE_SUMS, **_HTTP_SUMS, **_EMAIL_SUMS, **_FILE_SUMS}
+    counts = sums_inside(sessions, events, "user_id", sums, slice_seconds=slice_seconds)
+    hosts = session_hosts(sessions, http, slice_seconds=slice_seconds)
     columns = (*DEVICE_COLUMNS, *HTTP_COLUMNS, *EMAIL_COLUMNS, *FILE_COLUMNS)
-    counted = _counted(sessions, counts, columns, count_mode)
-    actions = reduce(lambda a, b: a + b, [F.col(c) for c in TOTALS])
-    density = F.when(F.col("duration_minutes") > 0, F.col("total_actions") / F.col("duration_minutes"))
-    return (
-        sessions.join(counted, "session_id", "left")
-        .withColumn("total_actions", actions)
-        .withColumn("action_density", density.otherwise(F.lit(0.0)))
+    counted = _counted(sessions, counts.join(hosts, "session_id", "left"), columns, count_mode)
+    return counted.selectExpr("*", f"{' + '.join(TOTALS)} AS total_actions").selectExpr(
+        "*", "CASE WHEN duration_minutes > 0 THEN total_actions / duration_minutes ELSE 0D END AS action_density"
     )
 
 
 def feature_summary(features: DataFrame) -> DataFrame:
     return features.agg(
-        F.avg("duration_minutes").alias("avg_duration"),
-        F.avg("total_actions").alias("avg_actions"),
-        F.avg("file_copy_count").alias("avg_file_copies"),
-        F.count_if(F.col("usb_connect_count") > 0).alias("sessions_with_usb"),
+        F.expr("avg(duration_minutes) AS avg_duration"),
+        F.expr("avg(total_actions) AS avg_actions"),
+        F.expr("avg(file_copy_count) AS avg_file_copies"),
+        F.expr("count_if(usb_connect_count > 0) AS sessions_with_usb"),
     )

@@ -14,135 +14,101 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _user(column: str = "user_id"):
-    return F.concat(F.lit("U"), F.lpad(F.col(column).cast("string"), 6, "0"))
+_USER = "concat('U', lpad(CAST({} AS STRING), 6, '0'))"
+_USER_ID = _USER.format("user_id")
+_FILE_SUFFIX = """CASE event_id % 6 WHEN 0 THEN '.exe' WHEN 1 THEN '.docx' WHEN 2 THEN '.pdf'
+    WHEN 3 THEN '.zip' WHEN 4 THEN '.rar' ELSE '.txt' END"""
 
 
-def _events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("event_type").isin(*types))
+def _log(spark: SparkSession, sf_dir: str, types: tuple[str, ...], *columns: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin(*types))
+    return events.selectExpr("event_id AS id", "ts AS date", f"{_USER_ID} AS user_id", *columns)
 
 
 def logon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir, "signup", "error").select(
-        F.col("event_id").alias("id"),
-        F.col("ts").alias("date"),
-        _user().alias("user_id"),
-        F.concat(F.lit("PC-"), (F.col("event_id") % 2).cast("string")).alias("pc"),
-        F.when(F.col("event_type") == "signup", "Logon").otherwise("Logoff").alias("activity"),
+    return _log(
+        spark,
+        sf_dir,
+        ("signup", "error"),
+        "concat('PC-', event_id % 2) AS pc",
+        "if(event_type = 'signup', 'Logon', 'Logoff') AS activity",
     )
 
 
 def device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir, "click").select(
-        F.col("event_id").alias("id"),
-        F.col("ts").alias("date"),
-        _user().alias("user_id"),
-        F.when(F.col("event_id") % 2 == 0, "Connect").otherwise("Disconnect").alias("activity"),
-    )
+    return _log(spark, sf_dir, ("click",), "if(event_id % 2 = 0, 'Connect', 'Disconnect') AS activity")
 
 
 def http(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.col("event_id")
-    scheme = F.when(number % 3 == 0, "https").otherwise("http")
-    url = F.concat(
-        scheme, F.lit("://site"), (number % 17).cast("string"), F.lit(".example.com/p/"), number.cast("string")
-    )
-    return _events(spark, sf_dir, "view").select(
-        number.alias("id"),
-        F.col("ts").alias("date"),
-        _user().alias("user_id"),
-        F.when(number % 11 != 0, url).alias("url"),
-    )
+    url = "concat(if(event_id % 3 = 0, 'https', 'http'), '://site', event_id % 17, '.example.com/p/', event_id)"
+    return _log(spark, sf_dir, ("view",), f"if(event_id % 11 = 0, NULL, {url}) AS url")
 
 
 def email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.col("event_id")
-    own = F.concat(_user(), F.lit("@dtaa.com"))
-    to = F.when(number % 3 == 0, own).when(
-        number % 3 == 1, F.concat(F.lit("x"), number.cast("string"), F.lit("@mail.example"))
-    )
-    return _events(spark, sf_dir, "purchase").select(
-        number.alias("id"),
-        F.col("ts").alias("date"),
-        _user().alias("user_id"),
-        to.alias("to_addr"),
-        F.when(number % 5 == 0, own).alias("cc_addr"),
-        F.lit(None).cast("string").alias("bcc_addr"),
-        F.when(number % 4 == 0, "other@dtaa.com").otherwise(own).alias("from_addr"),
-        F.floor(F.col("value") * 100).cast("bigint").alias("size"),
-        (number % 4).alias("attachments"),
+    own = f"concat({_USER_ID}, '@dtaa.com')"
+    return _log(
+        spark,
+        sf_dir,
+        ("purchase",),
+        f"CASE event_id % 3 WHEN 0 THEN {own} WHEN 1 THEN concat('x', event_id, '@mail.example') END AS to_addr",
+        f"if(event_id % 5 = 0, {own}, NULL) AS cc_addr",
+        "CAST(NULL AS STRING) AS bcc_addr",
+        f"if(event_id % 4 = 0, 'other@dtaa.com', {own}) AS from_addr",
+        "CAST(floor(value * 100) AS BIGINT) AS size",
+        "event_id % 4 AS attachments",
     )
 
 
 def file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.col("event_id")
-    kinds = [".exe", ".docx", ".pdf", ".zip", ".rar"]
-    suffix = F.lit(".txt")
-    for i, kind in enumerate(kinds):
-        suffix = F.when(number % 6 == i, kind).otherwise(suffix)
-    return _events(spark, sf_dir, "purchase").select(
-        number.alias("id"),
-        F.col("ts").alias("date"),
-        _user().alias("user_id"),
-        F.concat(F.lit("f"), number.cast("string"), suffix).alias("filename"),
-    )
+    return _log(spark, sf_dir, ("purchase",), f"concat('f', event_id, {_FILE_SUFFIX}) AS filename")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each user at its last event of each week."""
-    last = F.struct("ts", "event_id")
-    role = (
-        F.when(F.col("event_type") == "click", "ITAdmin")
-        .when(F.col("event_type") == "view", "Engineer")
-        .when(F.col("event_type") == "error", "Technician")
-        .when(F.col("event_type") == "signup", "Accountant")
-        .otherwise("Salesman")
-    )
+    role = """CASE event_type WHEN 'click' THEN 'ITAdmin' WHEN 'view' THEN 'Engineer'
+        WHEN 'error' THEN 'Technician' WHEN 'signup' THEN 'Accountant' ELSE 'Salesman' END"""
     return (
         table(spark, sf_dir, "events")
-        .groupBy(_user().alias("user_id"), week_of(F.col("ts")).alias("week"))
-        .agg(F.max_by(F.struct("event_type", "event_id"), last).alias("_last"))
+        .selectExpr(f"{_USER_ID} AS user_id", f"{week_of('ts')} AS week", "ts", "event_id", "event_type")
+        .groupBy("user_id", "week")
+        .agg(F.expr("max_by(struct(event_type, event_id), struct(ts, event_id)) AS _last"))
         .select("user_id", "week", "_last.*")
-        .select(
-            "user_id",
-            "week",
-            role.alias("role"),
-            F.concat(F.lit("D"), (F.col("event_id") % 4).cast("string")).alias("department"),
-        )
+        .selectExpr("user_id", "week", f"{role} AS role", "concat('D', event_id % 4) AS department")
     )
 
 
 def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
-        _user("c_custkey").alias("user_id"),
-        (key % 50).alias("o"),
-        (key % 47).alias("c"),
-        (key % 43).alias("e"),
-        (key % 41).alias("a"),
-        (key % 37).alias("n"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        f"{_USER.format('c_custkey')} AS user_id",
+        "c_custkey % 50 AS o",
+        "c_custkey % 47 AS c",
+        "c_custkey % 43 AS e",
+        "c_custkey % 41 AS a",
+        "c_custkey % 37 AS n",
     )
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One incident per very large purchase: three days before it to five days after it."""
     return (
-        _events(spark, sf_dir, "purchase")
-        .where(F.col("value") >= INCIDENT_VALUE)
-        .select(
-            _user().alias("user_id"),
-            (1 + F.col("event_id") % 3).cast("int").alias("scenario"),
-            (F.col("ts") - F.expr("INTERVAL 3 DAYS")).alias("inc_start"),
-            (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("inc_end"),
+        table(spark, sf_dir, "events")
+        .where(f"event_type = 'purchase' AND value >= {INCIDENT_VALUE}")
+        .selectExpr(
+            f"{_USER_ID} AS user_id",
+            "CAST(1 + event_id % 3 AS INT) AS scenario",
+            "ts - INTERVAL 3 DAYS AS inc_start",
+            "ts + INTERVAL 5 DAYS AS inc_end",
         )
     )
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored and labelled rows: (id, score, label)."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
-    return documents.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "score", "label")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return documents.join(labels, "doc_id").selectExpr(
+        "doc_id AS id", "CAST(n_chars AS DOUBLE) AS score", "toxic AS label"
+    )
 
 
 _USER_SQL = "concat('U', lpad(CAST(user_id AS VARCHAR), 6, '0'))"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sentrace.functions.columns import week_of
 from sentrace.operators import directory, sessions
@@ -38,7 +37,7 @@ def build_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = directory.enrich_directory(
         stored(spark, sf_dir, "features"),
         history(spark, sf_dir),
-        session_period=week_of(F.col("start_time")),
+        session_period=week_of("start_time"),
         period="week",
     )
     return directory.enrich_traits(known, A.traits(spark, sf_dir))

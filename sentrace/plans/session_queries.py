@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from sentrace.functions.columns import week_of
 from sentrace.operators import directory, sessions
@@ -29,7 +28,7 @@ QUERIES = {
     "snapshot_changes": history,
     "snapshot_latest": lambda s, d: directory.snapshot_latest(history(s, d), period="week"),
     "enrich_directory": lambda s, d: directory.enrich_directory(
-        stored(s, d, "features"), history(s, d), session_period=week_of(F.col("start_time")), period="week"
+        stored(s, d, "features"), history(s, d), session_period=week_of("start_time"), period="week"
     ).select(
         "session_id",
         "user_id",
