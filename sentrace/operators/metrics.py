@@ -66,7 +66,7 @@ def score_thresholds(
         fractions = ", ".join(str(p / 100) for p in ps)
         points = ", ".join(f"{float(p)!r}D" for p in ps)
         found = scores.agg(F.expr(f"percentile_approx({score}, array({fractions}), 10000) AS _q"))
-        return found.selectExpr(f"inline(arrays_zip(array({points}) AS p, _q AS threshold))")
+        return found.selectExpr(f"inline(zip_with(array({points}), _q, (p, t) -> struct(p AS p, t AS threshold)))")
     exact = exact_quantiles(unpivot(scores, [score]), [p / 100 for p in ps])
     cases = " ".join(f"WHEN {p / 100!r}D THEN {float(p)!r}D" for p in ps)
     return exact.selectExpr(f"CASE p {cases} END AS p", "quantile AS threshold")

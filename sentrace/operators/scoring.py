@@ -169,8 +169,8 @@ def sequence_error_detail(
         _with_parts(steps, model, vector)
         .selectExpr(
             f"{length} - _back AS step",
-            f"posexplode(arrays_zip({vector} AS actual, zip_with(_rebuilt, {mean}, (r, m) -> r + m) AS rebuilt))"
-            " AS (pos, cell)",
+            f"""posexplode(zip_with({vector}, zip_with(_rebuilt, {mean}, (r, m) -> r + m),
+                (a, r) -> struct(a AS actual, r AS rebuilt))) AS (pos, cell)""",
         )
         .selectExpr(
             "step",

@@ -33,8 +33,8 @@ def _encoded(s, d, mode):
     names = ", ".join(f"'{c}'" for c in model.categories)
     return (
         X.encode_roles(stored(s, d, "enriched"), model)
-        .selectExpr("session_id", f"posexplode(arrays_zip(array({names}) AS c, role_vector AS v)) AS (pos, cell)")
-        .selectExpr("session_id", "pos", "cell.c AS category", "cell.v AS flag")
+        .selectExpr("session_id", "posexplode(role_vector) AS (pos, flag)")
+        .selectExpr("session_id", "pos", f"element_at(array({names}), pos + 1) AS category", "flag")
     )
 
 
@@ -158,7 +158,7 @@ ORACLE = {
             FROM enriched, (VALUES {_UNIT_ROWS}) AS u(unit, i)""",
     ),
     "feature_vector": fitted_views(
-        f"""SELECT session_id, CAST(position AS INTEGER) AS pos, round({SCALED}, 9) AS value
+        f"""SELECT session_id, CAST(fitted.position AS INTEGER) AS pos, round({SCALED}, 9) AS value
                 FROM long JOIN fitted USING (feature)
             UNION ALL SELECT session_id, CAST({_N} + i AS INTEGER),
                 CAST(CASE WHEN {_unit_case(role_map())} = unit THEN 1 ELSE 0 END AS DOUBLE)

@@ -74,7 +74,9 @@ QUERIES = {
         {"logon": A.logon(s, d), "sessions": stored(s, d, "sessions"), "device": A.device(s, d)},
         ["logon", "device", "sessions", "session_features"],
     ),
-    "schema_diff": lambda s, d: profile.schema_diff(A.snapshots(s, d), history(s, d)),
+    "schema_diff": lambda s, d: profile.schema_diff(A.snapshots(s, d), history(s, d)).join(
+        profile.profile_nulls(history(s, d)), "column", "left"
+    ),
     "user_history": _history_with_current,
     "session_timeline": lambda s, d: profile.session_timeline(
         stored(s, d, "sessions"), _logs(s, d), _longest(s, d)["session_id"]
@@ -201,8 +203,14 @@ ORACLE = {
                 count(*) FILTER (WHERE duration_minutes < 0) = 0 FROM sessions
             UNION ALL SELECT 'empty', 'device', count(*), count(*) > 0 FROM device""",
     ),
-    "schema_diff": """SELECT unnest(['prev_role', 'prev_department', 'role_changed', 'dept_changed', 'last_week',
-        'is_terminated']) AS column, 'added' AS change""",
+    "schema_diff": with_views(
+        "history",
+        body=" UNION ALL ".join(
+            f"""SELECT '{c}' AS column, 'added' AS change, count(*) FILTER (WHERE {c} IS NULL) AS nulls,
+            100.0 * CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS pct FROM history"""
+            for c in "prev_role prev_department role_changed dept_changed last_week is_terminated".split()
+        ),
+    ),
     "user_history": with_views(
         "features",
         body=f"""SELECT session_id, user_id, start_time, total_actions FROM features
