@@ -122,6 +122,11 @@ def role_categories(df: DataFrame) -> list[str]:
     return sorted(r["role"] for r in rows)
 
 
+def _quantiles(df: DataFrame, features: Sequence[str], fractions: Sequence[float]) -> dict:
+    rows = exact_quantiles(unpivot(df, features), fractions).collect()
+    return {(r["feature"], r["p"]): r["quantile"] for r in rows}
+
+
 def fit_features(
     df: DataFrame,
     names: Sequence[str] | None = None,
@@ -142,14 +147,18 @@ def fit_features(
     if role_mode not in ROLE_MODES:
         raise ValueError(f"role_mode must be one of {ROLE_MODES}")
     features = present_features(df.columns, names, optional)
-    raw = unpivot(df, features)
-    medians = {f: 0.0 for f in features}
-    medians.update({r["feature"]: r["quantile"] for r in exact_quantiles(raw, [0.5]).collect()})
     fractions = [0.25, 0.5, 0.75]
     if clip_percentile < 100.0:
         fractions += [(100.0 - clip_percentile) / 100.0, clip_percentile / 100.0]
-    imputed = unpivot(df.selectExpr(*[f"{text} AS {f}" for f, text in _imputed(medians).items()]), features)
-    found = {(r["feature"], r["p"]): r["quantile"] for r in exact_quantiles(imputed, fractions).collect()}
+    found = _quantiles(df, features, fractions)
+    medians = {f: found.get((f, 0.5), 0.0) for f in features}
+    # Imputed values move the quartiles of those features that had something missing.
+    text = {f: f"count_if({f} IS NULL OR isnan(CAST({f} AS DOUBLE)))" for f in features}
+    missing = df.agg(*[F.expr(f"{t} AS {f}") for f, t in text.items()]).first().asDict()
+    holed = [f for f in features if missing[f]]
+    if holed:
+        imputed = df.selectExpr(*[f"{t} AS {f}" for f, t in _imputed({f: medians[f] for f in holed}).items()])
+        found.update(_quantiles(imputed, holed, fractions))
     rows = []
     for position, f in enumerate(features):
         q1, mid, q3 = (found.get((f, p), medians[f]) for p in (0.25, 0.5, 0.75))

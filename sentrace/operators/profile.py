@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentrace.operators.quantiles import exact_quantiles, unpivot
+from sentrace.sources.logs import lenient_time
 
 # Fixed: features of the distribution report.
 REPORTED_FEATURES = (
@@ -149,7 +150,7 @@ def profile_raw(df: DataFrame, name: str, numeric: Sequence[str] = (), size_byte
         )
     dated = date_column(df.columns)
     if dated:
-        when = f"date_format(try_cast({_quoted(dated)} AS TIMESTAMP_NTZ), 'yyyy-MM-dd')"
+        when = f"date_format({lenient_time(_quoted(dated))}, 'yyyy-MM-dd')"
         wanted += [(dated, "first_date", f"min({when})"), (dated, "last_date", f"max({when})")]
     for c in numeric:
         number = f"try_cast({_quoted(c)} AS DOUBLE)"

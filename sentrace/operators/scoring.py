@@ -9,66 +9,98 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import PCA, PCAModel
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentrace.functions.columns import time_bucket
 from sentrace.operators.intervals import DAY
 from sentrace.operators.labels import sample_sessions
 from sentrace.operators.metrics import anomaly_percentile, percentile_vs_reference
 from sentrace.operators.ordered import trailing
+from sentrace.storage import materialise
 
 
 @dataclass
 class Compressor:
-    """Mean and components (k rows of vector length); size depends on the vector length only."""
+    """Mean, components and the Spark PCA model; their size depends on the vector length only."""
 
     mean: list[float]
-    components: list[list[float]]
+    pca: PCAModel
 
     @property
-    def k(self) -> int:
-        return len(self.components)
+    def components(self) -> list[list[float]]:
+        """k orthonormal rows of vector length."""
+        return self.pca.pc.toArray().T.astype(float).tolist()
+
+    @property
+    def mean_code(self) -> list[float]:
+        return [sum(c * m for c, m in zip(row, self.mean)) for row in self.components]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.pca.write().overwrite().save(f"{path}/pca")
+        means = spark.createDataFrame([(self.mean,)], "mean array<double>")
+        means.coalesce(1).write.mode("overwrite").parquet(f"{path}/mean")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Compressor:
+        return cls(list(spark.read.parquet(f"{path}/mean").first()["mean"]), PCAModel.load(f"{path}/pca"))
 
 
 def fit_compressor(df: DataFrame, k: int, vector: str = "features") -> Compressor:
     """Principal components of the vectors; the Gram matrix is summed on the executors."""
-    vectors = df.select(array_to_vector(F.col(vector)).alias("_v"))
-    mean = vectors.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors)
-    return Compressor([float(x) for x in mean], model.pc.toArray().T.astype(float).tolist())
+    vectors = df.select(array_to_vector(F.col(vector)).alias("_vector"))
+    mean = vectors.select(Summarizer.mean(F.col("_vector")).alias("m")).first()["m"].toArray()
+    model = PCA(k=k, inputCol="_vector", outputCol="_projected").fit(vectors)
+    return Compressor([float(x) for x in mean], model)
 
 
 def _array(values: Sequence[float]) -> str:
     return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
 
 
-def _with_parts(df: DataFrame, model: Compressor, vector: str) -> DataFrame:
-    """Adds _centred, _code and _rebuilt (centred) in plain array expressions."""
-    dot = "aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
-    components = "array(" + ", ".join(_array(row) for row in model.components) + ")"
-    columns = "array(" + ", ".join(_array(column) for column in zip(*model.components)) + ")"
-    return (
-        df.selectExpr("*", f"zip_with({vector}, {_array(model.mean)}, (x, m) -> CAST(x AS DOUBLE) - m) AS _centred")
-        .selectExpr("*", f"transform({components}, c -> {dot.format(a='c', b='_centred')}) AS _code")
-        .selectExpr("*", f"transform({columns}, c -> {dot.format(a='c', b='_code')}) AS _rebuilt")
+def _coded(df: DataFrame, model: Compressor, vector: str) -> DataFrame:
+    """Adds ``_code``: coordinates of the centred vector. The projection does not centre."""
+    projected = model.pca.transform(df.withColumn("_vector", array_to_vector(F.col(vector))))
+    return projected.withColumn("_projected", vector_to_array("_projected")).selectExpr(
+        *df.columns, f"zip_with(_projected, {_array(model.mean_code)}, (p, m) -> p - m) AS _code"
     )
 
 
+def _rebuilt(df: DataFrame, model: Compressor, vector: str) -> DataFrame:
+    """Adds ``_code`` and ``_rebuilt``, the vector made again from its coordinates."""
+    components, mean = np.array(model.components), np.array(model.mean)
+
+    @F.pandas_udf("array<double>")
+    def rebuild(codes: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(codes.to_numpy()) @ components + mean))
+
+    return _coded(df, model, vector).withColumn("_rebuilt", rebuild("_code"))
+
+
 def embed_sessions(df: DataFrame, model: Compressor, vector: str = "features") -> DataFrame:
     """Adds ``embedding ARRAY<FLOAT>``."""
-    return _with_parts(df, model, vector).selectExpr(
-        *df.columns, "transform(_code, x -> CAST(x AS FLOAT)) AS embedding"
-    )
+    return _coded(df, model, vector).selectExpr(*df.columns, "CAST(_code AS ARRAY<FLOAT>) AS embedding")
+
+
+def _row_error(model: Compressor, vector: str) -> str:
+    squares = "aggregate({a}, 0D, (s, x) -> s + x * x)"
+    centred = f"zip_with({vector}, {_array(model.mean)}, (x, m) -> CAST(x AS DOUBLE) - m)"
+    return f"greatest(0D, {squares.format(a=centred)} - {squares.format(a='_code')})"
 
 
 def row_errors(df: DataFrame, model: Compressor, vector: str = "features") -> DataFrame:
-    """Adds ``row_error``: squared difference summed over the features of one row."""
-    error = "aggregate(zip_with(_centred, _rebuilt, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)"
-    return _with_parts(df, model, vector).selectExpr(*df.columns, f"{error} AS row_error")
+    """Adds ``row_error``: squared difference summed over the features of one row.
+
+    Components are orthonormal, so it is the squared length of the centred vector less that
+    of its coordinates; the rebuilt vector is not needed.
+    """
+    return _coded(df, model, vector).selectExpr(*df.columns, f"{_row_error(model, vector)} AS row_error")
 
 
 def masked_error_window(
@@ -99,8 +131,7 @@ def reconstruction_error(
 def _padding_error(model: Compressor, pad: Sequence[float]) -> float:
     centred = [p - m for p, m in zip(pad, model.mean)]
     code = [sum(c * x for c, x in zip(row, centred)) for row in model.components]
-    rebuilt = [sum(code[j] * model.components[j][i] for j in range(model.k)) for i in range(len(centred))]
-    return sum((a - b) ** 2 for a, b in zip(centred, rebuilt))
+    return max(0.0, sum(x * x for x in centred) - sum(x * x for x in code))
 
 
 def reconstruction_error_all(
@@ -130,9 +161,9 @@ def feature_attribution(
 ) -> DataFrame:
     """(feature, importance): mean squared error per feature, the ``top_n`` largest."""
     labels = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
-    squared = "zip_with(_centred, _rebuilt, (a, b) -> (a - b) * (a - b))"
+    squared = f"zip_with({vector}, _rebuilt, (a, b) -> (a - b) * (a - b))"
     return (
-        _with_parts(df, model, vector)
+        _rebuilt(df.select(vector), model, vector)
         .selectExpr(f"posexplode({squared}) AS (pos, sq)")
         .groupBy("pos")
         .agg(F.expr("avg(sq) AS importance"))
@@ -164,13 +195,11 @@ def sequence_error_detail(
     recent = past.orderBy(F.desc(time), F.desc(tie)).limit(length)
     steps = recent.selectExpr(vector, f"row_number() OVER (PARTITION BY 0 ORDER BY {time} DESC, {tie} DESC) AS _back")
     labels = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
-    mean = _array(model.mean)
     return (
-        _with_parts(steps, model, vector)
+        _rebuilt(steps, model, vector)
         .selectExpr(
             f"{length} - _back AS step",
-            f"""posexplode(zip_with({vector}, zip_with(_rebuilt, {mean}, (r, m) -> r + m),
-                (a, r) -> struct(a AS actual, r AS rebuilt))) AS (pos, cell)""",
+            f"posexplode(zip_with({vector}, _rebuilt, (a, r) -> struct(a AS actual, r AS rebuilt))) AS (pos, cell)",
         )
         .selectExpr(
             "step",
@@ -188,7 +217,33 @@ def embedding_2d(
     """(id, x, y, label): first two principal components of a random sample of ``n`` vectors."""
     sample = sample_sessions(df, n, seed, id_col=id_col)
     model = fit_compressor(sample, 2, vector)
-    return _with_parts(sample, model, vector).selectExpr(id_col, "_code[0] AS x", "_code[1] AS y", label)
+    return _coded(sample, model, vector).selectExpr(id_col, "_code[0] AS x", "_code[1] AS y", label)
+
+
+_PREDICTION = T.StructType(
+    [
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("error", T.DoubleType()),
+    ]
+)
+
+
+def batch_model(
+    make_predict: Callable, length: int, width: int, batch_size: int = 64
+) -> Callable:
+    """Column function of (seq, mask) around a model of the user.
+
+    ``make_predict`` runs once per Python worker and returns a function of two arrays,
+    (n, length, width) and (n, length), that gives a dict with ``embedding`` (n, any) and
+    ``error`` (n,).
+    """
+    udf = predict_batch_udf(
+        make_predict,
+        return_type=_PREDICTION,
+        batch_size=batch_size,
+        input_tensor_shapes=[[length, width], [length]],
+    )
+    return lambda seq, mask: udf(F.flatten(seq), mask)
 
 
 def score_sessions(
@@ -202,14 +257,20 @@ def score_sessions(
 ) -> DataFrame:
     """Output rows: ids, ISO time, embedding, reconstruction error, anomaly percentile.
 
-    ``model`` is a :class:`Compressor`, or a column function (for instance from
-    ``predict_batch_udf``) that takes ``seq`` and ``mask`` of :func:`sequences` and returns a
-    struct (embedding ARRAY<FLOAT>, error). Percentiles are against ``reference`` (column
+    ``model`` is a :class:`Compressor`, or a column function (see :func:`batch_model`) that
+    takes ``seq`` and ``mask`` of ``sequences`` and returns a struct (embedding, error). The
+    scored rows are stored before they are ranked, so nothing is scored twice. Percentiles are against ``reference`` (column
     ``reconstruction_error``), or against the scored rows themselves.
     """
     if isinstance(model, Compressor):
-        embedded = embed_sessions(df, model, vector).select("session_id", "user_id", time, vector, "embedding")
-        scored = reconstruction_error(embedded, model, length, vector=vector, time=time)
+        coded = _coded(df, model, vector).selectExpr(
+            "session_id",
+            "user_id",
+            time,
+            "CAST(_code AS ARRAY<FLOAT>) AS embedding",
+            f"{_row_error(model, vector)} AS row_error",
+        )
+        scored = masked_error_window(coded, "row_error", length, time=time)
         rows = scored.selectExpr("session_id", "user_id", time, "embedding", "error AS reconstruction_error")
     else:
         rows = df.withColumn("_out", model(F.col("seq"), F.col("mask"))).selectExpr(
@@ -219,6 +280,7 @@ def score_sessions(
             "_out.embedding AS embedding",
             "CAST(_out.error AS DOUBLE) AS reconstruction_error",
         )
+    rows = materialise(rows, "scored")
     if reference is None:
         ranked = anomaly_percentile(rows, "reconstruction_error")
     else:
