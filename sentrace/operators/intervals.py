@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sentrace.functions.columns import struct_of, time_bucket
 from sentrace.operators.ordered import running_sums
 
-HOUR = 3600
+SLICE = 6 * 3600  # default width of the time slices of one key
 DAY = 86400
 
 
@@ -21,7 +21,7 @@ def sums_before(
     point_time: str = "ts",
     event_time: str = "ts",
     event_tie: str = "1",
-    slice_seconds: int = HOUR,
+    slice_seconds: int = SLICE,
 ) -> DataFrame:
     """Adds to each point the sums over all events of its key before the point.
 
@@ -53,7 +53,7 @@ def sums_inside(
     start: str = "start_time",
     end: str = "end_time",
     event_time: str = "date",
-    slice_seconds: int = HOUR,
+    slice_seconds: int = SLICE,
 ) -> DataFrame:
     """Sums over the events of the key in [start, end), one row per interval.
 
@@ -87,7 +87,7 @@ def events_inside(
     end: str = "end_time",
     event_time: str = "date",
     match_lane: bool = False,
-    slice_seconds: int = HOUR,
+    slice_seconds: int = SLICE,
 ) -> DataFrame:
     """Pairs of interval and event of the same key with start <= event < end.
 
@@ -134,7 +134,7 @@ def first_per_epoch(
     key: str = "user_id",
     event_time: str = "date",
     start: str = "start_time",
-    slice_seconds: int = HOUR,
+    slice_seconds: int = SLICE,
 ) -> DataFrame:
     """Drops repeats of ``value`` that no interval can tell apart from an earlier one.
 

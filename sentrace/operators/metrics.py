@@ -15,6 +15,7 @@ from sentrace.functions.columns import clamp_hours, hours_between, ratio, time_b
 from sentrace.operators.intervals import DAY, interval_slices
 from sentrace.operators.ordered import next_in_order, previous_in_order, running_sums, with_value_slices
 from sentrace.operators.quantiles import exact_quantiles, unpivot, value_ranks
+from sentrace.storage import materialise
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
@@ -376,8 +377,9 @@ def time_to_detect(
 ) -> DataFrame:
     """One row of totals; ``n_total`` counts every incident, also those without sessions."""
     rows = ttd_per_incident(scored, incidents, threshold, score=score, by_substring=by_substring)
-    clamped = rows.selectExpr("*", "least(100D, greatest(0D, lag_pct)) AS lag")
-    found = clamped.where("detected")
+    # One row per incident; stored because totals and medians read it several times.
+    per_incident = materialise(rows.selectExpr("*", "least(100D, greatest(0D, lag_pct)) AS lag"), "ttd")
+    found = per_incident.where("detected")
     totals = found.agg(
         F.expr("count(*) AS n_detected"),
         F.expr("coalesce(avg(ttd_hours), 0D) AS ttd_hours_mean"),
@@ -385,11 +387,25 @@ def time_to_detect(
         F.expr("coalesce(avg(lag), 0D) AS ttd_lag_mean"),
         F.expr("coalesce(100D * count_if(sessions_to_detect = 0) / nullif(count(*), 0), 0D) AS pct_first_session"),
     )
-    medians = exact_quantiles(unpivot(found, ["ttd_hours", "lag"]), [0.5])
-    for feature, name in (("ttd_hours", "ttd_hours_median"), ("lag", "ttd_lag_median")):
-        middle = medians.where(F.col("feature") == feature).select("quantile").scalar()
-        totals = totals.withColumn(name, F.coalesce(middle, F.lit(0.0)))
-    return totals.withColumn("n_total", incidents.agg(F.expr("count(*)")).scalar())
+    middle = (
+        exact_quantiles(unpivot(found, ["ttd_hours", "lag"]), [0.5])
+        .agg(
+            F.expr("max(quantile) FILTER (WHERE feature = 'ttd_hours') AS hours"),
+            F.expr("max(quantile) FILTER (WHERE feature = 'lag') AS lag"),
+        )
+        .selectExpr("struct(hours, lag)")
+        .scalar()
+    )
+    return (
+        totals.withColumn("_middle", middle)
+        .withColumn("n_total", incidents.agg(F.expr("count(*)")).scalar())
+        .selectExpr(
+            *totals.columns,
+            "coalesce(_middle.hours, 0D) AS ttd_hours_median",
+            "coalesce(_middle.lag, 0D) AS ttd_lag_median",
+            "n_total",
+        )
+    )
 
 
 # ---- reports ----

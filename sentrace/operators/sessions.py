@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrace.functions import columns as C
-from sentrace.operators.intervals import DAY, HOUR, events_inside, first_per_epoch, sums_inside
+from sentrace.operators.intervals import DAY, SLICE, events_inside, first_per_epoch, sums_inside
 from sentrace.operators.ordered import next_in_order
 
 DEFAULT_DOMAIN = "@dtaa.com"
@@ -69,7 +69,7 @@ def sessions(
 
 
 def events_in_session(
-    sessions: DataFrame, events: DataFrame, *, match_pc: bool = False, slice_seconds: int = HOUR
+    sessions: DataFrame, events: DataFrame, *, match_pc: bool = False, slice_seconds: int = SLICE
 ) -> DataFrame:
     """(session_id, event columns) for every event inside a session of its user."""
     return events_inside(sessions, events, match_lane=match_pc, slice_seconds=slice_seconds)
@@ -139,7 +139,7 @@ def _log_counts(sessions, log, conditions, first_bit, sums, count_mode, slice_se
 
 
 def session_device(
-    sessions: DataFrame, device: DataFrame, *, count_mode: str = "true", slice_seconds: int = HOUR
+    sessions: DataFrame, device: DataFrame, *, count_mode: str = "true", slice_seconds: int = SLICE
 ) -> DataFrame:
     return _log_counts(
         sessions, device, _DEVICE_CONDITIONS, _DEVICE_BITS, _DEVICE_SUMS, count_mode, slice_seconds
@@ -147,7 +147,7 @@ def session_device(
 
 
 def session_file(
-    sessions: DataFrame, file: DataFrame, *, count_mode: str = "true", slice_seconds: int = HOUR
+    sessions: DataFrame, file: DataFrame, *, count_mode: str = "true", slice_seconds: int = SLICE
 ) -> DataFrame:
     return _log_counts(sessions, file, _FILE_CONDITIONS, _FILE_BITS, _FILE_SUMS, count_mode, slice_seconds)
 
@@ -158,7 +158,7 @@ def session_email(
     *,
     count_mode: str = "true",
     domain: str = DEFAULT_DOMAIN,
-    slice_seconds: int = HOUR,
+    slice_seconds: int = SLICE,
 ) -> DataFrame:
     conditions = _email_conditions(domain)
     return _log_counts(
@@ -166,7 +166,7 @@ def session_email(
     )
 
 
-def session_hosts(sessions: DataFrame, http: DataFrame, *, slice_seconds: int = HOUR) -> DataFrame:
+def session_hosts(sessions: DataFrame, http: DataFrame, *, slice_seconds: int = SLICE) -> DataFrame:
     """Distinct web hosts per session, for the sessions that have any."""
     visits = http.selectExpr("user_id", "date", f"{C.url_host('url')} AS host")
     firsts = first_per_epoch(visits, sessions, "host", slice_seconds=slice_seconds)
@@ -175,7 +175,7 @@ def session_hosts(sessions: DataFrame, http: DataFrame, *, slice_seconds: int =
 
 
 def session_http(
-    sessions: DataFrame, http: DataFrame, *, count_mode: str = "true", slice_seconds: int = HOUR
+    sessions: DataFrame, http: DataFrame, *, count_mode: str = "true", slice_seconds: int = SLICE
 ) -> DataFrame:
     events = _flagged(http, _HTTP_CONDITIONS, _HTTP_BITS)
     requests = sums_inside(sessions, events, "user_id", _HTTP_SUMS, slice_seconds=slice_seconds)
@@ -193,7 +193,7 @@ def session_features(
     *,
     count_mode: str = "true",
     domain: str = DEFAULT_DOMAIN,
-    slice_seconds: int = HOUR,
+    slice_seconds: int = SLICE,
 ) -> DataFrame:
     """Sessions with all activity counts; the four logs pass one shuffle together."""
     logs = [

@@ -24,10 +24,13 @@ def write_tables(
 ) -> DataFrame:
     """Write Parquet and return the stored table.
 
-    Rows of one partition value come from many tasks, so a huge day is not funnelled
-    through one of them; sorted files keep their min/max statistics tight for lookups.
+    With ``partition_by`` rows are first rebalanced on those columns: few files per value,
+    yet adaptive execution splits a value that is too big for one task. Sorted files keep
+    their min/max statistics tight for lookups.
     """
-    rows = df.sortWithinPartitions(*partition_by, *sort_by) if partition_by or sort_by else df
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    if partition_by or sort_by:
+        rows = rows.sortWithinPartitions(*partition_by, *sort_by)
     writer = rows.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
