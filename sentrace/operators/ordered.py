@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sentrace.functions.columns import struct_of
 
 HASH_SLICES = 4096  # three hex digits of a hash key
+_STEP = 32  # distance of the cut points tried first
 _ALL_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
@@ -145,22 +146,37 @@ def trailing(
     )
 
 
+def default_slices(df: DataFrame) -> int:
+    """As many value slices as shuffle partitions, within bounds that keep the cut points small."""
+    return min(2048, max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def with_value_slices(
-    df: DataFrame, value: str, keys: Sequence[str] = (), slices: int = 256, name: str = "_slice"
+    df: DataFrame, value: str, keys: Sequence[str] = (), slices: int | None = None, name: str = "_slice"
 ) -> DataFrame:
     """Adds slices of about equal size along ``value``, within each of a few ``keys``.
 
     The cut points come from one quantile sketch per key: at most ``slices`` numbers per
-    key whatever the size of the data. Without keys they are read as a scalar subquery.
+    key whatever the size of the data. They reach the rows as a scalar subquery, or as a
+    broadcast of one row per key, and are searched in two steps (every 32nd cut, then the
+    32 cuts from there).
     """
+    slices = slices or default_slices(df)
     fractions = ", ".join(str(i / slices) for i in range(1, slices))
     sketch = f"percentile_approx({value}, array({fractions}), {slices * 20})"
-    number = f"CAST(coalesce(size(filter(_cuts, cut -> cut <= {value})), 0) AS BIGINT) AS {name}"
+    found = df.groupBy(*keys).agg(F.expr(f"{sketch} AS _all"))
+    cuts = found.selectExpr(
+        *keys, f"struct(_all, filter(_all, (cut, i) -> i % {_STEP} = {_STEP - 1}) AS _some) AS _cuts"
+    )
     if keys:
-        with_cuts = df.join(df.groupBy(*keys).agg(F.expr(f"{sketch} AS _cuts")), list(keys))
+        with_cuts = df.join(F.broadcast(cuts), list(keys))
     else:
-        with_cuts = df.withColumn("_cuts", df.agg(F.expr(sketch)).scalar())
-    return with_cuts.selectExpr(*df.columns, number)
+        with_cuts = df.withColumn("_cuts", cuts.scalar())
+    skipped = f"{_STEP} * size(filter(_cuts._some, cut -> cut <= {value}))"
+    rest = f"size(filter(slice(_cuts._all, _skipped + 1, {_STEP}), cut -> cut <= {value}))"
+    return with_cuts.selectExpr("*", f"coalesce({skipped}, 0) AS _skipped").selectExpr(
+        *df.columns, f"CAST(_skipped + coalesce({rest}, 0) AS BIGINT) AS {name}"
+    )
 
 
 def hash_key(id_col: str, seed: int) -> str:

@@ -22,7 +22,7 @@ def exact_quantiles(
     *,
     key: str = "feature",
     value: str = "value",
-    slices: int = 256,
+    slices: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per ``key``: (key, p, quantile).
 
@@ -67,7 +67,7 @@ def column_quantile(df: DataFrame, column: str, fraction: float) -> DataFrame:
     return exact_quantiles(unpivot(df, [column]), [fraction]).select("quantile")
 
 
-def value_ranks(df: DataFrame, value: str, slices: int = 256) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, slices: int | None = None) -> DataFrame:
     """Distinct values with how many rows are below, up to and in total: (value, below, upto, total)."""
     counted = df.groupBy(value).agg(F.expr("count(*) AS _count"))
     placed = running_sums(
