@@ -118,7 +118,10 @@ def roc_corners(scores: DataFrame, score: str = "score", label: str = "label") -
 
     Adds the point (0, 0) at an infinite threshold.
     """
-    points = _operating_points(scores, score, label)
+    return _corners(_operating_points(scores, score, label))
+
+
+def _corners(points: DataFrame) -> DataFrame:
     # Slices of equal size along the score serve both neighbour look-ups.
     keyed = points.selectExpr("*", "-_slice AS _down", "-threshold AS _order")
     before = previous_in_order(keyed, [], ["_order"], "_down", {"_ptp": "tp", "_pfp": "fp"})
@@ -128,53 +131,53 @@ def roc_corners(scores: DataFrame, score: str = "score", label: str = "label") -
     corners = around.where(bend).selectExpr(
         "threshold", f"{ratio('tp', 'positives')} AS tpr", f"{ratio('fp', 'negatives')} AS fpr"
     )
-    origin = scores.limit(1).selectExpr("CAST('Infinity' AS DOUBLE) AS threshold", "0D AS tpr", "0D AS fpr")
+    origin = points.limit(1).selectExpr("CAST('Infinity' AS DOUBLE) AS threshold", "0D AS tpr", "0D AS fpr")
     return corners.unionByName(origin)
 
 
 def pr_curve(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Operating points (threshold, tp, fp, recall, precision), one per distinct score."""
-    return _operating_points(scores, score, label).selectExpr(
-        "threshold",
-        "tp",
-        "fp",
-        f"{ratio('tp', 'positives')} AS recall",
-        f"{ratio('tp', '(tp + fp)')} AS precision",
-    )
+    return _operating_points(scores, score, label).selectExpr("threshold", "tp", "fp", *_PR)
+
+
+_PR = (f"{ratio('tp', 'positives')} AS recall", f"{ratio('tp', '(tp + fp)')} AS precision")
 
 
 def roc_auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve from mid-ranks; 0.5 with a single class."""
-    counted = scores.groupBy(F.col(score).alias("threshold")).agg(
-        F.expr(f"count_if({label} = 1) AS _pos"), F.expr(f"count_if({label} <> 1) AS _neg")
-    )
-    placed = running_sums(
-        with_value_slices(counted, "threshold"), [], ["threshold"], "_slice", {"_below": "_neg"}
-    )
+    return _auc(_operating_points(scores, score, label))
+
+
+def _auc(points: DataFrame) -> DataFrame:
     # A positive beats every negative with a lower score and half of those with the same one.
-    wins = placed.agg(
-        F.expr("sum(CAST(_pos AS DOUBLE) * (_below - _neg / 2D)) AS _wins"),
-        F.expr("sum(_pos) AS _p"),
-        F.expr("sum(_neg) AS _n"),
+    wins = points.agg(
+        F.expr("sum(CAST(_pos AS DOUBLE) * (negatives - fp + _neg / 2D)) AS _wins"),
+        F.expr("CAST(max(positives) AS DOUBLE) * max(negatives) AS _pairs"),
     )
-    pairs = "CAST(_p AS DOUBLE) * _n"
-    return wins.selectExpr(f"CASE WHEN {pairs} = 0 THEN 0.5D ELSE _wins / ({pairs}) END AS roc_auc")
+    return wins.selectExpr("CASE WHEN coalesce(_pairs, 0D) = 0 THEN 0.5D ELSE _wins / _pairs END AS roc_auc")
 
 
 def average_precision(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Sum over operating points of (recall gained) x precision; 0 without positives."""
-    points = _operating_points(scores, score, label)
+    return _average_precision(_operating_points(scores, score, label))
+
+
+def _average_precision(points: DataFrame) -> DataFrame:
     gained = "_pos * (CAST(tp AS DOUBLE) / (tp + fp))"
     return points.agg(F.expr(f"sum({gained}) AS _sum"), F.expr("max(positives) AS _p")).selectExpr(
-        "CASE WHEN _p = 0 THEN 0D ELSE _sum / _p END AS average_precision"
+        "CASE WHEN coalesce(_p, 0) = 0 THEN 0D ELSE _sum / _p END AS average_precision"
     )
 
 
 def best_f1_threshold(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Threshold of the best F1 for "score >= threshold"; the lowest one on ties."""
+    return _best_f1(_operating_points(scores, score, label))
+
+
+def _best_f1(points: DataFrame) -> DataFrame:
     f1 = "2 * (precision * recall) / (precision + recall + 1e-8D)"
     return (
-        pr_curve(scores, score, label)
+        points.selectExpr("threshold", *_PR)
         .selectExpr("threshold", f"{f1} AS f1")
         .agg(F.expr("max_by(struct(threshold, f1), struct(f1, -threshold)) AS _best"))
         .select("_best.*")
@@ -240,9 +243,13 @@ def recall_at_fpr(
 
     On equal distance the corner with the higher threshold wins.
     """
+    return _recall_at(_corners(_operating_points(scores, score, label)), targets)
+
+
+def _recall_at(corners: DataFrame, targets: Sequence[float]) -> DataFrame:
     wanted = ", ".join(f"{t!r}D" for t in targets)
     return (
-        roc_corners(scores, score, label)
+        corners
         .selectExpr("*", f"explode(array({wanted})) AS target")
         .groupBy("target")
         .agg(F.expr("min_by(struct(tpr, fpr, threshold), struct(abs(fpr - target), -threshold)) AS _at"))
@@ -253,19 +260,23 @@ def recall_at_fpr(
 def model_metrics(
     scores: DataFrame, name: str, *, score: str = "score", label: str = "label", id_col: str = "id"
 ) -> DataFrame:
-    """One evaluation row of a model. Store the scores first: they are read several times."""
+    """One evaluation row of a model.
+
+    The operating points (one row per distinct score) are stored once; all curve metrics
+    come from them.
+    """
+    points = materialise(_operating_points(scores, score, label), "points")
     error = scores.agg(
         F.expr(f"coalesce(avg({score}) FILTER (WHERE {label} = 0), avg({score})) AS val_error")
     ).selectExpr(f"'{name}' AS model", "val_error")
-    best = best_f1_threshold(scores, score, label)
+    top = precision_at_k(scores, [100], score=score, label=label, id_col=id_col)
+    best = _best_f1(points)
     return _one_row(
         error,
-        roc_auc(scores, score, label),
-        average_precision(scores, score, label),
-        precision_at_k(scores, [100], score=score, label=label, id_col=id_col).selectExpr(
-            "precision AS precision_at_100"
-        ),
-        recall_at_fpr(scores, [0.05], score, label).selectExpr("recall AS recall_at_fpr_5"),
+        _auc(points),
+        _average_precision(points),
+        top.selectExpr("precision AS precision_at_100"),
+        _recall_at(_corners(points), [0.05]).selectExpr("recall AS recall_at_fpr_5"),
         best.selectExpr("threshold AS optimal_threshold"),
         best.selectExpr("f1 AS f1_at_optimal"),
     )

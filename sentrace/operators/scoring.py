@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentrace.functions.columns import time_bucket
+from sentrace.operators.features import FeatureModel, feature_vector
 from sentrace.operators.intervals import DAY
 from sentrace.operators.labels import sample_sessions
 from sentrace.operators.metrics import anomaly_percentile, percentile_vs_reference
 from sentrace.operators.ordered import trailing
+from sentrace.operators.profile import user_history
 from sentrace.storage import materialise
 
 
@@ -285,6 +287,10 @@ def score_sessions(
         ranked = anomaly_percentile(rows, "reconstruction_error")
     else:
         ranked = percentile_vs_reference(rows, reference, "reconstruction_error")
+    return _output(ranked, time)
+
+
+def _output(ranked: DataFrame, time: str) -> DataFrame:
     return ranked.selectExpr(
         "session_id",
         "user_id",
@@ -293,3 +299,37 @@ def score_sessions(
         "reconstruction_error",
         "pct AS anomaly_percentile",
     )
+
+
+def score_session(
+    features: DataFrame,
+    feature_model: FeatureModel,
+    model: Compressor,
+    session_id: object,
+    *,
+    current: DataFrame | None = None,
+    reference: DataFrame | None = None,
+    length: int = 100,
+    time: str = "start_time",
+) -> DataFrame:
+    """Output row of one session, from its user's history alone.
+
+    ``current`` is the session itself when it is not in ``features`` yet. Models are fitted
+    beforehand on all data; the percentile is against ``reference`` and 50 without one.
+    """
+    if current is None:
+        history = user_history(features, session_id=session_id)
+    else:
+        history = user_history(features, user_id=current.select("user_id").first()["user_id"], current=current)
+    coded = _coded(feature_vector(history, feature_model), model, "features").selectExpr(
+        "session_id",
+        "user_id",
+        time,
+        "CAST(_code AS ARRAY<FLOAT>) AS embedding",
+        f"{_row_error(model, 'features')} AS row_error",
+    )
+    scored = masked_error_window(coded, "row_error", length, time=time).withColumnRenamed(
+        "error", "reconstruction_error"
+    )
+    one = scored.where(F.col("session_id") == F.lit(session_id))
+    return _output(percentile_vs_reference(one, reference, "reconstruction_error"), time)

@@ -67,10 +67,6 @@ def _levels(s, d):
     return union_all(rows)
 
 
-def _stored_scores(s, d):
-    return materialise(A.scored_documents(s, d), "scored")
-
-
 QUERIES = {
     "anomaly_percentile": lambda s, d: _rounded(M.anomaly_percentile(_values(s, d)), "pct"),
     "percentile_vs_reference": lambda s, d: _rounded(
@@ -104,7 +100,7 @@ QUERIES = {
         M.recall_at_fpr(A.scored_documents(s, d), TARGETS), "recall", "actual_fpr"
     ),
     "model_metrics": lambda s, d: _rounded(
-        M.model_metrics(_stored_scores(s, d), "n_chars"),
+        M.model_metrics(A.scored_documents(s, d), "n_chars"),
         "val_error",
         "roc_auc",
         "average_precision",

@@ -71,6 +71,21 @@ def _scored(s, d):
     return K.score_sessions(rows, K.fit_compressor(rows, K_SESSION), length=WINDOW)
 
 
+def _scored_one(s, d):
+    """The longest session, as if it were new, against the errors of all sessions."""
+    rows = stored(s, d, "enriched")
+    feature_model = X.fit_features(rows)
+    vectors = X.feature_vector(rows, feature_model).select("session_id", "user_id", "start_time", "features")
+    compressor = K.fit_compressor(vectors, K_SESSION)
+    reference = K.reconstruction_error(vectors, compressor, WINDOW).selectExpr("error AS reconstruction_error")
+    longest = rows.orderBy(F.desc("duration_minutes"), "session_id").first()["session_id"]
+    new = F.col("session_id") == longest
+    return K.score_session(
+        rows.where(~new), feature_model, compressor, longest, current=rows.where(new), reference=reference,
+        length=WINDOW,
+    )
+
+
 def _squared_norm_model():
     """A stand-in for a trained network: embedding = last step, error = mean squared norm."""
     import numpy as np
@@ -126,6 +141,7 @@ QUERIES = {
     "feature_attribution": _attribution,
     "sequence_error_detail": _detail,
     "score_sessions": _scored,
+    "score_session": _scored_one,
     "score_sessions_external": _external,
     "write_scores": _written,
 }

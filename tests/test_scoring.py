@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from conftest import table
 
+from sentrace.operators import features as X
 from sentrace.operators import scoring as K
 from sentrace.operators.sequences import sequences
 from sentrace.storage import scratch_path
@@ -95,6 +96,20 @@ def test_scores(spark, vectors, model):
     assert {r["anomaly_percentile"] for r in fixed} == {50.0}
 
 
+def test_one_session(spark, vectors):
+    rows = vectors[0].selectExpr("session_id", "user_id", "start_time", "features[0] AS total_actions", "features[1] AS email_count")
+    fitted = X.fit_features(rows, ["total_actions", "email_count"], optional=False)
+    coded = X.feature_vector(rows, fitted)
+    model = K.fit_compressor(coded, 1)
+    everyone = {r["session_id"]: r["reconstruction_error"] for r in K.score_sessions(coded, model, length=LENGTH).collect()}
+    stored_one = K.score_session(rows, fitted, model, 30, length=LENGTH).collect()
+    assert [(r["session_id"], r["anomaly_percentile"]) for r in stored_one] == [(30, 50.0)]
+    new = K.score_session(
+        rows.where("session_id < 30"), fitted, model, 30, current=rows.where("session_id = 30"), length=LENGTH
+    ).first()
+    assert new["reconstruction_error"] == pytest.approx(everyone[30]) == stored_one[0]["reconstruction_error"]
+
+
 def test_model_of_the_user(vectors):
     def make():
         import numpy as np
