@@ -51,7 +51,7 @@ def percentile_vs_reference(scores: DataFrame, reference: DataFrame | None, scor
         .agg(F.expr("sum(_count) AS _count"))
     )
     ranks = running_sums(
-        with_value_slices(points, score), [], [score], "_slice", {"_upto": "_count"}, totals={"_total": "_upto"}
+        with_value_slices(points, score, count="_count"), [], [score], "_slice", {"_upto": "_count"}, totals={"_total": "_upto"}
     ).selectExpr(
         f"{score} AS _score",
         "CASE WHEN _total = 0 THEN 50D ELSE 100D * (_upto - _count) / _total END AS pct",
@@ -92,7 +92,7 @@ def _operating_points(scores: DataFrame, score: str, label: str) -> DataFrame:
         F.expr(f"count_if({label} = 1) AS _pos"), F.expr(f"count_if({label} <> 1) AS _neg")
     )
     return running_sums(
-        with_value_slices(counted, "threshold"),
+        with_value_slices(counted, "threshold", count="(_pos + _neg)"),
         [],
         ["threshold DESC"],
         "_slice",
@@ -118,7 +118,7 @@ def roc_corners(scores: DataFrame, score: str = "score", label: str = "label") -
 
     Adds the point (0, 0) at an infinite threshold.
     """
-    return _corners(_operating_points(scores, score, label))
+    return _corners(materialise(_operating_points(scores, score, label), "points"))
 
 
 def _corners(points: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def recall_at_fpr(
 
     On equal distance the corner with the higher threshold wins.
     """
-    return _recall_at(_corners(_operating_points(scores, score, label)), targets)
+    return _recall_at(roc_corners(scores, score, label), targets)
 
 
 def _recall_at(corners: DataFrame, targets: Sequence[float]) -> DataFrame:

@@ -152,18 +152,27 @@ def default_slices(df: DataFrame) -> int:
 
 
 def with_value_slices(
-    df: DataFrame, value: str, keys: Sequence[str] = (), slices: int | None = None, name: str = "_slice"
+    df: DataFrame,
+    value: str,
+    keys: Sequence[str] = (),
+    slices: int | None = None,
+    name: str = "_slice",
+    *,
+    count: str | None = None,
 ) -> DataFrame:
     """Adds slices of about equal size along ``value``, within each of a few ``keys``.
 
     The cut points come from one quantile sketch per key: at most ``slices`` numbers per
     key whatever the size of the data. They reach the rows as a scalar subquery, or as a
     broadcast of one row per key, and are searched in two steps (every 32nd cut, then the
-    32 cuts from there).
+    32 cuts from there). For pre-aggregated rows name their ``count``: the sketch then needs
+    the same columns as the rows, and Spark reuses their shuffle instead of a second scan.
     """
     slices = slices or default_slices(df)
     fractions = ", ".join(str(i / slices) for i in range(1, slices))
     sketch = f"percentile_approx({value}, array({fractions}), {slices * 20})"
+    if count:
+        sketch += f" FILTER (WHERE {count} >= 0)"
     found = df.groupBy(*keys).agg(F.expr(f"{sketch} AS _all"))
     cuts = found.selectExpr(
         *keys, f"struct(_all, filter(_all, (cut, i) -> i % {_STEP} = {_STEP - 1}) AS _some) AS _cuts"

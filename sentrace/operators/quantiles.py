@@ -35,7 +35,7 @@ def exact_quantiles(
         .groupBy(key, value)
         .agg(F.expr("count(*) AS _count"))
     )
-    sliced = with_value_slices(counted, value, [key], slices)
+    sliced = with_value_slices(counted, value, [key], slices, count="_count")
     placed = running_sums(
         sliced, [key], [value], "_slice", {"_upto": "_count"}, totals={"_total": "_upto"}
     )
@@ -71,7 +71,7 @@ def value_ranks(df: DataFrame, value: str, slices: int | None = None) -> DataFra
     """Distinct values with how many rows are below, up to and in total: (value, below, upto, total)."""
     counted = df.groupBy(value).agg(F.expr("count(*) AS _count"))
     placed = running_sums(
-        with_value_slices(counted, value, (), slices),
+        with_value_slices(counted, value, (), slices, count="_count"),
         [],
         [value],
         "_slice",
