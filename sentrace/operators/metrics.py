@@ -249,8 +249,7 @@ def recall_at_fpr(
 def _recall_at(corners: DataFrame, targets: Sequence[float]) -> DataFrame:
     wanted = ", ".join(f"{t!r}D" for t in targets)
     return (
-        corners
-        .selectExpr("*", f"explode(array({wanted})) AS target")
+        corners.selectExpr("*", f"explode(array({wanted})) AS target")
         .groupBy("target")
         .agg(F.expr("min_by(struct(tpr, fpr, threshold), struct(abs(fpr - target), -threshold)) AS _at"))
         .selectExpr("target", "_at.tpr AS recall", "_at.fpr AS actual_fpr", "_at.threshold AS threshold")

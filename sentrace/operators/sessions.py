@@ -126,9 +126,8 @@ def _counted(sessions: DataFrame, counts: DataFrame, columns: tuple[str, ...], c
     if count_mode not in COUNT_MODES:
         raise ValueError(f"count_mode must be one of {COUNT_MODES}")
     least = {c: 1 if count_mode == "compat" and c in TOTALS else 0 for c in columns}
-    held = [c for c in sessions.columns]
     return sessions.join(counts, "session_id", "left").selectExpr(
-        *held, *[f"CAST(greatest(coalesce({c}, 0), {least[c]}) AS BIGINT) AS {c}" for c in columns]
+        *sessions.columns, *[f"CAST(greatest(coalesce({c}, 0), {least[c]}) AS BIGINT) AS {c}" for c in columns]
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from sentrace.operators import features as X
 from sentrace.operators.sequences import sequences
-from sentrace.plans import adapters as A
 from sentrace.plans.base import history, stored, with_views
 from sentrace.sources.roles import ROLE_UNITS, RoleMap, role_map, role_units
 from sentrace.storage import scratch_path

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sentrace.operators import metrics as M
 from sentrace.plans import adapters as A
-from sentrace.plans.base import stored, union_all, with_views
+from sentrace.plans.base import union_all, with_views
 from sentrace.plans.label_queries import labelled
 from sentrace.storage import materialise
 
