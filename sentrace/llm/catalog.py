@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrace.llm import licenses, line_dedup, url_filter
+from sentrace.llm import licenses, line_dedup, substring_dedup, url_filter
 from sentrace.llm.session import prepare, read
 
 #: The contract's rules: (host, path, verdict).
@@ -22,6 +22,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs, licenses.known_licenses(spark)).select("doc_id", "license", "notices")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = prepare(spark).createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -57,6 +62,27 @@ FROM texts t LEFT JOIN known k ON len(t.lines) > 0 AND array_to_string(t.lines,
     LEFT JOIN notices n ON n.doc_id = t.doc_id
 """
 
+_OP6 = f"""
+WITH texts AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+tokens AS (SELECT doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+windows AS (
+    SELECT doc_id, pos, hash(array_to_string(words[pos : pos + {substring_dedup.WIDTH - 1}], ' ')) AS h,
+        md5(array_to_string(words[pos : pos + {substring_dedup.WIDTH - 1}], ' ')) AS m
+    FROM tokens WHERE pos + {substring_dedup.WIDTH - 1} <= len(words)),
+again AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY h, m) AS n FROM windows) WHERE n > 1),
+marked AS (
+    SELECT t.doc_id, t.pos, t.word, max(a.pos) OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS last
+    FROM tokens t LEFT JOIN again a ON a.doc_id = t.doc_id AND a.pos = t.pos),
+kept AS (
+    SELECT doc_id, count(*) FILTER (last > pos - {substring_dedup.WIDTH}) AS removed,
+        string_agg(word, ' ' ORDER BY pos) FILTER (last IS NULL OR last <= pos - {substring_dedup.WIDTH}) AS body
+    FROM marked GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(k.body, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
 _OP7 = f"""
 WITH rules(host, path, verdict) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
 urls AS (
@@ -101,11 +127,13 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op2_license_scan": op2_license_scan,
     "op7_url_filter": op7_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE = {
+    "op6_substring_dedup": _OP6,
     "op2_license_scan": _OP2,
     "op7_url_filter": _OP7,
     "op10_line_dedup": _OP10,
