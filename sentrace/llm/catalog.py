@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrace.llm import licenses, line_dedup, substring_dedup, url_filter
+from sentrace.llm import language_id, licenses, line_dedup, substring_dedup, url_filter
 from sentrace.llm.session import prepare, read
 
 #: The contract's rules: (host, path, verdict).
@@ -22,6 +22,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs, licenses.known_licenses(spark)).select("doc_id", "license", "notices")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 4, 2))
+    models = language_id.fit_languages(docs.where("NOT held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), models).drop("text")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -127,6 +133,7 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 QUERIES = {
+    "op4_language_id": op4_language_id,
     "op6_substring_dedup": op6_substring_dedup,
     "op2_license_scan": op2_license_scan,
     "op7_url_filter": op7_url_filter,
