@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrace.llm import language_id, licenses, line_dedup, substring_dedup, url_filter
+from sentrace.llm import language_id, licenses, line_dedup, quality, substring_dedup, url_filter
 from sentrace.llm.session import prepare, read
 
 #: The contract's rules: (host, path, verdict).
@@ -22,6 +22,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(docs, licenses.known_licenses(spark)).select("doc_id", "license", "notices")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", language_id.held_out("doc_id", 3, 1).alias("held_out"))
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
+    model = quality.fit_quality(docs, docs.where("NOT held_out").join(labels, "doc_id"))
+    return quality.score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 4, 2))
     models = language_id.fit_languages(docs.where("NOT held_out"))
@@ -133,6 +140,7 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 QUERIES = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
     "op6_substring_dedup": op6_substring_dedup,
     "op2_license_scan": op2_license_scan,
