@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrace.llm import language_id, licenses, line_dedup, quality, substring_dedup, url_filter
+from sentrace.llm import decontamination, language_id, licenses, line_dedup, quality, substring_dedup, url_filter
 from sentrace.llm.session import prepare, read
 
 #: The contract's rules: (host, path, verdict).
@@ -17,6 +17,12 @@ URL_RULES = (
 )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return licenses.scan_licenses(docs, licenses.known_licenses(spark)).select("doc_id", "license", "notices")
@@ -140,6 +146,7 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
     "op6_substring_dedup": op6_substring_dedup,

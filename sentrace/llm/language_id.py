@@ -135,8 +135,9 @@ def _hash(keys: np.ndarray, order: int) -> np.ndarray:
 class HashArray:
     """Distinct keys in the order of their hashes; the top bits of a hash give where to look."""
 
-    def __init__(self, keys: np.ndarray, order: int):
-        hashes = _hash(keys, order)
+    def __init__(self, keys: np.ndarray, order: int, hashed: bool = False):
+        self.hashed = hashed
+        hashes = keys if hashed else _hash(keys, order)
         self.order_of = np.argsort(hashes)
         self.bits = max(4, int(len(keys)).bit_length() + 2)
         self.hashes = np.append(hashes[self.order_of], np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -145,7 +146,7 @@ class HashArray:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 where it is absent."""
-        hashes = _hash(keys, self.order)
+        hashes = keys if self.hashed else _hash(keys, self.order)
         at = self.heads[hashes >> np.uint64(64 - self.bits)]
         open_ = np.flatnonzero(self.hashes[at] < hashes)
         while len(open_):
