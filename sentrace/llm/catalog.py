@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrace.llm import decontamination, language_id, licenses, line_dedup, quality, substring_dedup, url_filter
+from sentrace.llm import decontamination, language_id, licenses, line_dedup, packing, quality, substring_dedup, url_filter
 from sentrace.llm.session import prepare, read
 
 #: The contract's rules: (host, path, verdict).
@@ -41,6 +41,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "held_out", "text"), models).drop("text")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return out.withColumnRenamed("id", "doc_id").drop("digest", "ids")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -146,6 +157,7 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op1_decontamination": op1_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
