@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrace.llm import decontamination, language_id, licenses, line_dedup, neighbours, packing, quality, substring_dedup, url_filter
+from sentrace.llm import decontamination, language_id, licenses, line_dedup, neighbours, packing, quality, shingle_join, substring_dedup, url_filter
 from sentrace.llm.session import prepare, read
 
 #: The contract's rules: (host, path, verdict).
@@ -66,6 +66,11 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shingle_join.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -161,6 +166,7 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 QUERIES = {
+    "op9_jaccard_join": op9_jaccard_join,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op5_packing": op5_packing,
     "op1_decontamination": op1_decontamination,
