@@ -252,8 +252,8 @@ def cross_entropies(models: LanguageModels, texts: list[str | None]) -> tuple[np
 
 def _judge(models: LanguageModels, texts: list[str | None]) -> list[pa.Array]:
     if not models.langs:
-        empty = [None if t is None else 0.0 for t in texts]
-        return [pa.array([UNKNOWN] * len(texts)), pa.array([0.0] * len(texts)), pa.array(empty, pa.float64()), pa.array([True] * len(texts))]
+        n, blank = len(texts), characters(texts)[2] == 0
+        return [pa.array([UNKNOWN] * n, pa.string()), pa.array([0.0] * n), pa.nulls(n, pa.float64()), pa.array(blank)]
     bits, n, letters = cross_entropies(models, texts)
     best = bits.argmin(1)  # ties to the first language in order
     low = bits[np.arange(len(texts)), best]
@@ -276,7 +276,8 @@ def identify(docs: DataFrame, models: LanguageModels, *, text_col: str = "text")
     ``bits`` is the lowest cross-entropy per character, ``lang_pred`` its language (ties: the
     first name in order), ``score`` the share of that language when the likelihoods of 64
     characters (or of the text, if shorter) are compared. A text without any letter, or null,
-    gets ``und``, score 0, bits null and is rejected; so is a text that fits no model.
+    gets ``und``, score 0, bits null and is rejected; a text that fits no model is rejected too.
+    Without any model every text is ``und``, and only those without letters are rejected.
     Whole texts are read; equal texts get equal results. Columns of these names are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -304,24 +304,35 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
-    """``docs`` with ``n_shingles`` and ``component_id``.
+    """``docs`` with ``n_shingles``, ``component_id``, ``is_first`` and ``repeats``.
 
     Words are runs without ASCII white space of the text with A-Z in lower case. A text's set
     holds its distinct runs of ``width`` words, or all its words as one if there are fewer;
     null texts and texts without words have an empty set and link with nothing. Two texts
     link if their sets share four fifths of their union. ``component_id`` is the smallest id
     that links reach, the row itself included (a null id counts only if there is no other).
-    Repeated rows and ids are treated like any others. Columns of these names are replaced.
+    ``is_first`` marks the row of a component with the smallest id, of equal ids the smallest
+    text digest; ``repeats`` counts the rows with the same id and text. Rows with an empty
+    set are first. Columns of these names are replaced.
     """
     members, links = link(docs, id_col=id_col, text_col=text_col, width=width)
     labels = components(materialise(links, "links"), "centre", "node")
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    placed = materialise(placed.select("id", "digest", "n", "label").distinct(), "placed")
-    least = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"))
-    found = placed.join(least, "label", "left").select("id", "digest", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    names = {"n_shingles", "component_id"}
-    kept = [c for c in docs.columns if c.lower() not in names]
+    counted = members.groupBy("id", "digest", "n", "node").agg(F.count("*").alias("repeats"))
+    placed = counted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = materialise(placed.select("id", "digest", "n", "label", "repeats"), "placed")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
+    least = placed.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("least"))
+    found = placed.join(least, "label", "left").select(
+        "id",
+        "digest",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("least.id", "id").alias("component_id"),
+        F.coalesce(place == F.col("least"), F.lit(True)).alias("is_first"),
+        "repeats",
+    )
+    added = ("n_shingles", "component_id", "is_first", "repeats")
+    kept = [c for c in docs.columns if c.lower() not in added]
     mark = free_name(docs, "text_digest")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(mark, digest(text_col)).alias("d")
-    joined = rows.join(found.alias("f"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("f.id")) & (F.col(f"d.{mark}") == F.col("f.digest")), "left")
-    return joined.select(*[F.col(f"d.`{c}`") for c in kept], F.col("f.n_shingles"), F.col("f.component_id"))
+    joined = rows.join(found.alias("f"), F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("f.id")) & F.col(f"d.{mark}").eqNullSafe(F.col("f.digest")), "left")
+    return joined.select(*[F.col(f"d.`{c}`") for c in kept], *[F.col(f"f.{c}") for c in added])
