@@ -232,10 +232,15 @@ class _Join:
 
         return self.rows.select(F.xxhash64("id", "digest").alias("mark"), "text").mapInArrow(read, "node long, shingles binary")
 
-    def search(self, pairs: DataFrame) -> DataFrame:
-        """The (centre, node) rows of ``pairs`` that are linked; a centre's records are cut into blocks."""
+    def search(self, pairs: DataFrame) -> DataFrame | None:
+        """The (centre, node) rows of ``pairs`` that are linked; a centre's records are cut into blocks.
+
+        None if there are no such rows.
+        """
         sizes = self.nodes.select("node", "n")
         pairs = materialise(pairs.join(sizes, "node"), "pairs")
+        if pairs.isEmpty():
+            return None
         blocks = pairs.groupBy("centre").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
         salted = pairs.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         sets = self._sets(pairs.select("node").union(blocks.select(F.col("centre").alias("node"))))
@@ -245,12 +250,9 @@ class _Join:
         filled = materialise(tasks.join(sets, "node"), "search-sets")
         records = filled.where("centre IS NOT NULL")
         queries = filled.where("centre IS NULL").select(F.col("node").alias("centre"), "block", "shingles")
-        return (
-            records.groupBy("centre", "block")
-            .cogroup(queries.groupBy("centre", "block"))
-            .applyInPandas(_search, "centre long, node long")
-            .distinct()
-        )
+        both = records.groupBy("centre", "block").cogroup(queries.groupBy("centre", "block"))
+        found = materialise(both.applyInPandas(_search, "centre long, node long"), "links")
+        return None if found.isEmpty() else found
 
 
 def _best(pairs: DataFrame, by: str) -> DataFrame:
@@ -261,7 +263,7 @@ def _best(pairs: DataFrame, by: str) -> DataFrame:
 
 
 def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(id, digest, n, node) of every row, and (centre, node) links that connect all linked nodes."""
+    """(id, digest, n, node) of every row, and (node, label) of the linked nodes: the least node of their component."""
     rows = keyed(docs, id_col, text_col)
     parts = parts_for(docs)
     context = docs.sparkSession.sparkContext
@@ -276,31 +278,40 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
     groups = materialise(sent.groupBy("part").applyInPandas(_groups, "shared long, node long, n long"), "groups")
     join = _Join(rows, nodes, width)
 
-    centres = groups.groupBy("shared").agg(F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("centre"))
-    pairs = groups.join(centres, "shared").where("node != centre").select("node", "centre")
-    links = materialise(join.search(_best(pairs, "node")), "links")
+    links = None
+    labels = docs.sparkSession.createDataFrame([], "node long, label long")
 
-    def labelled(edges: DataFrame) -> DataFrame:
+    def joined(found: DataFrame | None) -> DataFrame:
+        """Labels after adding the links found last."""
+        nonlocal links, labels
+        if found is not None:
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, "centre", "node")
+        return labels
+
+    def mixed() -> DataFrame:
         """Groups that still hold several components, with the label of each node."""
-        labels = components(edges, "centre", "node")
         own = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         own = materialise(own, "labelled")
-        mixed = own.groupBy("shared").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("shared")
-        return own.join(mixed, "shared", "left_semi")
+        several = own.groupBy("shared").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("shared")
+        return own.join(several, "shared", "left_semi")
+
+    centres = groups.groupBy("shared").agg(F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("centre"))
+    pairs = groups.join(centres, "shared").where("node != centre").select("node", "centre")
+    joined(join.search(_best(pairs, "node")))
 
-    mixed = labelled(links)
-    per_part = mixed.groupBy("shared", "label").agg(F.min("node").alias("node"))
+    per_part = mixed().groupBy("shared", "label").agg(F.min("node").alias("node"))
     centres = per_part.groupBy("shared").agg(F.min(F.struct("label", "node")).alias("c"))
     pairs = per_part.join(centres, "shared").where(F.col("label") != F.col("c.label")).select("label", "node", F.col("c.node").alias("centre"))
-    links = materialise(links.unionByName(join.search(_best(pairs, "label"))), "links")
+    joined(join.search(_best(pairs, "label")))
 
-    mixed = materialise(labelled(links), "mixed")
-    a, b = mixed.alias("a"), mixed.alias("b")
+    rest = materialise(mixed(), "mixed")
+    a, b = rest.alias("a"), rest.alias("b")
     left = a.join(b, F.col("a.shared") == F.col("b.shared")).where(
         "a.node < b.node AND a.label != b.label AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n"
     )
     left = left.select(F.col("a.node").alias("node"), F.col("b.node").alias("centre")).distinct()
-    return members, links.unionByName(join.search(left))
+    return members, joined(join.search(left))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
@@ -315,8 +326,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text digest; ``repeats`` counts the rows with the same id and text. Rows with an empty
     set are first. Columns of these names are replaced.
     """
-    members, links = link(docs, id_col=id_col, text_col=text_col, width=width)
-    labels = components(materialise(links, "links"), "centre", "node")
+    members, labels = link(docs, id_col=id_col, text_col=text_col, width=width)
     counted = members.groupBy("id", "digest", "n", "node").agg(F.count("*").alias("repeats"))
     placed = counted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = materialise(placed.select("id", "digest", "n", "label", "repeats"), "placed")
