@@ -28,9 +28,9 @@ from sentrace.llm import words as W
 from sentrace.llm.session import free_name, keyed, parts_for
 
 WIDTH = 35
-_SENT = "part int, origin long, hashes binary, places binary, ids binary, id_nulls binary, digests binary, first binary, own binary"
-_BACK = "origin long, places binary, ids binary, id_nulls binary, digests binary, first binary, own binary"
-_META = ("ids", "id_nulls", "digests", "first", "own")
+_SENT = "part int, origin long, hashes binary, places binary, ids binary, id_nulls binary, digests binary, first binary, own binary, own_size long"
+_BACK = "origin long, size long, places binary, ids binary, id_nulls binary, digests binary, first binary, own binary, own_size long"
+_META = ("ids", "id_nulls", "digests", "first", "own", "own_size")
 
 
 def _pack(places: np.ndarray) -> bytes:
@@ -83,10 +83,11 @@ def _send(width: int, parts: int):
                 "id_nulls": np.asarray(ids.is_null().to_numpy(zero_copy_only=False), np.uint8).tobytes(),
                 "digests": table.column("digest").chunk(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(),
                 "first": first.astype(np.int64).tobytes(),
-                "own": own.astype(np.uint32).tobytes(),
+                "own": _pack(own),
+                "own_size": len(own),
             }
             if n or len(own):
-                rows["part"].append(int(origin % parts))
+                rows["part"].append(int(W.mix(np.array([origin], np.uint64))[0] % np.uint64(parts)))
                 rows["hashes"].append(None)
                 rows["places"].append(None)
                 rows["origin"] = [origin] * (n + 1)
@@ -100,7 +101,7 @@ def _send(width: int, parts: int):
 def _count(group: pd.DataFrame) -> pd.DataFrame:
     """The places whose hash another row of the part has too, and the chunks' own rows."""
     sent = group[group["hashes"].notna()]
-    out = group[group["hashes"].isna()][["origin", "places", *_META]]
+    out = group[group["hashes"].isna()][["origin", "places", *_META]].astype(object)
     if len(sent):
         each = [np.frombuffer(h, np.uint64) for h in sent["hashes"]]
         hashes = np.concatenate(each)
@@ -115,9 +116,9 @@ def _count(group: pd.DataFrame) -> pd.DataFrame:
             mask = repeated[at : at + len(own)]
             at += len(own)
             if mask.any():
-                found.append((origin, _unpack(places, len(own))[mask].astype(np.uint32).tobytes()))
-        out = pd.concat([out, pd.DataFrame(found, columns=["origin", "places"])], ignore_index=True)
-    return out.reindex(columns=["origin", "places", *_META]).astype(object).where(lambda d: d.notna(), None).astype({"origin": "int64"})
+                found.append((origin, int(mask.sum()), _pack(_unpack(places, len(own))[mask])))
+        out = pd.concat([out, pd.DataFrame(found, columns=["origin", "size", "places"])], ignore_index=True)
+    return out.reindex(columns=["origin", "size", "places", *_META]).astype(object).where(lambda d: d.notna(), None).astype({"origin": "int64"})
 
 
 def _merge(width: int):
@@ -126,8 +127,9 @@ def _merge(width: int):
         first = np.frombuffer(meta["first"], np.int64)
         total = int(first[-1])
         step = np.zeros(total + 1, np.int64)
-        for places in [meta["own"], *group["places"].dropna()]:
-            at = np.frombuffer(places, np.uint32).astype(np.int64)
+        sent = group[group["places"].notna()]
+        for places, size in [(meta["own"], meta["own_size"]), *zip(sent["places"], sent["size"])]:
+            at = _unpack(places, int(size))
             np.add.at(step, at, 1)
             np.add.at(step, at + width, -1)
         gone = np.cumsum(step[:-1]) > 0
