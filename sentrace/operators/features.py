@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -51,7 +52,6 @@ OPTIONAL_FEATURES = [
 ]
 
 ROLE_MODES = ("none", "roles", "units")
-MAX_CATEGORIES = 10_000
 
 MODEL_SCHEMA = (
     "position int, feature string, kind string, median double, q1 double, q3 double, "
@@ -106,6 +106,9 @@ class FeatureModel:
 
 def present_features(columns: Sequence[str], names: Sequence[str] | None = None, optional: bool = True) -> list[str]:
     """Base features that exist, then the optional ones that exist."""
+    absent = [f for f in (names or []) if f not in columns]
+    if absent:
+        warnings.warn(f"features that the data do not have are left out: {', '.join(absent)}", stacklevel=2)
     found = [f for f in (names or NUMERIC_FEATURES) if f in columns]
     if optional:
         found += [f for f in OPTIONAL_FEATURES if f in columns]
@@ -115,11 +118,8 @@ def present_features(columns: Sequence[str], names: Sequence[str] | None = None,
 
 
 def role_categories(df: DataFrame) -> list[str]:
-    """Sorted distinct roles; they become vector positions, so their number must be small."""
-    rows = df.where("role IS NOT NULL").select("role").distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} roles cannot be one-hot encoded; map them to units")
-    return sorted(r["role"] for r in rows)
+    """Sorted distinct roles, one per vector position."""
+    return sorted(r["role"] for r in df.where("role IS NOT NULL").select("role").distinct().collect())
 
 
 def _quantiles(df: DataFrame, features: Sequence[str], fractions: Sequence[float]) -> dict:
@@ -259,7 +259,8 @@ def clip_scaled(df: DataFrame, model: FeatureModel) -> DataFrame:
     return _replace(df, _clipped(model))
 
 
-def _one_hot(model: FeatureModel) -> dict[str, str]:
+def _one_hot(model: FeatureModel) -> str:
+    """The one-hot array as SQL text: the role's place in the list of categories is looked up once."""
     if model.role_mode == "units":
         lookup = "CAST(NULL AS STRING)"
         if model.role_to_unit:
@@ -270,7 +271,14 @@ def _one_hot(model: FeatureModel) -> dict[str, str]:
             category = f"CASE WHEN role IS NOT NULL THEN coalesce({lookup}, {_text(model.default_unit)}) END"
     else:
         category = "role"
-    return {c: f"CASE WHEN {category} = {_text(c)} THEN 1D ELSE 0D END" for c in model.categories}
+    if not model.categories:
+        return "CAST(array() AS ARRAY<DOUBLE>)"
+    names = f"array({', '.join(map(_text, model.categories))})"
+    place = f"coalesce(array_position({names}, {category}), 0L)"
+    return (
+        f"transform(array({place}), p -> transform(sequence(1L, {len(model.categories)}L), "
+        "i -> CASE WHEN i = p THEN 1D ELSE 0D END))[0]"
+    )
 
 
 def encode_roles(df: DataFrame, model: FeatureModel) -> DataFrame:
@@ -278,7 +286,7 @@ def encode_roles(df: DataFrame, model: FeatureModel) -> DataFrame:
 
     Unknown and missing roles give zeros, except unknown ones with a default unit.
     """
-    return df.selectExpr("*", f"array({', '.join(_one_hot(model).values())}) AS role_vector")
+    return df.selectExpr("*", f"{_one_hot(model)} AS role_vector")
 
 
 encode_role_units = encode_roles
@@ -286,8 +294,9 @@ encode_role_units = encode_roles
 
 def feature_vector(df: DataFrame, model: FeatureModel) -> DataFrame:
     """Adds ``features ARRAY<DOUBLE>`` in the order of ``model.names``."""
-    parts = [*_clipped(model).values(), *_one_hot(model).values()]
-    return df.selectExpr("*", f"array({', '.join(parts)}) AS features")
+    numbers = f"array({', '.join(_clipped(model).values())})"
+    vector = f"concat({numbers}, {_one_hot(model)})" if model.categories else numbers
+    return df.selectExpr("*", f"{vector} AS features")
 
 
 def unknown_roles(df: DataFrame, roles: DataFrame) -> DataFrame:

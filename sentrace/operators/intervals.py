@@ -34,7 +34,8 @@ def sums_before(
     point_rows = points.selectExpr(
         key, f"{point_time} AS _ts", slice_of(point_time), "0 AS _tie", f"{struct_of(held)} AS _point"
     )
-    event_rows = events.selectExpr(
+    # A NULL key equals no key, so such events are before no point.
+    event_rows = events.where(f"{key} IS NOT NULL AND {event_time} IS NOT NULL").selectExpr(
         key, f"{event_time} AS _ts", slice_of(event_time), f"{event_tie} AS _tie", *measures
     )
     stream = point_rows.unionByName(event_rows, allowMissingColumns=True)
@@ -91,38 +92,29 @@ def events_inside(
 ) -> DataFrame:
     """Pairs of interval and event of the same key with start <= event < end.
 
-    Intervals of one (key, lane) must not overlap, which sessions of one user and machine
-    never do. An event then has at most one match per lane: the last interval that began
-    before it. That interval is found with one ordered pass per (key, lane, slice); events
-    are copied only to the lanes active in their slice. With ``match_lane`` the event's own
-    lane is the only candidate.
+    Intervals are cut into time slices and joined with events on key and slice; the time
+    condition is part of the join, so only real pairs leave it, and adaptive execution
+    splits a hot (key, slice). Intervals may overlap. A NULL key (with ``match_lane`` also a
+    NULL lane) matches nothing.
     """
     fields = [c for c in events.columns if c != key and not (match_lane and c == lane)]
     pieces = interval_slices(
         intervals.where(f"{end} > {start}").select(key, lane, interval_id, start, end), start, end, slice_seconds
+    ).selectExpr(
+        f"{key} AS _key", "_slice AS _of", f"{lane} AS _lane", interval_id, f"{start} AS _start", f"{end} AS _end"
     )
-    event = [key, f"{time_bucket(event_time, slice_seconds)} AS _slice", f"{event_time} AS _ts"]
-    event.append(f"{struct_of(fields)} AS _event")
-    if match_lane:
-        candidates = events.selectExpr(*event, lane)
-    else:
-        lanes = pieces.select(key, "_slice", lane).distinct()
-        candidates = events.selectExpr(*event).join(lanes, [key, "_slice"])
-    marks = pieces.selectExpr(
-        key, lane, "_slice", f"{start} AS _ts", "0 AS _tie", f"{struct_of([interval_id, end])} AS _open"
+    rows = events.selectExpr(
+        key,
+        *([lane] if match_lane else []),
+        f"{time_bucket(event_time, slice_seconds)} AS _slice",
+        f"{event_time} AS _ts",
+        f"{struct_of(fields)} AS _event",
     )
-    stream = candidates.selectExpr("*", "1 AS _tie").unionByName(marks, allowMissingColumns=True)
-    covering = f"""last(_open, true) OVER (PARTITION BY {key}, {lane}, _slice ORDER BY _ts, _tie
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
-    return (
-        stream.selectExpr(key, lane, "_ts", "_event", f"{covering} AS _open")
-        .where(f"_event IS NOT NULL AND _ts < _open.{end}")
-        .selectExpr(
-            f"_open.{interval_id} AS {interval_id}",
-            key,
-            *[f"_event.{f} AS {f}" for f in fields],
-            *([lane] if match_lane else []),
-        )
+    same = f"{key} = _key AND _slice = _of AND _ts >= _start AND _ts < _end"
+    if match_lane:
+        same += f" AND {lane} = _lane"
+    return rows.join(pieces, F.expr(same)).selectExpr(
+        interval_id, key, *[f"_event.{f} AS {f}" for f in fields], *([lane] if match_lane else [])
     )
 
 
@@ -145,7 +137,7 @@ def first_per_epoch(
     marks = starts.selectExpr(
         key, f"{start} AS _ts", f"{time_bucket(start, slice_seconds)} AS _slice", "1 AS _mark"
     )
-    rows = events.where(f"{value} IS NOT NULL").selectExpr(
+    rows = events.where(f"{value} IS NOT NULL AND {key} IS NOT NULL").selectExpr(
         key, f"{event_time} AS _ts", f"{time_bucket(event_time, slice_seconds)} AS _slice", "0 AS _mark", value
     )
     epoch = f"""sum(_mark) OVER (PARTITION BY {key}, _slice ORDER BY _ts, _mark DESC

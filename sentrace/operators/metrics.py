@@ -31,7 +31,7 @@ def _one_row(*parts: DataFrame) -> DataFrame:
 
 
 def anomaly_percentile(scores: DataFrame, score: str = "score") -> DataFrame:
-    """Adds ``pct``: share of all scores strictly below, times 100."""
+    """Adds ``pct``: share of all scores strictly below, times 100; NULL for NULL and NaN, which count nowhere."""
     ranks = value_ranks(scores.select(score), score).selectExpr(f"{score} AS _score", "100D * below / total AS pct")
     return scores.join(ranks, F.expr(f"{score} = _score"), "left").drop("_score")
 
@@ -43,8 +43,9 @@ def percentile_vs_reference(scores: DataFrame, reference: DataFrame | None, scor
     """
     if reference is None:
         return scores.selectExpr("*", "50D AS pct")
-    known = reference.groupBy(score).agg(F.expr("count(*) AS _count"))
-    asked = scores.select(score).distinct().selectExpr(score, "0L AS _count")
+    real = f"{score} IS NOT NULL AND NOT isnan(CAST({score} AS DOUBLE))"
+    known = reference.where(real).groupBy(score).agg(F.expr("count(*) AS _count"))
+    asked = scores.where(real).select(score).distinct().selectExpr(score, "0L AS _count")
     points = (
         known.unionByName(asked)
         .groupBy(score)
@@ -335,14 +336,13 @@ def ttd_per_incident(
         f"{score} > _cut AS _hit",
         f"{time_bucket('start_time', slice_seconds)} AS _slice",
     )
-    dated = incidents.where("user_id IS NOT NULL AND inc_start IS NOT NULL AND inc_end IS NOT NULL").select(
-        "user_id", "inc_start", "inc_end"
-    )
-    pieces = interval_slices(dated, "inc_start", "inc_end", slice_seconds, closed=True).withColumnRenamed(
+    key = ["user_id", "inc_start", "inc_end"]
+    dated = incidents.where("user_id IS NOT NULL AND inc_start IS NOT NULL AND inc_end IS NOT NULL")
+    windows = dated.groupBy(*key).agg(F.expr("count(*) AS _incidents"))
+    pieces = interval_slices(windows.select(*key), "inc_start", "inc_end", slice_seconds, closed=True).withColumnRenamed(
         "_slice", "_at"
     )
     inside = "_slice = _at AND _user = user_id AND start_time >= inc_start AND start_time <= inc_end"
-    key = ["user_id", "inc_start", "inc_end"]
     met = rows.join(pieces, F.expr(inside))
     first = met.groupBy(*key).agg(
         F.expr("count(*) AS total_sessions"),
@@ -354,7 +354,10 @@ def ttd_per_incident(
     hours = f"{hours_between('inc_start', 'inc_end')}"
     return (
         first.join(before, key, "left")
+        .join(windows, key)
         .selectExpr(
+            # Incidents with one user and window have equal results, a row each.
+            "explode(sequence(1L, _incidents)) AS _copy",
             *key,
             f"CASE WHEN {hours} <= 0 THEN 1D ELSE {hours} END AS duration_hours",
             "total_sessions",
@@ -363,6 +366,7 @@ def ttd_per_incident(
             "_first.start_time AS detected_at",
             "CASE WHEN _first IS NOT NULL THEN coalesce(_before, 0) END AS sessions_to_detect",
         )
+        .drop("_copy")
         .selectExpr("*", "ttd_hours / duration_hours * 100 AS lag_pct")
     )
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from sentrace.functions.columns import struct_of
 
-HASH_SLICES = 4096  # three hex digits of a hash key
 _STEP = 32  # distance of the cut points tried first
 _ALL_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
@@ -147,8 +146,8 @@ def trailing(
 
 
 def default_slices(df: DataFrame) -> int:
-    """As many value slices as shuffle partitions, within bounds that keep the cut points small."""
-    return min(2048, max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many value slices as shuffle partitions, and at least 256."""
+    return max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def with_value_slices(
@@ -163,8 +162,8 @@ def with_value_slices(
     """Adds slices of about equal size along ``value``, within each of a few ``keys``.
 
     The cut points come from one quantile sketch per key: at most ``slices`` numbers per
-    key whatever the size of the data. They reach the rows as a scalar subquery, or as a
-    broadcast of one row per key, and are searched in two steps (every 32nd cut, then the
+    key whatever the size of the data. They reach the rows as a scalar subquery, or through a
+    join with one row per key, and are searched in two steps (every 32nd cut, then the
     32 cuts from there). For pre-aggregated rows name their ``count``: the sketch then needs
     the same columns as the rows, and Spark reuses their shuffle instead of a second scan.
     """
@@ -178,7 +177,7 @@ def with_value_slices(
         *keys, f"struct(_all, filter(_all, (cut, i) -> i % {_STEP} = {_STEP - 1}) AS _some) AS _cuts"
     )
     if keys:
-        with_cuts = df.join(F.broadcast(cuts), list(keys))
+        with_cuts = df.join(cuts, list(keys))  # broadcast only if it is measured small
     else:
         with_cuts = df.withColumn("_cuts", cuts.scalar())
     skipped = f"{_STEP} * size(filter(_cuts._some, cut -> cut <= {value}))"
@@ -194,4 +193,5 @@ def hash_key(id_col: str, seed: int) -> str:
 
 
 def hash_slice(key: str) -> str:
-    return f"CAST(conv(substring({key}, 1, 3), 16, 10) AS BIGINT)"
+    """Slice of a hash key: its first five hex digits, about a million slices."""
+    return f"CAST(conv(substring({key}, 1, 5), 16, 10) AS BIGINT)"

@@ -20,8 +20,6 @@ REPORTED_FEATURES = (
     "file_copy_count",
     "usb_connect_count",
 )
-PROFILED_NUMERIC_COLUMNS = 10
-
 LOG_COLUMNS_OF_INTEREST = {"logon": "activity", "device": "activity", "http": "url", "email": "to_addr", "file": "filename"}
 
 
@@ -29,14 +27,22 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def table_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
-    """(table, rows); 0 for a table that does not exist."""
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def table_counts(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
+    """(table, rows) of the named tables, 0 for one that does not exist; without names of all in the catalog."""
     parts = []
+    if names is None:
+        names = sorted(t.name for t in spark.catalog.listTables())
+    if not names:
+        return spark.createDataFrame([], "table string, rows bigint")
     for name in names:
         if spark.catalog.tableExists(name):
-            parts.append(spark.table(name).agg(F.expr("count(*) AS rows")).selectExpr(f"'{name}' AS table", "rows"))
+            parts.append(spark.table(name).agg(F.expr("count(*) AS rows")).selectExpr(f"{_text(name)} AS table", "rows"))
         else:
-            parts.append(spark.range(1).selectExpr(f"'{name}' AS table", "0L AS rows"))
+            parts.append(spark.range(1).selectExpr(f"{_text(name)} AS table", "0L AS rows"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -112,23 +118,23 @@ def profile_nulls(df: DataFrame) -> DataFrame:
     """(column, nulls, pct) from one aggregate over all columns."""
     nulls = [f"count_if({_quoted(c)} IS NULL) AS n{i}" for i, c in enumerate(df.columns)]
     one = df.agg(F.expr("count(*) AS _rows"), *[F.expr(t) for t in nulls])
-    pairs = ", ".join(f"'{c}', n{i}" for i, c in enumerate(df.columns))
+    pairs = ", ".join(f"{_text(c)}, n{i}" for i, c in enumerate(df.columns))
     return one.selectExpr("_rows", f"stack({len(df.columns)}, {pairs}) AS (column, nulls)").selectExpr(
         "column", "nulls", "CASE WHEN _rows = 0 THEN 0D ELSE 100D * nulls / _rows END AS pct"
     )
 
 
-def profile_table(df: DataFrame, name: str, numeric_limit: int = PROFILED_NUMERIC_COLUMNS) -> DataFrame:
-    """(table, column, type, metric, value): rows, nulls, and avg/min/max of the first numeric columns."""
+def profile_table(df: DataFrame, name: str, numeric_limit: int | None = None) -> DataFrame:
+    """(table, column, type, metric, value): rows, nulls, and avg/min/max of the numeric columns (all by default)."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)][:numeric_limit]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     wanted = [("", "", "rows", "count(*)")]
     wanted += [(c, kinds[c], "nulls", f"count_if({_quoted(c)} IS NULL)") for c in df.columns]
     wanted += [(c, kinds[c], m, f"{m}({_quoted(c)})") for c in numeric for m in ("avg", "min", "max")]
     one = df.agg(*[F.expr(f"CAST({text} AS DOUBLE) AS m{i}") for i, (_, _, _, text) in enumerate(wanted)])
-    rows = ", ".join(f"'{c}', '{kind}', '{metric}', m{i}" for i, (c, kind, metric, _) in enumerate(wanted))
+    rows = ", ".join(f"{_text(c)}, '{kind}', '{metric}', m{i}" for i, (c, kind, metric, _) in enumerate(wanted))
     return one.selectExpr(
-        f"'{name}' AS table", f"stack({len(wanted)}, {rows}) AS (column, type, metric, value)"
+        f"{_text(name)} AS table", f"stack({len(wanted)}, {rows}) AS (column, type, metric, value)"
     )
 
 
@@ -156,11 +162,11 @@ def profile_raw(df: DataFrame, name: str, numeric: Sequence[str] = (), size_byte
         number = f"try_cast({_quoted(c)} AS DOUBLE)"
         wanted += [(c, m, f"round({m}({number}), 4)") for m in ("min", "max", "avg")]
     one = df.agg(*[F.expr(f"CAST({text} AS STRING) AS m{i}") for i, (_, _, text) in enumerate(wanted)])
-    rows = ", ".join(f"'{c}', '{metric}', m{i}" for i, (c, metric, _) in enumerate(wanted))
-    out = one.selectExpr(f"'{name}' AS table", f"stack({len(wanted)}, {rows}) AS (column, metric, value)")
+    rows = ", ".join(f"{_text(c)}, '{metric}', m{i}" for i, (c, metric, _) in enumerate(wanted))
+    out = one.selectExpr(f"{_text(name)} AS table", f"stack({len(wanted)}, {rows}) AS (column, metric, value)")
     if size_bytes is not None:
         size = size_bytes.toDF("size").selectExpr(
-            f"'{name}' AS table", "'' AS column", "'bytes' AS metric", "CAST(size AS STRING) AS value"
+            f"{_text(name)} AS table", "'' AS column", "'bytes' AS metric", "CAST(size AS STRING) AS value"
         )
         out = out.unionByName(size)
     return out
@@ -181,7 +187,7 @@ def validate(tables: dict[str, DataFrame], expected: Sequence[str]) -> DataFrame
         if not present:
             parts.append(
                 spark.range(1).selectExpr(
-                    "'missing' AS check", f"'{name}' AS table", "1L AS value", "false AS passed"
+                    "'missing' AS check", f"{_text(name)} AS table", "1L AS value", "false AS passed"
                 )
             )
     for name, df in tables.items():
@@ -196,7 +202,7 @@ def validate(tables: dict[str, DataFrame], expected: Sequence[str]) -> DataFrame
         rows = ", ".join(f"{c}, {value}, {passed}" for c, value, passed in checks)
         parts.append(
             df.agg(*[F.expr(s) for s in sums]).selectExpr(
-                f"'{name}' AS table", f"stack({len(checks)}, {rows}) AS (check, value, passed)"
+                f"{_text(name)} AS table", f"stack({len(checks)}, {rows}) AS (check, value, passed)"
             )
         )
     out = parts[0]

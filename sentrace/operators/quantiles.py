@@ -40,19 +40,16 @@ def exact_quantiles(
         sliced, [key], [value], "_slice", {"_upto": "_count"}, totals={"_total": "_upto"}
     )
     wanted = ", ".join(f"{p}D" for p in fractions)
-    ranked = placed.selectExpr(key, value, "_upto", "_count", "_total", f"explode(array({wanted})) AS p").selectExpr(
-        key,
-        value,
-        "p",
-        "p * (_total - 1) AS _position",
-        "_upto - _count AS _from",
-        "_upto AS _to",
-    )
-    low, high = "floor(_position)", "ceil(_position)"
-    hit = f"(_from <= {low} AND {low} < _to) OR (_from <= {high} AND {high} < _to)"
+    # Only the positions that fall on a value are kept before rows multiply.
+    low, high = "floor({p} * (_total - 1))", "ceil({p} * (_total - 1))"
+    held = "(_upto - _count <= {at} AND {at} < _upto)"
+    hit = " OR ".join(held.format(at=at.format(p="p")) for at in (low, high))
+    ranked = placed.selectExpr(
+        key, value, "_total", f"explode(filter(array({wanted}), p -> {hit})) AS p"
+    ).selectExpr(key, value, "p", "p * (_total - 1) AS _position")
+    low = "floor(_position)"
     return (
-        ranked.where(hit)
-        .groupBy(key, "p")
+        ranked.groupBy(key, "p")
         .agg(
             F.expr(f"min({value}) AS _low"),
             F.expr(f"max({value}) AS _high"),
@@ -68,8 +65,11 @@ def column_quantile(df: DataFrame, column: str, fraction: float) -> DataFrame:
 
 
 def value_ranks(df: DataFrame, value: str, slices: int | None = None) -> DataFrame:
-    """Distinct values with how many rows are below, up to and in total: (value, below, upto, total)."""
-    counted = df.groupBy(value).agg(F.expr("count(*) AS _count"))
+    """Distinct values with how many rows are below, up to and in total: (value, below, upto, total).
+
+    NULL and NaN have no rank and count nowhere.
+    """
+    counted = df.where(f"{value} IS NOT NULL AND NOT isnan(CAST({value} AS DOUBLE))").groupBy(value).agg(F.expr("count(*) AS _count"))
     placed = running_sums(
         with_value_slices(counted, value, (), slices, count="_count"),
         [],

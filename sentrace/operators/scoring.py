@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,19 +90,26 @@ def embed_sessions(df: DataFrame, model: Compressor, vector: str = "features") -
     return _coded(df, model, vector).selectExpr(*df.columns, "CAST(_code AS ARRAY<FLOAT>) AS embedding")
 
 
-def _row_error(model: Compressor, vector: str) -> str:
-    squares = "aggregate({a}, 0D, (s, x) -> s + x * x)"
-    centred = f"zip_with({vector}, {_array(model.mean)}, (x, m) -> CAST(x AS DOUBLE) - m)"
-    return f"greatest(0D, {squares.format(a=centred)} - {squares.format(a='_code')})"
+def _row_errors(model: Compressor, vector: str) -> Column:
+    """Squared length of what the components leave of the centred vector."""
+    components, mean = np.array(model.components), np.array(model.mean)
+
+    @F.pandas_udf("double")
+    def left(vectors: pd.Series) -> pd.Series:
+        centred = np.stack(vectors.to_numpy()).astype(float) - mean
+        rest = centred - (centred @ components.T) @ components
+        return pd.Series((rest * rest).sum(axis=1))
+
+    return left(vector)
 
 
 def row_errors(df: DataFrame, model: Compressor, vector: str = "features") -> DataFrame:
     """Adds ``row_error``: squared difference summed over the features of one row.
 
-    Components are orthonormal, so it is the squared length of the centred vector less that
-    of its coordinates; the rebuilt vector is not needed.
+    The residual itself is squared; a difference of squared lengths would lose all digits
+    of small errors beside large values.
     """
-    return _coded(df, model, vector).selectExpr(*df.columns, f"{_row_error(model, vector)} AS row_error")
+    return df.withColumn("row_error", _row_errors(model, vector))
 
 
 def masked_error_window(
@@ -131,9 +138,10 @@ def reconstruction_error(
 
 
 def _padding_error(model: Compressor, pad: Sequence[float]) -> float:
-    centred = [p - m for p, m in zip(pad, model.mean)]
-    code = [sum(c * x for c, x in zip(row, centred)) for row in model.components]
-    return max(0.0, sum(x * x for x in centred) - sum(x * x for x in code))
+    components = np.array(model.components)
+    centred = np.array(pad, float) - np.array(model.mean)
+    rest = centred - (components @ centred) @ components
+    return float(rest @ rest)
 
 
 def reconstruction_error_all(
@@ -265,12 +273,8 @@ def score_sessions(
     ``reconstruction_error``), or against the scored rows themselves.
     """
     if isinstance(model, Compressor):
-        coded = _coded(df, model, vector).selectExpr(
-            "session_id",
-            "user_id",
-            time,
-            "CAST(_code AS ARRAY<FLOAT>) AS embedding",
-            f"{_row_error(model, vector)} AS row_error",
+        coded = _coded(row_errors(df, model, vector), model, vector).selectExpr(
+            "session_id", "user_id", time, "CAST(_code AS ARRAY<FLOAT>) AS embedding", "row_error"
         )
         scored = masked_error_window(coded, "row_error", length, time=time)
         rows = scored.selectExpr("session_id", "user_id", time, "embedding", "error AS reconstruction_error")
@@ -321,12 +325,8 @@ def score_session(
         history = user_history(features, session_id=session_id)
     else:
         history = user_history(features, user_id=current.select("user_id").first()["user_id"], current=current)
-    coded = _coded(feature_vector(history, feature_model), model, "features").selectExpr(
-        "session_id",
-        "user_id",
-        time,
-        "CAST(_code AS ARRAY<FLOAT>) AS embedding",
-        f"{_row_error(model, 'features')} AS row_error",
+    coded = _coded(row_errors(feature_vector(history, feature_model), model), model, "features").selectExpr(
+        "session_id", "user_id", time, "CAST(_code AS ARRAY<FLOAT>) AS embedding", "row_error"
     )
     scored = masked_error_window(coded, "row_error", length, time=time).withColumnRenamed(
         "error", "reconstruction_error"

@@ -10,7 +10,7 @@ from sentrace.plans.base import stored, with_views
 
 SEED = 42
 SAMPLE = 500
-LENGTH = 10
+LENGTH = 100
 
 
 def labelled(s, d):

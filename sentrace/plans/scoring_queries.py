@@ -15,7 +15,7 @@ from sentrace.storage import materialise, scratch_path
 
 K_SESSION = 8
 K_EMBEDDING = 16
-WINDOW = 20
+WINDOW = 100
 PROJECTED = 5000
 
 

@@ -43,18 +43,19 @@ INT_COLUMNS = {"email": ["size", "attachments"], "psychometric": ["O", "C", "E",
 OPERATOR_NAMES = {"user": "user_id", "to": "to_addr", "cc": "cc_addr", "bcc": "bcc_addr", "from": "from_addr"}
 
 
-def read_csv(spark: SparkSession, path: str | list[str], *, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], *, multi_line: bool = True) -> DataFrame:
     """CSV as text columns, named by the header line.
 
-    Quoted fields may hold line breaks with ``multi_line``; such a file cannot be split, so
-    it is off unless asked for.
+    Quoted fields may hold line breaks. A file is then read as a whole by one task; for
+    large files that are known to hold no such breaks, ``multi_line=False`` lets Spark split
+    them.
     """
     reader = spark.read.options(header=True, escape='"', multiLine=multi_line, enforceSchema=False)
     names = reader.csv(path).columns
     return reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
 
 
-def scan_log(spark: SparkSession, path: str | list[str], table: str, *, multi_line: bool = False) -> DataFrame:
+def scan_log(spark: SparkSession, path: str | list[str], table: str, *, multi_line: bool = True) -> DataFrame:
     """One raw log as text."""
     if table not in LOG_COLUMNS:
         raise ValueError(f"unknown log {table!r}; known: {sorted(LOG_COLUMNS)}")
@@ -101,8 +102,25 @@ def typed_log(df: DataFrame, table: str) -> DataFrame:
 
 
 def scan_snapshots(spark: SparkSession, path: str, pattern: str = r"(\d{4}-\d{2})\.csv") -> DataFrame:
-    """All snapshot files ``<period>.csv`` of a folder with the period in each file's name."""
-    rows = read_csv(spark, f"{path}/*.csv")
+    """All snapshot files ``<period>.csv`` of a folder with the period in each file's name.
+
+    Columns are matched by name: files are grouped by their header line (one per period), and
+    a column that a file lacks is NULL.
+    """
+    files = spark.read.text(f"{path}/*.csv").inputFiles()
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(files):
+        header = spark.read.options(header=True, escape='"').csv(file).columns
+        by_header.setdefault(tuple(header), []).append(file)
+    parts = [_snapshot_rows(spark, group, pattern) for group in by_header.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _snapshot_rows(spark: SparkSession, files: list[str], pattern: str) -> DataFrame:
+    rows = read_csv(spark, files)
     period = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
     first_day = "if(length(ldap_month) = 7, concat(ldap_month, '-01'), ldap_month)"
     return rows.select("*", period.alias("ldap_month")).selectExpr(

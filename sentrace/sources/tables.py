@@ -58,9 +58,11 @@ def write_log(raw: DataFrame, table: str, path: str) -> int:
     return seen.get["rows"]
 
 
-def ingest(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame:
+def ingest(spark: SparkSession, raw_dir: str, out_dir: str, *, multi_line: bool = True) -> DataFrame:
     """Raw folder to Parquet tables: (table, rows). Missing files are skipped with a warning.
 
+    Quoted line breaks are read as part of their field unless ``multi_line`` is off, which
+    lets Spark split large files that have none.
     Rows are counted while they are written. Directory history and its latest rows become
     ``ldap_history`` and ``ldap``.
     """
@@ -70,11 +72,12 @@ def ingest(spark: SparkSession, raw_dir: str, out_dir: str) -> DataFrame:
         if not path_exists(spark, source):
             warnings.warn(f"no raw file for {table}: {source}", stacklevel=2)
             continue
-        stats.append((table, write_log(scan_log(spark, source, table), table, f"{out_dir}/{table}.parquet")))
+        stats.append((table, write_log(scan_log(spark, source, table, multi_line=multi_line), table, f"{out_dir}/{table}.parquet")))
     folder = f"{raw_dir}/LDAP"
     if path_exists(spark, folder):
         seen = Observation()
-        history = snapshot_changes(scan_snapshots(spark, folder)).observe(seen, F.count(F.lit(1)).alias("rows"))
+        typed = write_tables(scan_snapshots(spark, folder), f"{out_dir}/ldap_snapshots.parquet")
+        history = snapshot_changes(typed).observe(seen, F.count(F.lit(1)).alias("rows"))
         stored = write_tables(history, f"{out_dir}/ldap_history.parquet")
         write_tables(snapshot_latest(stored), f"{out_dir}/ldap.parquet")
         stats.append(("ldap", seen.get["rows"]))

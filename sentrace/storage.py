@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +15,6 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_local_dirs: dict[str, str] = {}
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators rely on."""
     for key, value in RUNTIME_CONF.items():
@@ -27,20 +23,18 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting gets a fresh temporary folder.
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session, else a
+    folder in the session's warehouse. The same on every master.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _local_dirs[app]
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has stored so far; frames that read it must not be used again."""
+    jvm, path = spark._jvm, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
