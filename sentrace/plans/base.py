@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,19 @@ from sentrace.operators import directory, sessions
 from sentrace.plans import adapters as A
 from sentrace.storage import configure, materialise
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def version(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of names, sizes and times of the files that the stored steps are made from."""
+    source = spark.read.format("binaryFile").load([f"{sf_dir}/events.parquet", f"{sf_dir}/customer.parquet"])
+    files = source.select("path", "length", "modificationTime").collect()  # a few files; their content is not read
+    return hashlib.md5(str(sorted(map(tuple, files))).encode()).hexdigest()
+
+
+def forget() -> None:
+    """Let stored steps be made again, for example after their files have been cleaned."""
+    _stored.clear()
 
 
 def build_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +60,8 @@ _BUILDERS = {"sessions": build_sessions, "features": build_features, "enriched":
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table, written once per application to the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A base table, written to the shared folder once per application and version of its inputs."""
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir), name)
     if key not in _stored:
         configure(spark)
         _stored[key] = materialise(_BUILDERS[name](spark, sf_dir), name, cluster_by=["user_id", "start_time"])

@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from sentrace.operators import metrics as M
 from sentrace.operators import profile
 from sentrace.plans import adapters as A
-from sentrace.plans.base import stored, union_all, with_views
+from sentrace.plans.base import stored, union_all, version, with_views
 from sentrace.sources import logs, tables, truth
 from sentrace.storage import scratch_path
 
 RAW_TIME = "MM/dd/yyyy HH:mm:ss"
-_raw: dict[tuple[str, str], str] = {}
+_raw: dict[tuple[str, str, str], str] = {}
 
 
 def raw_folder(s, d) -> str:
-    """A folder of raw CSV logs and directory snapshots, written once per application."""
-    key = (s.sparkContext.applicationId, d)
+    """A folder of raw CSV logs and directory snapshots, written once per application and version of its inputs."""
+    key = (s.sparkContext.applicationId, d, version(s, d))
     if key in _raw:
         return _raw[key]
     root = scratch_path(s, "raw")
