@@ -29,10 +29,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", language_id.held_out("doc_id", 3, 1).alias("held_out"))
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    model = quality.fit_quality(docs, docs.where("NOT held_out").join(labels, "doc_id"))
-    return quality.score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+    split = language_id.held_out("doc_id", 3, 1)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, read(spark, sf_dir, "labels").where(~split))
+    return quality.score_quality(docs.withColumn("held_out", split), model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

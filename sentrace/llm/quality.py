@@ -107,20 +107,22 @@ class NeighbourModel:
 
 def fit_quality(
     docs: DataFrame,
-    labelled: DataFrame,
+    labels: DataFrame,
     *,
+    id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
-    order_col: str = "doc_id",
     sample: int = SAMPLE,
     features: int = FEATURES,
     dimensions: int = DIMENSIONS,
     neighbours: int = NEIGHBOURS,
 ) -> NeighbourModel:
-    """Document frequencies from all of ``docs``; axes and neighbours from ``labelled``.
+    """Document frequencies from all of ``docs``; axes and neighbours from labelled documents.
 
-    At most ``sample`` labelled rows are used: those with the smallest hash of ``order_col``,
-    so the choice depends on the rows alone. Rows with a null text or label take no part.
+    ``labels`` has an id and a label from 0 to 1. At most ``sample`` labelled documents are
+    used, those with the smallest hash of their id, so the choice depends on the rows alone.
+    It is made on ids; only then are the texts of the chosen read. Several labels of one id
+    are averaged. Rows with a null id, text or label take no part.
     """
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
     counted = texts.mapInArrow(_document_frequencies(features), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -128,10 +130,13 @@ def fit_quality(
     for row in counted.collect():  # ``features`` + 1 rows
         found[row["slot"]] = row["n"]
     weights = (np.log((1 + found[-1]) / (1 + found[:-1])) + 0.1).astype(np.float32)
-    rows = labelled.select(
-        F.xxhash64(F.col(f"`{order_col}`")).alias("rank"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("double").alias("label")
-    ).where("text IS NOT NULL AND label IS NOT NULL")
-    chosen = rows.orderBy("rank", "text", "label").limit(sample)
+    ids = F.col(f"`{id_col}`").cast("long").alias("id")
+    known = labels.select(ids, F.col(f"`{label_col}`").cast("double").alias("label")).where("id IS NOT NULL")
+    known = known.groupBy("id").agg(F.avg("label").alias("label")).where("label IS NOT NULL")
+    rows = docs.select(ids, F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
+    ranked = known.join(rows.select("id"), "id", "left_semi").select(F.xxhash64("id").alias("rank"), "id", "label")
+    chosen = ranked.orderBy("rank", "id").limit(sample)
+    chosen = rows.join(F.broadcast(chosen), "id").orderBy("rank", "text").limit(sample)  # at most ``sample`` rows
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in W.chunks(batches):
