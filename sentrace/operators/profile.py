@@ -173,9 +173,40 @@ def profile_raw(df: DataFrame, name: str, numeric: Sequence[str] = (), size_byte
 
 
 def file_bytes(df: DataFrame) -> DataFrame:
-    """One row: total size of the files behind a file scan."""
-    files = df.selectExpr("_metadata.file_path AS path", "_metadata.file_size AS bytes").distinct()
-    return files.agg(F.expr("sum(bytes) AS size"))
+    """One row: total size of the files behind a file scan. Only their listing is read."""
+    files = df.sparkSession.read.format("binaryFile").load(df.inputFiles())
+    return files.agg(F.expr("sum(length) AS size"))
+
+
+def raw_overview(logs: dict[str, DataFrame], directory: DataFrame | None = None, period: str = "ldap_month") -> DataFrame:
+    """(table, rows, columns, first_month, last_month) of raw scans and of the directory folder.
+
+    ``directory`` is the scan of all directory files; its row has the first and last period.
+    """
+    parts = [
+        df.agg(F.expr("count(*) AS rows")).selectExpr(
+            f"{_text(name)} AS table", "rows", f"{len(df.columns)} AS columns",
+            "CAST(NULL AS STRING) AS first_month", "CAST(NULL AS STRING) AS last_month",
+        )
+        for name, df in logs.items()
+    ]
+    if directory is not None:
+        seen = directory.agg(F.expr("count(*) AS rows"), F.min(period).alias("first_month"), F.max(period).alias("last_month"))
+        own = [c for c in directory.columns if c not in (period, "ldap_date")]
+        parts.append(seen.selectExpr("'LDAP' AS table", "rows", f"{len(own)} AS columns", "first_month", "last_month"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def logons_per_session(logon: DataFrame, sessions: DataFrame) -> DataFrame:
+    """One row: logons, sessions, and logons for each session (NULL without sessions)."""
+    logons = logon.where("activity = 'Logon'").agg(F.expr("count(*) AS logons"))
+    return (
+        logons.withColumn("sessions", sessions.agg(F.expr("count(*) AS n")).scalar())
+        .selectExpr("logons", "sessions", "CASE WHEN sessions > 0 THEN CAST(logons AS DOUBLE) / sessions END AS ratio")
+    )
 
 
 def validate(tables: dict[str, DataFrame], expected: Sequence[str]) -> DataFrame:

@@ -163,6 +163,10 @@ QUERIES = {
     "profile_raw_bytes": lambda s, d: profile.file_bytes(
         logs.scan_log(s, f"{raw_folder(s, d)}/http.csv", "http")
     ),
+    "raw_overview": lambda s, d: profile.raw_overview(
+        {n: logs.scan_log(s, f"{raw_folder(s, d)}/{n}.csv", n) for n in logs.LOG_COLUMNS}, _snapshots(s, d)
+    ),
+    "logons_per_session": lambda s, d: profile.logons_per_session(A.logon(s, d), stored(s, d, "sessions")),
     "retention": _retention,
     "prepared_cache": _cached,
     "merge_reports": _reports,
@@ -240,6 +244,26 @@ ORACLE = {
                 UNION ALL SELECT 'email', count(*), count(*) FROM email
                 UNION ALL SELECT 'file', count(*), count(*) FROM file)""",
     ),
+    "raw_overview": with_views(
+        "logon",
+        "device",
+        "http",
+        "email",
+        "file",
+        "traits",
+        "snapshots",
+        body=f"""SELECT "table", rows, CAST(CASE "table" WHEN 'logon' THEN 5 WHEN 'device' THEN 5 WHEN 'http' THEN 6
+                WHEN 'email' THEN 11 WHEN 'file' THEN 6 ELSE 7 END AS INTEGER) AS columns,
+                CAST(NULL AS VARCHAR) AS first_month, CAST(NULL AS VARCHAR) AS last_month
+            FROM ({_RAW_COUNT} UNION ALL SELECT 'psychometric', count(*) FROM traits)
+            UNION ALL SELECT 'LDAP', count(*), CAST(3 AS INTEGER), min(week), max(week) FROM snapshots""",
+    ),
+    "logons_per_session": with_views(
+        "logon",
+        "sessions",
+        body="""SELECT logons, sessions, CAST(logons AS DOUBLE) / sessions AS ratio FROM (SELECT
+            (SELECT count(*) FROM logon WHERE activity = 'Logon') AS logons, (SELECT count(*) FROM sessions) AS sessions)""",
+    ),
     "prepared_cache": with_views(
         "features", body="SELECT session_id, user_id, total_actions, CAST(1 AS INTEGER) AS builds FROM features"
     ),
