@@ -23,7 +23,7 @@ from sentrace.llm import words as W
 from sentrace.llm.language_id import HashArray
 
 Q = 8
-SEGMENT, STEP = 96, 48
+SEGMENT, STEP = 64, 32
 EDIT_RATE = 0.1
 #: Shorter items (in normal form) would also match clean text and are left out.
 MIN_CHARS = 24
