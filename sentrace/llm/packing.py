@@ -8,7 +8,6 @@ sequences one after the other, cutting documents where a sequence is full.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +20,14 @@ from pyspark.sql import types as T
 
 from sentrace.llm import words as W
 from sentrace.llm.session import digest
+from sentrace.storage import materialise
 
 LENGTH = 4096
 DIMENSIONS, BITS = 4, 12
 END_ID = 2
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 2_000_000
 _PIECE = "id long, digest long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-_WHITE = re.compile("[ \t\n\r]+")  # white space both for the tokenizer and here
 _tokenizers: dict[str, WordIds] = {}
 
 
@@ -79,24 +78,55 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Token ids of texts, word by word: the tokenizer drops white space, so words are independent."""
+    """Token ids of texts, word by word: the tokenizer drops white space, so words are independent.
+
+    Words are known by a 64-bit hash. ``hashes`` is sorted; the ids of the word at place i are
+    ``ids[starts[i] : starts[i] + lengths[i]]``. At most ``REMEMBERED`` words are kept.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WHITE.split(t) for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list({w for words in split for w in words})
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint16).tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.uint16) for words in split]
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint16)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add words by their sorted hashes."""
+        fresh = []
+        for step in range(0, len(words), 4096):
+            fresh += [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(words[step : step + 4096], add_special_tokens=False)]
+        lengths = np.array([len(f) for f in fresh], np.int32)
+        starts = (len(self.ids) + np.cumsum(lengths) - lengths).astype(np.int32)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts, self.lengths = np.insert(self.starts, at, starts), np.insert(self.lengths, at, lengths)
+        self.ids = np.concatenate([self.ids, *fresh])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids begin."""
+        if b"<|" not in data.tobytes():  # no special token, whose case counts
+            data = W.lower(data)
+        starts, ends, first = W.bounds(data, offsets)
+        distinct, example, place = np.unique(W.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED:
+            self.forget()
+        at = np.searchsorted(self.hashes, distinct)
+        fresh = np.flatnonzero(np.append(self.hashes, np.uint64(0))[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(fresh):
+            body = data.tobytes()
+            some = example[fresh]
+            self.learn(distinct[fresh], [body[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist())])
+            at = np.searchsorted(self.hashes, distinct)
+        at = at[place]
+        n = self.lengths[at].astype(np.int64)
+        before = np.append(0, np.cumsum(n))
+        source = np.repeat(self.starts[at] - before[:-1], n) + np.arange(before[-1])
+        return self.ids[source], before[first]
 
 
 def tokenizer(path: str) -> WordIds:
@@ -128,10 +158,11 @@ def _pack(path: str, end_id: int, length: int, with_ids: bool):
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        for table in W.chunks(batches, "text", 1 << 20):
-            texts = [t or "" for t in table.column("text").to_pylist()]
-            for i, d, ids in zip(table.column("id").to_pylist(), table.column("digest").to_pylist(), encode.encode(texts)):
-                ids = np.append(ids, np.uint16(end_id))
+        for table in W.chunks(batches, "text", 2 << 20):
+            flat, begin = encode.encode(*W.buffers(table.column("text").chunk(0)))
+            keys = zip(table.column("id").to_pylist(), table.column("digest").to_pylist())
+            for (i, d), a, b in zip(keys, begin[:-1].tolist(), begin[1:].tolist()):
+                ids = np.append(flat[a:b], np.uint16(end_id))
                 at = 0
                 while at < len(ids):
                     part = ids[at : at + length - fill]
@@ -179,8 +210,8 @@ def pack(
     padded. Rows of equal keys are in the order of id, text digest; repeated rows are packed
     each. Ids of the sequences are unique, not consecutive. No rows: no pieces.
 
-    The only shuffle is the range sort of the texts; id and digest break ties of the key, so
-    that copies of one document spread over many partitions.
+    Texts and keys are written once, then range-sorted; id and digest break ties of the key,
+    so that copies of one document spread over many partitions.
     """
     schema = "id long, digest long, text string, place long"
 
@@ -191,7 +222,7 @@ def pack(
             yield pa.RecordBatch.from_arrays([*[c.chunk(0) for c in table.columns], pa.array(found)], ["id", "digest", "text", "place"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), digest(text_col).alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    placed = rows.mapInArrow(keys, schema)
+    placed = materialise(rows.mapInArrow(keys, schema), "placed")  # the sort reads its keys twice
     order = ["place", "id", "digest"]
     spread = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     return spread.mapInArrow(_pack(tokenizer_path, end_id, length, with_ids), _PIECE)
