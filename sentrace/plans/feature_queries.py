@@ -11,7 +11,7 @@ from sentrace.storage import scratch_path
 ALL_FEATURES = [*X.NUMERIC_FEATURES, *X.OPTIONAL_FEATURES]
 CLIP = 99.0
 STEP_FEATURES = ["duration_minutes", "total_actions", "email_count"]
-LENGTH = 5
+LENGTH = 100
 # A map without Salesman, so that the data hold an unknown role.
 PARTIAL = RoleMap(
     role_map().unit_order, {r: u for r, u in role_map().role_to_unit.items() if r != "Salesman"}, "Administration"
