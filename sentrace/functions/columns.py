@@ -40,6 +40,11 @@ def file_kind(name: str) -> str:
         WHEN {is_archive(name)} THEN 'archive' WHEN {name} IS NOT NULL THEN 'other' END"""
 
 
+def text_literal(value: str) -> str:
+    """A SQL text literal, whatever the value holds."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def mail_sent(user: str, sender: str) -> str:
     return f"contains({sender}, {user})"
 
@@ -49,7 +54,7 @@ def mail_received(user: str, to: str, cc: str, bcc: str) -> str:
 
 
 def mail_external(to: str, domain: str) -> str:
-    return f"NOT contains({to}, '{domain}')"
+    return f"NOT contains({to}, {text_literal(domain)})"
 
 
 def mail_direction(user: str, sender: str, to: str, cc: str, bcc: str) -> str:

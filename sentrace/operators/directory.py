@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrace.functions.columns import period_of, struct_of
+from sentrace.functions.columns import period_of, struct_of, text_literal
 from sentrace.operators.ordered import previous_in_order
 
 # Fixed: trait column -> name in the session features.
@@ -79,7 +79,7 @@ def enrich_directory(
     return keyed.join(facts, ["user_id", "_period"], "left").selectExpr(
         *features.columns,
         *known,
-        f"CASE WHEN role = '{admin_role}' THEN 1 ELSE 0 END AS is_admin",
+        f"CASE WHEN role = {text_literal(admin_role)} THEN 1 ELSE 0 END AS is_admin",
         "coalesce(role_changed, false) AS role_changed_this_month",
         "coalesce(dept_changed, false) AS dept_changed_this_month",
         "prev_role",
@@ -100,7 +100,7 @@ def enrich_directory_latest(
     return features.join(latest.select("user_id", *known, "is_terminated"), "user_id", "left").selectExpr(
         *features.columns,
         *known,
-        f"CASE WHEN role = '{admin_role}' THEN 1 ELSE 0 END AS is_admin",
+        f"CASE WHEN role = {text_literal(admin_role)} THEN 1 ELSE 0 END AS is_admin",
         "coalesce(is_terminated, false) AS user_terminated",
     )
 

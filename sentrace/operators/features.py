@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrace.functions.columns import text_literal
 from sentrace.operators.quantiles import exact_quantiles, unpivot
 
 # Fixed: base features in vector order.
@@ -211,10 +212,6 @@ def _number(value: float) -> str:
     return f"{value!r}D"
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _imputed(medians: dict[str, float]) -> dict[str, str]:
     return {
         f: f"CASE WHEN isnan(CAST({f} AS DOUBLE)) THEN {_number(m)} "
@@ -264,16 +261,16 @@ def _one_hot(model: FeatureModel) -> str:
     if model.role_mode == "units":
         lookup = "CAST(NULL AS STRING)"
         if model.role_to_unit:
-            pairs = ", ".join(f"{_text(r)}, {_text(u)}" for r, u in model.role_to_unit.items())
+            pairs = ", ".join(f"{text_literal(r)}, {text_literal(u)}" for r, u in model.role_to_unit.items())
             lookup = f"element_at(map({pairs}), trim(role))"
         category = lookup
         if model.default_unit is not None:
-            category = f"CASE WHEN role IS NOT NULL THEN coalesce({lookup}, {_text(model.default_unit)}) END"
+            category = f"CASE WHEN role IS NOT NULL THEN coalesce({lookup}, {text_literal(model.default_unit)}) END"
     else:
         category = "role"
     if not model.categories:
         return "CAST(array() AS ARRAY<DOUBLE>)"
-    names = f"array({', '.join(map(_text, model.categories))})"
+    names = f"array({', '.join(map(text_literal, model.categories))})"
     place = f"coalesce(array_position({names}, {category}), 0L)"
     return (
         f"transform(array({place}), p -> transform(sequence(1L, {len(model.categories)}L), "
@@ -308,7 +305,7 @@ def unknown_roles(df: DataFrame, roles: DataFrame) -> DataFrame:
 def role_unit_lookup(df: DataFrame, roles: DataFrame, default_unit: str | None = None) -> DataFrame:
     """Adds ``unit`` by joining the role table on the trimmed role."""
     pairs = roles.selectExpr("role AS _role", "unit AS _unit")
-    unit = "_unit" if default_unit is None else f"coalesce(_unit, {_text(default_unit)})"
+    unit = "_unit" if default_unit is None else f"coalesce(_unit, {text_literal(default_unit)})"
     return (
         df.join(pairs, F.expr("trim(role) = _role"), "left")
         .selectExpr(*df.columns, f"CASE WHEN role IS NOT NULL THEN {unit} END AS unit")

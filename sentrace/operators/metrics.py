@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrace.functions.columns import clamp_hours, hours_between, ratio, time_bucket
+from sentrace.functions.columns import clamp_hours, hours_between, ratio, text_literal, time_bucket
 from sentrace.operators.intervals import DAY, interval_slices
 from sentrace.operators.ordered import next_in_order, previous_in_order, running_sums, with_value_slices
 from sentrace.operators.quantiles import exact_quantiles, unpivot, value_ranks
@@ -268,7 +268,7 @@ def model_metrics(
     points = materialise(_operating_points(scores, score, label), "points")
     error = scores.agg(
         F.expr(f"coalesce(avg({score}) FILTER (WHERE {label} = 0), avg({score})) AS val_error")
-    ).selectExpr(f"'{name}' AS model", "val_error")
+    ).selectExpr(f"{text_literal(name)} AS model", "val_error")
     top = precision_at_k(scores, [100], score=score, label=label, id_col=id_col)
     best = _best_f1(points)
     return _one_row(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentrace.functions.columns import text_literal
 from sentrace.operators.quantiles import exact_quantiles, unpivot
 from sentrace.sources.logs import lenient_time
 
@@ -27,10 +28,6 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def table_counts(spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
     """(table, rows) of the named tables, 0 for one that does not exist; without names of all in the catalog."""
     parts = []
@@ -40,9 +37,9 @@ def table_counts(spark: SparkSession, names: Sequence[str] | None = None) -> Dat
         return spark.createDataFrame([], "table string, rows bigint")
     for name in names:
         if spark.catalog.tableExists(name):
-            parts.append(spark.table(name).agg(F.expr("count(*) AS rows")).selectExpr(f"{_text(name)} AS table", "rows"))
+            parts.append(spark.table(name).agg(F.expr("count(*) AS rows")).selectExpr(f"{text_literal(name)} AS table", "rows"))
         else:
-            parts.append(spark.range(1).selectExpr(f"{_text(name)} AS table", "0L AS rows"))
+            parts.append(spark.range(1).selectExpr(f"{text_literal(name)} AS table", "0L AS rows"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -118,7 +115,7 @@ def profile_nulls(df: DataFrame) -> DataFrame:
     """(column, nulls, pct) from one aggregate over all columns."""
     nulls = [f"count_if({_quoted(c)} IS NULL) AS n{i}" for i, c in enumerate(df.columns)]
     one = df.agg(F.expr("count(*) AS _rows"), *[F.expr(t) for t in nulls])
-    pairs = ", ".join(f"{_text(c)}, n{i}" for i, c in enumerate(df.columns))
+    pairs = ", ".join(f"{text_literal(c)}, n{i}" for i, c in enumerate(df.columns))
     return one.selectExpr("_rows", f"stack({len(df.columns)}, {pairs}) AS (column, nulls)").selectExpr(
         "column", "nulls", "CASE WHEN _rows = 0 THEN 0D ELSE 100D * nulls / _rows END AS pct"
     )
@@ -132,9 +129,9 @@ def profile_table(df: DataFrame, name: str, numeric_limit: int | None = None) ->
     wanted += [(c, kinds[c], "nulls", f"count_if({_quoted(c)} IS NULL)") for c in df.columns]
     wanted += [(c, kinds[c], m, f"{m}({_quoted(c)})") for c in numeric for m in ("avg", "min", "max")]
     one = df.agg(*[F.expr(f"CAST({text} AS DOUBLE) AS m{i}") for i, (_, _, _, text) in enumerate(wanted)])
-    rows = ", ".join(f"{_text(c)}, '{kind}', '{metric}', m{i}" for i, (c, kind, metric, _) in enumerate(wanted))
+    rows = ", ".join(f"{text_literal(c)}, '{kind}', '{metric}', m{i}" for i, (c, kind, metric, _) in enumerate(wanted))
     return one.selectExpr(
-        f"{_text(name)} AS table", f"stack({len(wanted)}, {rows}) AS (column, type, metric, value)"
+        f"{text_literal(name)} AS table", f"stack({len(wanted)}, {rows}) AS (column, type, metric, value)"
     )
 
 
@@ -162,11 +159,11 @@ def profile_raw(df: DataFrame, name: str, numeric: Sequence[str] = (), size_byte
         number = f"try_cast({_quoted(c)} AS DOUBLE)"
         wanted += [(c, m, f"round({m}({number}), 4)") for m in ("min", "max", "avg")]
     one = df.agg(*[F.expr(f"CAST({text} AS STRING) AS m{i}") for i, (_, _, text) in enumerate(wanted)])
-    rows = ", ".join(f"{_text(c)}, '{metric}', m{i}" for i, (c, metric, _) in enumerate(wanted))
-    out = one.selectExpr(f"{_text(name)} AS table", f"stack({len(wanted)}, {rows}) AS (column, metric, value)")
+    rows = ", ".join(f"{text_literal(c)}, '{metric}', m{i}" for i, (c, metric, _) in enumerate(wanted))
+    out = one.selectExpr(f"{text_literal(name)} AS table", f"stack({len(wanted)}, {rows}) AS (column, metric, value)")
     if size_bytes is not None:
         size = size_bytes.toDF("size").selectExpr(
-            f"{_text(name)} AS table", "'' AS column", "'bytes' AS metric", "CAST(size AS STRING) AS value"
+            f"{text_literal(name)} AS table", "'' AS column", "'bytes' AS metric", "CAST(size AS STRING) AS value"
         )
         out = out.unionByName(size)
     return out
@@ -185,7 +182,7 @@ def raw_overview(logs: dict[str, DataFrame], directory: DataFrame | None = None,
     """
     parts = [
         df.agg(F.expr("count(*) AS rows")).selectExpr(
-            f"{_text(name)} AS table", "rows", f"{len(df.columns)} AS columns",
+            f"{text_literal(name)} AS table", "rows", f"{len(df.columns)} AS columns",
             "CAST(NULL AS STRING) AS first_month", "CAST(NULL AS STRING) AS last_month",
         )
         for name, df in logs.items()
@@ -218,7 +215,7 @@ def validate(tables: dict[str, DataFrame], expected: Sequence[str]) -> DataFrame
         if not present:
             parts.append(
                 spark.range(1).selectExpr(
-                    "'missing' AS check", f"{_text(name)} AS table", "1L AS value", "false AS passed"
+                    "'missing' AS check", f"{text_literal(name)} AS table", "1L AS value", "false AS passed"
                 )
             )
     for name, df in tables.items():
@@ -233,7 +230,7 @@ def validate(tables: dict[str, DataFrame], expected: Sequence[str]) -> DataFrame
         rows = ", ".join(f"{c}, {value}, {passed}" for c, value, passed in checks)
         parts.append(
             df.agg(*[F.expr(s) for s in sums]).selectExpr(
-                f"{_text(name)} AS table", f"stack({len(checks)}, {rows}) AS (check, value, passed)"
+                f"{text_literal(name)} AS table", f"stack({len(checks)}, {rows}) AS (check, value, passed)"
             )
         )
     out = parts[0]
@@ -298,7 +295,7 @@ def session_timeline(
     high = F.lit(found["end_time"]).cast("timestamp_ntz") + F.expr(f"INTERVAL {buffer}")
     parts = [
         log.where((F.col("user_id") == found["user_id"]) & F.col("date").between(low, high)).selectExpr(
-            "date", f"'{name}' AS type", f"{LOG_COLUMNS_OF_INTEREST[name]} AS info"
+            "date", f"{text_literal(name)} AS type", f"{LOG_COLUMNS_OF_INTEREST[name]} AS info"
         )
         for name, log in logs.items()
     ]

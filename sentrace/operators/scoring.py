@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrace.functions.columns import time_bucket
+from sentrace.functions.columns import text_literal, time_bucket
 from sentrace.operators.features import FeatureModel, feature_vector
 from sentrace.operators.intervals import DAY
 from sentrace.operators.labels import sample_sessions
@@ -170,7 +170,7 @@ def feature_attribution(
     df: DataFrame, model: Compressor, names: Sequence[str], top_n: int = 20, vector: str = "features"
 ) -> DataFrame:
     """(feature, importance): mean squared error per feature, the ``top_n`` largest."""
-    labels = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+    labels = "array(" + ", ".join(map(text_literal, names)) + ")"
     squared = f"zip_with({vector}, _rebuilt, (a, b) -> (a - b) * (a - b))"
     return (
         _rebuilt(df.select(vector), model, vector)
@@ -204,7 +204,7 @@ def sequence_error_detail(
     )
     recent = past.orderBy(F.desc(time), F.desc(tie)).limit(length)
     steps = recent.selectExpr(vector, f"row_number() OVER (PARTITION BY 0 ORDER BY {time} DESC, {tie} DESC) AS _back")
-    labels = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+    labels = "array(" + ", ".join(map(text_literal, names)) + ")"
     return (
         _rebuilt(steps, model, vector)
         .selectExpr(
