@@ -8,6 +8,7 @@
 3. Instead of all pairs of a group, nodes are searched from centres: each node goes to the centre
    it shares most with, then each component found so far to the centre of another. Only
    pairs of a group that are still in different components after that are searched one by one.
+   The number of rare shingles a pair shares bounds its overlap, and most pairs end there.
 4. A search is a T-occurrence search (DivideSkip): the lists of the query's shingles say which
    records of a block have them; short lists are merged and counted, long ones are probed
    by binary search for the records that may still reach their bound.
@@ -188,18 +189,21 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.unique(wide.view("<u8").ravel())
 
 
-def _search(key, records: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+def _search(task: pd.DataFrame) -> pd.DataFrame:
+    """Links of one block: the row of the centre itself is the query, the others are the records."""
+    own = task["node"] == task["centre"]
+    query, records = task[own], task[~own]
     if not len(records) or not len(query):
         return pd.DataFrame({"centre": [], "node": []}, dtype="int64")
     found = divide_skip(_unpack(query["shingles"].iloc[0]), [_unpack(s) for s in records["shingles"]])
-    return pd.DataFrame({"centre": np.int64(key[0]), "node": records["node"].to_numpy()[found >= 0]})
+    return pd.DataFrame({"centre": query["centre"].iloc[0], "node": records["node"].to_numpy()[found >= 0]})
 
 
 class _Join:
     """The tables of one join: documents, their nodes, and the groups of nodes."""
 
-    def __init__(self, rows: DataFrame, nodes: DataFrame, width: int):
-        self.rows, self.nodes, self.width = rows, nodes, width
+    def __init__(self, rows: DataFrame, nodes: DataFrame, groups: DataFrame, width: int):
+        self.rows, self.nodes, self.groups, self.width = rows, nodes, groups, width
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in ``wanted``, read again from one document of each.
@@ -232,26 +236,34 @@ class _Join:
 
         return self.rows.select(F.xxhash64("id", "digest").alias("mark"), "text").mapInArrow(read, "node long, shingles binary")
 
+    def counted(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with the number of rare shingles that both have, as ``common``."""
+        own = self.groups.select("shared", "node")
+        other = self.groups.select("shared", F.col("node").alias("centre"))
+        return pairs.join(own, "node").join(other, ["shared", "centre"]).groupBy("node", "centre").agg(F.count("*").alias("common"))
+
     def search(self, pairs: DataFrame) -> DataFrame | None:
         """The (centre, node) rows of ``pairs`` that are linked; a centre's records are cut into blocks.
 
-        None if there are no such rows.
+        ``pairs`` have ``common``. All shingles that two sets share, up to the end of the
+        prefix that ends first, are common ones; the rest lies in what follows that prefix.
+        Pairs that cannot reach their bound so are left out. None if no row is linked.
         """
         sizes = self.nodes.select("node", "n")
-        pairs = materialise(pairs.join(sizes, "node"), "pairs")
+        of_centre = sizes.select(F.col("node").alias("centre"), F.col("n").alias("m"))
+        bound = "ceil(4 * (n + m) / 9) - greatest(ceil(4 * n / 5), ceil(4 * m / 5)) + 1"
+        pairs = pairs.join(sizes, "node").join(of_centre, "centre").where(f"common >= {bound}").select("centre", "node", "n")
+        pairs = materialise(pairs, "pairs")
         if pairs.isEmpty():
             return None
         blocks = pairs.groupBy("centre").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
         salted = pairs.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         sets = self._sets(pairs.select("node").union(blocks.select(F.col("centre").alias("node"))))
-        asked = blocks.select(F.col("centre").alias("node"), F.lit(None).cast("long").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        asked = blocks.select(F.col("centre").alias("node"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         tasks = salted.select("node", "centre", "block").union(asked)
         # One join gives the sets of records and queries alike; both go to the centre's block.
-        filled = materialise(tasks.join(sets, "node"), "search-sets")
-        records = filled.where("centre IS NOT NULL")
-        queries = filled.where("centre IS NULL").select(F.col("node").alias("centre"), "block", "shingles")
-        both = records.groupBy("centre", "block").cogroup(queries.groupBy("centre", "block"))
-        found = materialise(both.applyInPandas(_search, "centre long, node long"), "links")
+        filled = tasks.join(sets, "node").select("centre", "block", "node", "shingles")
+        found = materialise(filled.groupBy("centre", "block").applyInPandas(_search, "centre long, node long"), "links")
         return None if found.isEmpty() else found
 
 
@@ -276,7 +288,7 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
     nodes = materialise(nodes.select("node", "d.id", "d.digest", "n"), "nodes")
     sent = rows.mapInArrow(_prefixes(width, parts, context.broadcast(sketch)), "part int, keys binary, nodes binary, sizes binary")
     groups = materialise(sent.groupBy("part").applyInPandas(_groups, "shared long, node long, n long"), "groups")
-    join = _Join(rows, nodes, width)
+    join = _Join(rows, nodes, groups, width)
 
     links = None
     labels = docs.sparkSession.createDataFrame([], "node long, label long")
@@ -298,19 +310,19 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
 
     centres = groups.groupBy("shared").agg(F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("centre"))
     pairs = groups.join(centres, "shared").where("node != centre").select("node", "centre")
-    joined(join.search(_best(pairs, "node")))
+    joined(join.search(join.counted(_best(pairs, "node"))))
 
     per_part = mixed().groupBy("shared", "label").agg(F.min("node").alias("node"))
     centres = per_part.groupBy("shared").agg(F.min(F.struct("label", "node")).alias("c"))
     pairs = per_part.join(centres, "shared").where(F.col("label") != F.col("c.label")).select("label", "node", F.col("c.node").alias("centre"))
-    joined(join.search(_best(pairs, "label")))
+    joined(join.search(join.counted(_best(pairs, "label"))))
 
     rest = materialise(mixed(), "mixed")
     a, b = rest.alias("a"), rest.alias("b")
     left = a.join(b, F.col("a.shared") == F.col("b.shared")).where(
         "a.node < b.node AND a.label != b.label AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n"
     )
-    left = left.select(F.col("a.node").alias("node"), F.col("b.node").alias("centre")).distinct()
+    left = left.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("centre")).agg(F.count("*").alias("common"))
     return members, joined(join.search(left))
 
 
