@@ -1,10 +1,13 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Counting covers every training text: tasks count 4-character sequences per language and Spark
-sums the counts. The lower orders follow from the distinct sequences of the order above
-(continuation counts), so nothing else is gathered. The model keeps one sorted array of
-hashes per order, with a row of probabilities (one per language) beside it, and is
-broadcast. A text gets the language whose model gives the lowest cross-entropy per character.
+sums the counts. Continuation counts, counts of counts and discounts come from all of them in
+Spark, so every sequence of every language is in the model, however many there are. The model
+is served in blocks of bounded size: a block has the sequences whose two middle characters lie
+in one range, and all contexts and lower orders that these need. Per order it keeps one sorted
+array of hashes with a row of probabilities (one per language) beside it. Each block is
+broadcast on its own; a text's bits are the sum over the blocks. A text gets the language whose
+model gives the lowest cross-entropy per character.
 """
 
 from __future__ import annotations
@@ -14,15 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentrace.llm import words as W
+from sentrace.storage import materialise
 
 ORDER = 4
-#: Rows of the model's largest table. If more distinct sequences occur, the rarest are left out.
+#: Rows of the largest table of a block. More distinct sequences make more blocks.
 MAX_SEQUENCES = 1_000_000
+#: Probabilities (sequences times languages) of a block: many languages make smaller blocks.
+MAX_CELLS = 4_000_000
 #: A text is rejected if its bits per character exceed the mean of the language's training
 #: text by MARGIN and DEVIATIONS standard errors of a text of its length.
 MARGIN, DEVIATIONS = 1.0, 6.0
@@ -157,20 +164,17 @@ class HashArray:
 
 
 @dataclass
-class LanguageModels:
+class LanguageBlock:
     """Per order 1..ORDER: sequences with log2 probabilities, contexts with log2 weights of the order below."""
 
-    langs: list[str]
     tables: list[tuple[HashArray, np.ndarray]]
     contexts: list[tuple[HashArray, np.ndarray]]
     floor: np.ndarray
-    mean: np.ndarray
-    deviation: np.ndarray
 
     def log_probability(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Row of log2 probabilities, by language, for each sequence of ``order`` characters."""
         if order == 0:
-            return np.broadcast_to(self.floor, (len(keys), len(self.langs)))
+            return np.broadcast_to(self.floor, (len(keys), len(self.floor)))
         keys = keys & np.uint64((1 << 16 * order) - 1)
         array, rows = self.tables[order - 1]
         at = array.find(keys)
@@ -182,6 +186,23 @@ class LanguageModels:
         return out
 
 
+@dataclass
+class LanguageModels:
+    """Blocks by place: block ``i`` has the sequences from place ``starts[i]`` up to the next start."""
+
+    langs: list[str]
+    starts: np.ndarray
+    blocks: list[Broadcast]
+    mean: np.ndarray
+    deviation: np.ndarray
+
+
+def _places(sequences: np.ndarray) -> np.ndarray:
+    """The third character of each sequence and then its second, which say what block it is in."""
+    low = np.uint64(0xFFFF)
+    return ((sequences >> np.uint64(16)) & low) << np.uint64(16) | (sequences >> np.uint64(32)) & low
+
+
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     found, where = np.unique(keys, return_inverse=True)
     out = np.zeros((len(found), values.shape[1]))
@@ -189,19 +210,11 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return found, out
 
 
-def build(langs: list[str], sequences: np.ndarray, counts: np.ndarray) -> LanguageModels:
-    """Models from the counts (one column per language) of distinct sequences of ``ORDER`` characters."""
-    levels = [(sequences, counts.astype(float))]
-    for order in range(ORDER - 1, 0, -1):
-        keys, upper = levels[-1]
-        levels.append(_sums(keys & np.uint64((1 << 16 * order) - 1), (upper > 0).astype(float)))
-    levels.reverse()
-    floor = np.log2(np.full(len(langs), 1.0 / (len(levels[0][0]) + 1)))
+def build(levels: list[tuple[np.ndarray, np.ndarray]], discounts: list[np.ndarray], floor: np.ndarray) -> tuple[LanguageBlock, np.ndarray]:
+    """Block from the counts (one column per language) of each order's sequences, and the bits of the highest order's."""
     below_keys, below = np.zeros(1, np.uint64), 2.0 ** floor[None, :]
     tables, contexts = [], []
-    for order, (keys, level) in enumerate(levels, 1):
-        once, twice = (level == 1).sum(0), (level == 2).sum(0)
-        discount = np.where(once > 0, once / np.maximum(once + 2 * twice, 1), 0.5)
+    for order, ((keys, level), discount) in enumerate(zip(levels, discounts), 1):
         context, total = _sums(keys >> np.uint64(16), level)
         _, kinds = _sums(keys >> np.uint64(16), (level > 0).astype(float))
         weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
@@ -212,28 +225,77 @@ def build(langs: list[str], sequences: np.ndarray, counts: np.ndarray) -> Langua
         array, context_array = HashArray(keys, order), HashArray(context, order)
         tables.append((array, np.log2(p)[array.order_of].astype(np.float32)))
         weights = np.log2(weight)[context_array.order_of].astype(np.float32)
-        contexts.append((context_array, np.vstack([weights, np.zeros((1, len(langs)), np.float32)])))
+        contexts.append((context_array, np.vstack([weights, np.zeros((1, len(floor)), np.float32)])))
         below_keys, below = keys, p
-    bits = -np.log2(below)
-    n = np.maximum(counts.sum(0), 1)
-    mean = (counts * bits).sum(0) / n
-    deviation = np.sqrt((counts * (bits - mean) ** 2).sum(0) / n)
-    return LanguageModels(langs, tables, contexts, floor, mean, deviation)
+    return LanguageBlock(tables, contexts, floor), -np.log2(below)
+
+
+def _block_starts(counted: DataFrame, limit: int) -> list[int]:
+    """Places at which blocks of at most ``limit`` rows start; only a single place may have more."""
+    starts, held = [0], 0
+    third = F.shiftright("place", 16)
+    for char, rows in counted.groupBy(third.alias("char")).count().orderBy("char").collect():
+        places = [(char << 16, rows)]
+        if rows > limit:
+            places = counted.where(third == char).groupBy("place").count().orderBy("place").collect()
+        for place, n in places:
+            if held and held + n > limit:
+                starts.append(place)
+                held = 0
+            held += n
+    return starts
+
+
+def _matrix(rows: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sequences of (sequence, lang, n) rows in order, with one column of counts per language."""
+    found = rows.select("sequence", "lang", "n").toPandas()
+    sequences, where = np.unique(found["sequence"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+    counts = np.zeros((len(sequences), len(langs)))
+    counts[where, np.searchsorted(langs, found["lang"].to_numpy(str))] = found["n"]
+    return sequences, counts
 
 
 def fit_languages(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_sequences: int = MAX_SEQUENCES) -> LanguageModels:
-    """Models of every language in ``labelled``; rows with a null text or language take no part."""
+    """Models of every language in ``labelled``; rows with a null text or language take no part.
+
+    No sequence is left out: ``max_sequences`` bounds the rows of a block, and so what the driver
+    and a Python worker hold at a time (sequences with the same two middle characters stay together).
+    """
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
     counted = rows.mapInArrow(_count, "lang string, sequence long, n long")
-    counted = counted.groupBy("sequence", "lang").agg(F.sum("n").alias("n"))
-    # At most ``max_sequences`` rows, the most frequent, reach the driver.
-    found = counted.orderBy(F.desc("n"), "sequence", "lang").limit(max_sequences).toPandas()
-    langs = sorted(found["lang"].unique())
-    sequences, where = np.unique(found["sequence"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-    counts = np.zeros((len(sequences), len(langs)))
-    counts[where, np.searchsorted(langs, found["lang"].to_numpy(str)) if langs else []] = found["n"]
-    return build(langs, sequences, counts)
+    place = F.expr("(shiftrightunsigned(sequence, 16) & 65535) << 16 | shiftrightunsigned(sequence, 32) & 65535")
+    counted = counted.groupBy("sequence", "lang").agg(F.sum("n").alias("n")).withColumn("place", place)
+    counted = materialise(counted, "language-counts", cluster_by=["place"])
+    levels = [counted]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.col("sequence").bitwiseAND(F.lit((1 << 16 * order) - 1))
+        level = levels[0].groupBy(shorter.alias("sequence"), "lang").agg(F.count("*").alias("n"))
+        levels.insert(0, materialise(level, "language-continuations", cluster_by=["sequence"]))
+    few = [F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")]
+    few = [{r["lang"]: r for r in level.groupBy("lang").agg(*few).collect()} for level in levels]
+    langs = sorted(few[-1])
+    if not langs:
+        return LanguageModels([], np.zeros(1, np.uint64), [], np.zeros(0), np.zeros(0))
+    discounts = [np.array([r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] else 0.5 for r in map(found.get, langs)]) for found in few]
+    single = _matrix(levels[0], langs)
+    floor = np.log2(np.full(len(langs), 1.0 / (len(single[0]) + 1)))
+    starts = _block_starts(counted, min(max_sequences, max(1, MAX_CELLS // len(langs))))
+    blocks, n, mean, squares = [], np.zeros(len(langs)), np.zeros(len(langs)), np.zeros(len(langs))
+    for lo, hi in zip(starts, [*starts[1:], 1 << 32]):
+        sequences, counts = _matrix(counted.where((F.col("place") >= lo) & (F.col("place") < hi)), langs)
+        # The pairs of a third character are needed whole, also if its sequences are in several blocks.
+        pairs = _matrix(levels[1].where((F.col("sequence") >= lo >> 16 << 16) & (F.col("sequence") < ((hi - 1 >> 16) + 1) << 16)), langs)
+        triples = _sums(sequences & np.uint64((1 << 48) - 1), (counts > 0).astype(float))
+        block, bits = build([single, pairs, triples, (sequences, counts)], discounts, floor)
+        blocks.append(labelled.sparkSession.sparkContext.broadcast(block))
+        own = counts.sum(0)
+        own_mean = (counts * bits).sum(0) / np.maximum(own, 1)
+        both = np.maximum(n + own, 1)
+        squares += (counts * (bits - own_mean) ** 2).sum(0) + (own_mean - mean) ** 2 * n * own / both
+        mean += (own_mean - mean) * own / both
+        n += own
+    return LanguageModels(langs, np.array(starts, np.uint64), blocks, mean, np.sqrt(squares / np.maximum(n, 1)))
 
 
 def cross_entropies(models: LanguageModels, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,11 +304,17 @@ def cross_entropies(models: LanguageModels, texts: list[str | None]) -> tuple[np
     keys = _sequences(codes)
     total = np.zeros((len(texts), len(models.langs)))
     n = bounds[:, 1] - bounds[:, 0]
-    for step in range(0, len(keys), 1 << 19):
-        log_p = models.log_probability(keys[step : step + (1 << 19)]).astype(np.float64)
-        sums = np.vstack([np.zeros((1, len(models.langs))), np.cumsum(log_p, 0)])
-        lo, hi = np.clip(bounds[:, 0] - step, 0, len(log_p)), np.clip(bounds[:, 1] - step, 0, len(log_p))
-        total -= sums[hi] - sums[lo]
+    several = len(models.blocks) > 1
+    part = np.searchsorted(models.starts, _places(keys), "right") - 1 if several else None
+    for number, shared in enumerate(models.blocks):
+        at = np.flatnonzero(part == number) if several else np.arange(len(keys))
+        for step in range(0, len(at), 1 << 19):
+            own = at[step : step + (1 << 19)]
+            log_p = shared.value.log_probability(keys[own]).astype(np.float64)
+            sums = np.vstack([np.zeros((1, len(models.langs))), np.cumsum(log_p, 0)])
+            total -= sums[np.searchsorted(own, bounds[:, 1])] - sums[np.searchsorted(own, bounds[:, 0])]
+        if several and getattr(shared, "_path", None):
+            vars(shared).pop("_value", None)  # one block in memory at a time; it is read again from the worker's copy
     return total / np.maximum(n, 1)[:, None], n, letters
 
 
@@ -285,12 +353,13 @@ def identify(docs: DataFrame, models: LanguageModels, *, text_col: str = "text")
     added = T._parse_datatype_string(_ADDED)
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in set(added.names)])
     out = T.StructType([*rows.schema.fields, *added.fields])
-    schema, shared = to_arrow_schema(out), docs.sparkSession.sparkContext.broadcast(models)
+    schema = to_arrow_schema(out)
+    size = W.CHUNK_BYTES * max(1, min(len(models.blocks), 4))  # fewer turns of the blocks
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in W.chunks(batches, text_col):
+        for table in W.chunks(batches, text_col, size):
             columns = [c.chunk(0) for c in table.columns]
-            found = _judge(shared.value, table.column(text_col).to_pylist())
+            found = _judge(models, table.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*columns, *found], schema=schema)
 
     return rows.mapInArrow(apply, out)

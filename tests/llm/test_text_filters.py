@@ -234,6 +234,25 @@ def test_language_id(session, odd, none):
     assert judged.where("rejected").count() == odd.where("text IS NULL OR NOT text RLIKE '[a-zA-Z]'").count()
 
 
+def test_language_models_keep_all_sequences_in_small_blocks(session):
+    """A rare language and sequences of count 1 stay when there are more sequences than a block has rows."""
+    texts = {"hot": [prose(i, 60) for i in range(4)] * 5, "low": ["ŵyth ŷd gŵr", "tŷ"]}
+    docs = session.createDataFrame([(t, lang) for lang, own in texts.items() for t in own], "text string, lang string")
+    whole = language_id.fit_languages(docs)
+    cut = language_id.fit_languages(docs, max_sequences=40)
+    assert cut.langs == ["hot", "low"] and len(whole.blocks) == 1 and len(cut.blocks) > 5
+    asked = [prose(70, 30), "gŵr ŷd", "unseen qqq", "k", "", None]
+    bits, _, _ = language_id.cross_entropies(cut, asked)
+    assert np.allclose(bits, language_id.cross_entropies(whole, asked)[0], rtol=1e-6)
+    assert np.allclose(cut.mean, whole.mean) and np.allclose(cut.deviation, whole.deviation)
+    rows = [(i, t) for i, t in enumerate(asked)]
+    got = {}
+    for models in (whole, cut):
+        out = language_id.identify(session.createDataFrame(rows, "doc_id long, text string").repartition(3), models)
+        got[len(models.blocks)] = sorted((r["doc_id"], r["lang_pred"], r["rejected"]) for r in out.collect())
+    assert got[1] == got[len(cut.blocks)] and (1, "low", False) in got[1]
+
+
 def test_hash_array():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 5000).astype(np.uint64))
     array = language_id.HashArray(keys, 2)
