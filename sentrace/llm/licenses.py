@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHA
 FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
 OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING
 OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-KNOWN = (
+_NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -43,6 +46,38 @@ KNOWN = (
     ("MIT", "Released under the MIT License."),
     ("MIT", _MIT),
 )
+#: Usual first lines of texts that are also given without one.
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("Zero-Clause BSD", "BSD Zero Clause License", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng license"),
+    "Unlicense": ("The Unlicense",),
+}
+_ITEM = re.compile(r"^[ \t]*(?:[1-9][.)]|[*-])[ \t]+", re.M)
+
+
+def _texts() -> list[tuple[str, str]]:
+    """Whole licences of ``license_texts`` (one file each, named by SPDX identifier) in their usual forms."""
+    bodies = [("MIT", _MIT.split("\n", 1)[1]), ("ISC", _ISC)]
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        bodies.append((path.stem.removesuffix("-regents"), path.read_text()))
+    out = []
+    for name, body in bodies:
+        forms = [body]
+        if name in ("BSD-2-Clause", "BSD-3-Clause", "Zlib"):  # points with and without their numbers
+            numbers = iter(range(1, 10))
+            forms = [_ITEM.sub("", body), _ITEM.sub(lambda _: f"{next(numbers)}. ", body)]
+        if name == "Apache-2.0":  # with and without the appendix
+            forms.append(body.split("APPENDIX:")[0])
+        out += [(name, f"{title}\n\n{form}") for form in forms for title in ("", *_TITLES.get(name, ()))]
+        out.append((name, f"SPDX-License-Identifier: {name}"))
+    return out
+
+
+KNOWN = tuple(dict.fromkeys((*_NOTICES, *_texts())))
 SPELLINGS = (
     ("licence", "license"),
     ("non commercial", "noncommercial"),
@@ -53,21 +88,56 @@ SPELLINGS = (
 )
 #: ASCII but letters, digits and line ends; Latin-1, general and ideographic punctuation.
 NOT_WORD = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f\x{80}-\x{bf}\x{2000}-\x{206f}\x{3000}-\x{303f}]+"
-#: A canonical line that only says who holds the copyright.
+#: The rule of the SQL check, on canonical lines: it knows no names and drops every line that begins with a year.
 COPYRIGHT_LINE = r"^(copyright )?(c )?(by )?[12][0-9][0-9][0-9]( |$)|^copyright c |^all rights reserved$"
+_SIGN, _YEAR = r"(?i:\(c\)|©)", r"[12][0-9]{3}(?![\p{L}0-9])"
+#: "Copyright" before these words is running text, mostly of a licence.
+_PROSE = "holders?|owners?|notices?|laws?|licen[cs]\\w*|and|or|in|on|of|to|for|is|infring\\w*|protect\\w*|statements?|interests?|disclaimers?|treat\\w+|acts?|status"
+#: "(c)" before these words is a point of a list.
+_POINT = "you|if|the|a|an|any|all|each|in|to|for|or|and|by|no|this|that|such|when|where|under|is|must|use|as|it|its"
+#: A line, as written, that only says who holds the copyright: the word or a sign, then a year or a name.
+OWNER_LINE = (
+    rf"^[^\p{{L}}0-9(©]*(?:(?i:copyright)[ \t:,-]*(?:{_SIGN}|(?i:by )?{_YEAR}|[<\[{{]|(?i:by )?(?!(?i:{_PROSE})\b)\p{{Lu}})"
+    rf"|{_SIGN}[ \t:,-]*(?:(?i:copyright\b)|(?i:by )?{_YEAR}|(?!(?i:{_POINT})\b)\p{{Lu}}))"
+)
+#: A line that names a year and, if it directly follows such a line, belongs to it.
+YEAR_LINE = rf"^[^\p{{L}}0-9]*{_YEAR}"
+RIGHTS_LINE = r"^[^\p{L}0-9]*(?i:all rights reserved)[^\p{L}0-9]*$"
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license string, text string")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` loops over it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def canonical_lines(text: Column) -> Column:
     """Lines in lower case without punctuation, with one spelling; no empty or copyright lines."""
     out = F.regexp_replace(F.replace(F.lower(text), F.lit("©"), F.lit("c")), NOT_WORD, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     lines = F.transform(F.split(out, "\n"), lambda line: F.trim(line))
-    return F.filter(lines, lambda line: (line != "") & ~line.rlike(COPYRIGHT_LINE))
+    written = F.filter(F.arrays_zip(lines.alias("line"), F.split(text, "\n").alias("raw")), lambda x: x["line"] != "")
+
+    def kind(row: Column) -> Column:
+        raw = row["raw"]
+        return F.when(raw.rlike(OWNER_LINE), "c").when(raw.rlike(YEAR_LINE), "y").when(raw.rlike(RIGHTS_LINE), "r").otherwise("t")
+
+    def clean(rows: Column) -> Column:
+        # One letter a line; year lines behind an owner line (\\G: where the last match ended) are marked with it.
+        kinds = F.concat(F.lit("t"), F.array_join(F.transform(rows, kind), ""))
+        marks = F.split(F.regexp_replace(kinds, r"c|r|(?<=[cy])\Gy", "-"), "")
+
+        def stay(m: Column) -> Column:
+            marked = F.transform(rows, lambda x, i: F.struct(x["line"].alias("line"), F.get(m, i + 1).alias("mark")))
+            return F.filter(marked, lambda x: x["mark"] != "-")["line"]
+
+        return _let(marks, stay)
+
+    return _let(written, clean)
 
 
 def text_digest(lines: Column) -> Column:
@@ -87,7 +157,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id",
 
     ``license`` names the known licence that the entire text is (null if none); ``notices``
     lists, in order and joined by commas, the licences that single lines of the text are
-    (empty if none). Null and empty texts, and texts of copyright lines only, match nothing.
+    (empty if none). Copyright lines do not count: "copyright" or a (c) sign with a year or a
+    name, year lines directly behind one, and "all rights reserved". Null and empty texts, and texts of copyright lines only, match nothing.
     Rows that agree in id and text get the same result; repeated known texts count once.
     Columns of ``docs`` with these two names are replaced.
 

@@ -39,6 +39,30 @@ def test_license_scan(session, odd, none):
     assert licenses.scan_licenses(docs, known.limit(0)).where("license IS NOT NULL").count() == 0
 
 
+def test_whole_licenses_and_copyright_lines(session):
+    """Whole texts beyond MIT and ISC, owners without a year, and years that are no copyright line."""
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    texts = {path.stem.removesuffix("-regents"): path.read_text() for path in sorted(folder.glob("*.txt"))}
+    assert {"BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib", "CC0-1.0", "BSL-1.0"} <= set(texts)
+    mit = licenses._MIT.split("\n", 4)[4]
+    cases = [(name, "Copyright (c) 2011-2014 Some One\n2015 Another\n\n" + text) for name, text in texts.items()]
+    cases += [
+        ("MIT", "Copyright Joyent, Inc. and other contributors.\n\n" + mit),
+        ("MIT", "The MIT License (MIT)\n© Joyent\n  2001, Else\n2002 More\n" + mit),
+        ("MIT", "(c) Joyent, Inc.\nAll rights reserved.\n" + mit),
+        (None, "2019 was a good year\n" + mit),
+        (None, "Copyright 2018 One\nReleased under the MIT License.\n2019 was a good year"),
+        (None, "Copyright infringement is wrong\n" + mit),
+        (None, "(c) You must retain it\n" + mit),
+        (None, texts["Apache-2.0"].replace("(c) You must retain", "(c) You need not retain")),
+        (None, "Copyright (c) 2018 One"),
+        (None, "Copyright (c) 2018 One\n" + "2019 x\n" * 20000),
+    ]
+    docs = session.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    out = licenses.scan_licenses(docs, licenses.known_licenses(session)).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["license"]) for r in out] == [(i, name) for i, (name, _) in enumerate(cases)]
+
+
 def test_url_filter(session):
     urls = [
         "http://a.EXAMPLE.com/de/x", "https://example.com/de/", "https://example.com/de", "http://b.net/x", "http://b.net",
