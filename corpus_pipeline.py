@@ -28,8 +28,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut later copies of runs of lines out of the texts; every document stays, ``n_chars`` follows its text."""
-    out = line_dedup.dedup_lines(_narrow(docs))
+    """Cut later copies of runs of 3 lines, or of ``LONG_CHARS`` characters, out of the texts; every document stays, ``n_chars`` follows its text."""
+    out = line_dedup.dedup_lines(_narrow(docs), min_chars=line_dedup.LONG_CHARS)
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("others.n_chars"))
     return _restored(out.withColumn("others", F.col("others").withField("n_chars", length)), docs)
 

@@ -128,6 +128,27 @@ def test_line_dedup(session, odd, none, width):
     assert line_dedup.dedup_lines(none, min_lines=width).count() == 0
 
 
+def test_line_dedup_finds_long_runs_of_one_or_two_lines(session):
+    pick = random.Random(8)
+    pool = ["a", "bb ", " c c", "", " ", "d" * 6, "e" * 7, "f" * 12, "g h" * 5]
+    texts = ["\n".join(pick.choice(pool) for _ in range(pick.randrange(7))) for _ in range(60)]
+    seen, plain = set(), []
+    for text in texts:
+        lines = text.split("\n")
+        full = [i for i, line in enumerate(lines) if line.strip(" ")]
+        gone = set()
+        for n in (1, 2, 3):
+            for s in range(len(full) - n + 1):
+                run = tuple(lines[i] for i in full[s : s + n])
+                if n == 3 or sum(len(x.strip(" ")) for x in run) >= 10:
+                    gone |= set(full[s : s + n]) if run in seen else set()
+                    seen.add(run)
+        plain.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
+    docs = session.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    out = line_dedup.dedup_lines(docs, min_chars=10).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == plain
+
+
 def edit_distance_in(text, pattern):
     """Least edit distance of ``pattern`` to any part of ``text``."""
     row = [0] * (len(text) + 1)
