@@ -8,8 +8,9 @@
 3. Per chunk, repeated windows merge into maximal runs of words, kept by row.
 4. Rows meet their runs in a join, and the words are cut.
 
-A hash has 64 bits, and the part is chosen by further bits of another mixing, so the chance
-that two different windows meet is about the square of the windows of a part over 2^64.
+A hash has 64 bits, and its part follows from the same bits, so the part tells no windows apart
+that the hash does not. Equal hashes are not compared as words: of n windows about n^2 / 2^65
+different pairs meet by chance (0.7 for 5e9 windows), and each loses its words in both places.
 """
 
 from __future__ import annotations
