@@ -27,13 +27,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
     session.stop()
-
-
-def table(spark, rows, schema):
-    """A frame whose 'ntz' columns are given as text."""
-    fields = [f.strip().split() for f in schema.split(",")]
-    raw = ", ".join(f"{name} {'string' if kind == 'ntz' else kind}" for name, kind in fields)
-    df = spark.createDataFrame(rows, raw)
-    return df.selectExpr(
-        *[f"CAST({name} AS TIMESTAMP_NTZ) AS {name}" if kind == "ntz" else name for name, kind in fields]
-    )

@@ -1,4 +1,4 @@
-from conftest import table
+from checking import table
 
 from sentrace.operators import directory as D
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import table
+from checking import table
 
 from sentrace.operators import features as X
 from sentrace.operators import metrics as M

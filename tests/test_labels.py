@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import table
+from checking import table
 
 from sentrace.operators import features as X
 from sentrace.operators import labels as L

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import table
+from checking import table
 
 from sentrace.operators import metrics as M
 

@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import table
+from checking import table
 
 from sentrace.operators import sessions as S
 from sentrace.operators.intervals import sums_before
