@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrace.llm import decontamination, language_id, licenses, line_dedup, neighbours, packing, quality, shingle_join, substring_dedup, url_filter
+from sentrace.llm import (
+    collocations,
+    decontamination,
+    language_id,
+    licenses,
+    line_dedup,
+    neighbours,
+    packing,
+    quality,
+    shingle_join,
+    spelling,
+    substring_dedup,
+    url_filter,
+    warc,
+)
 from sentrace.llm.session import prepare, read
+from sentrace.storage import materialise
 
 #: The contract's rules: (host, path, verdict).
 URL_RULES = (
@@ -76,6 +91,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = warc.round_trip(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)")
+    return records.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = materialise(spelling.count_words(read(spark, sf_dir, "documents").select("doc_id", "text")), "vocabulary")
+    return spelling.group_variants(counted).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -165,6 +197,100 @@ SELECT d.doc_id, CAST(coalesce(k.n, 0) AS INTEGER) AS n_lines, CAST(coalesce(k.r
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
+_OP11 = f"""
+WITH rows AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS digest FROM pages),
+planned AS (
+    SELECT *, CASE WHEN size >= {warc.MIN_REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY digest, size) END AS last FROM rows)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+    CASE WHEN last IS DISTINCT FROM page_id AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN last IS DISTINCT FROM page_id THEN last END AS refers_to
+FROM planned
+"""
+
+_OP12 = f"""
+WITH texts AS (
+    SELECT row_number() OVER () AS rid, coalesce(lang, '{collocations.NO_LANG}') AS lang,
+        regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[.,;:!?\x0A-\x0D]') AS cut
+    FROM documents),
+pieces AS (SELECT rid, lang, unnest(cut) AS piece, generate_subscripts(cut, 1) AS piece_nr FROM texts),
+split AS (SELECT rid, lang, piece_nr, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+words AS (SELECT rid, lang, piece_nr, unnest(ws) AS w1, generate_subscripts(ws, 1) AS pos FROM split),
+runs AS (
+    SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3
+    FROM words WINDOW p AS (PARTITION BY rid, piece_nr ORDER BY pos)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+    SELECT g.lang, g.w1 || ' ' || g.w2 AS phrase, g.f AS a, 1 AS k, x.f AS l, y.f AS r
+    FROM f2 g JOIN f1 x ON g.lang = x.lang AND g.w1 = x.w1 JOIN f1 y ON g.lang = y.lang AND g.w2 = y.w1
+    UNION ALL
+    SELECT g.lang, concat_ws(' ', g.w1, g.w2, g.w3), g.f, 1, x.f, y.f
+    FROM f3 g JOIN f1 x ON g.lang = x.lang AND g.w1 = x.w1 JOIN f2 y ON g.lang = y.lang AND g.w2 = y.w1 AND g.w3 = y.w2
+    UNION ALL
+    SELECT g.lang, concat_ws(' ', g.w1, g.w2, g.w3), g.f, 2, x.f, y.f
+    FROM f3 g JOIN f2 x ON g.lang = x.lang AND g.w1 = x.w1 AND g.w2 = x.w2 JOIN f1 y ON g.lang = y.lang AND g.w3 = y.w1),
+scored AS (
+    SELECT *, (1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r) AS score,
+        row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r), k) AS nr
+    FROM cuts),
+longer AS (
+    SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3),
+covered AS (SELECT lang, phrase, max(f) AS f FROM longer GROUP BY ALL),
+kept AS (
+    SELECT s.* FROM scored s LEFT JOIN covered c ON s.lang = c.lang AND s.phrase = c.phrase
+    WHERE s.nr = 1 AND (c.f IS NULL OR 100 * c.f < 50 * s.a)),
+total AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN total t ON r.lang = t.lang WHERE rank <= 2000
+"""
+
+# The checksum's table is built from its polynomial; near words share a deletion or one is a deletion of the other.
+_OP13 = f"""
+WITH RECURSIVE steps(i, c, nr) AS (
+    SELECT CAST(i AS BIGINT), CAST(i AS BIGINT), 0 FROM range(256) t(i)
+    UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, nr + 1 FROM steps WHERE nr < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE nr = 8),
+runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+        unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents),
+counted AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (
+    SELECT *, list_transform(range(strlen(id || ':' || run)), lambda k: CAST('0x' || substr(hex(encode(id || ':' || run)), CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT)) AS b
+    FROM counted),
+summed AS (
+    SELECT run, n, xor(list_reduce(b, lambda s, x: xor(s >> 8, t[xor(s, x) % 256 + 1]), 4294967295), 4294967295) AS h FROM bytes, crc),
+vocabulary AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (
+    SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM vocabulary)),
+near AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+    UNION
+    SELECT v.word, l.word, l.n FROM vocabulary v JOIN less l ON v.word = l.rest
+    UNION
+    SELECT l.word, v.word, v.n FROM vocabulary v JOIN less l ON v.word = l.rest),
+best AS (
+    SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS form, max(near_n) AS form_n FROM near GROUP BY word),
+formed AS (
+    SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * v.n THEN b.form END AS form,
+        CASE WHEN b.form_n >= 2 * v.n THEN b.form_n END AS form_n
+    FROM vocabulary v LEFT JOIN best b ON v.word = b.word),
+chain(word, root, depth) AS (
+    SELECT word, word, 0 FROM formed
+    UNION ALL
+    SELECT c.word, f.form, c.depth + 1 FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM formed f JOIN (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word) r ON f.word = r.word
+"""
+
 QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op8_nearest_neighbours": op8_nearest_neighbours,
@@ -176,10 +302,16 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op7_url_filter": op7_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "op11_warc": op11_warc,
+    "op12_collocations": op12_collocations,
+    "op13_spelling": op13_spelling,
 }
 ORACLE = {
     "op6_substring_dedup": _OP6,
     "op2_license_scan": _OP2,
     "op7_url_filter": _OP7,
     "op10_line_dedup": _OP10,
+    "op11_warc": _OP11,
+    "op12_collocations": _OP12,
+    "op13_spelling": _OP13,
 }
