@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import urllib.parse
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ MIN_REVISIT_BYTES = 1000
 #: A record that claims to be longer is quarantined, so that one damaged length does not swallow an archive.
 MAX_RECORD_BYTES = 1 << 30
 _BREAK = b"\r\n\r\n"
+_VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 _FIELDS = [
     ("kind", pa.string()),
     ("file", pa.string()),
@@ -86,7 +87,9 @@ def _encode(compressed: bool, date: str) -> Callable[[Iterator[pa.RecordBatch]],
                 if row["refers_to"]:
                     headers += [("WARC-Refers-To", f"<{row['refers_to']}>"), ("WARC-Profile", REVISIT_PROFILE)]
                 headers.append(("Content-Type", "application/http; msgtype=response"))
-                record = record_bytes(headers, head + (b"" if row["refers_to"] else payload))
+                block = head + (b"" if row["refers_to"] else payload)
+                headers.append(("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()))
+                record = record_bytes(headers, block)
                 out.append(member_bytes(record)[:-1] if compressed else record[:-4])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
@@ -141,6 +144,8 @@ def parse_record(raw: bytes) -> dict | str:
     end = raw.find(_BREAK)
     if not raw.startswith(VERSION) or end < 0:
         return "no header"
+    if _VERSION_LINE.search(raw, 1, end):  # the head of a cut record, then another one
+        return "two heads"
     headers = {}
     for line in raw[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -374,22 +379,24 @@ def _read(mark: bytes, kind: type, most: int, payloads: bool):
 def _joined(kind: type, most: int, payloads: bool):
     """Salvage of the fragments of one file, where they follow each other without a break."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("start")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("start")
+        file = table.column("file")[0].as_py()
         rows, salvage, end = [], Salvage(kind, most), None
 
         def told(found: Iterator[tuple]) -> None:
             for what, place, length, reason, more in found:
-                row = {"kind": what, "file": frame["file"].iloc[0], "block": None, "at": place, "length": length, "reason": reason}
+                row = {"kind": what, "file": file, "at": place, "length": length, "reason": reason}
                 rows.append(row | (more | ({} if payloads else {"bytes": None}) if what == "record" else {}))
 
-        for start, piece in zip(frame["start"], frame["bytes"]):
+        for start, piece in zip(table.column("start").to_pylist(), table.column("bytes")):
+            piece = piece.as_py()
             if end is not None and start != end:
                 told(salvage.finish())
-            told(salvage.add(int(start), bytes(piece)))
+            told(salvage.add(start, piece))
             end = start + len(piece)
         told(salvage.finish())
-        return pd.DataFrame(rows, columns=[n for n, _ in _FIELDS]).astype({"block": "Int64", "payload_bytes": "Int64"})
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
@@ -419,7 +426,7 @@ def read_archives(
     starts = told.where("kind = 'block'").select("file", "block", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("base"))
     odd = told.where("kind IN ('gap', 'fragment')").join(starts, ["file", "block"]).withColumn("start", F.col("at") + F.col("base"))
     again = odd.where("kind = 'fragment' AND bytes IS NOT NULL").select("file", "start", "bytes")
-    joined = again.groupBy("file").applyInPandas(_joined(kind, max_record_bytes, payloads), _SCHEMA)
+    joined = again.groupBy("file").applyInArrow(_joined(kind, max_record_bytes, payloads), _SCHEMA)
     joined = materialise(joined, "joined-fragments")
     fields = ["file", "record_type", "record_id", "refers_to", "target_uri", "date", "payload_bytes", "payload_digest", "bytes"]
     records = told.where("kind = 'record'").select(*fields).unionByName(joined.where("kind = 'record'").select(*fields))
