@@ -142,7 +142,7 @@ def write_archives(
 def parse_record(raw: bytes) -> dict | str:
     """Fields of a whole record, or what is wrong with it."""
     end = raw.find(_BREAK)
-    if not raw.startswith(VERSION) or end < 0:
+    if not _VERSION_LINE.match(raw) or end < 0:
         return "no header"
     if _VERSION_LINE.search(raw, 1, end):  # the head of a cut record, then another one
         return "two heads"
