@@ -29,6 +29,10 @@ from sentrace.storage import materialise
 #: Characters that end a piece, and those between the words of a piece.
 SPLITS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 NO_LANG = "und"
+#: Text that is hashed at once; a word takes about 100 bytes of memory per run length.
+SLICE_BYTES = 1 << 20
+#: The ranking is made in this many parts of a language, then of their best.
+RANK_PARTS = 16
 #: The bitmap of frequent pairs has at most 2 ** this many bits (4 MB).
 MAX_BITMAP_BITS = 25
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -50,7 +54,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _AT = _powers(0xA24BAED4963EE407, 1 << 12)
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, size: int = W.CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def slices(data: np.ndarray, offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The chunk itself, or a long text cut behind characters that end a piece (no phrase is cut)."""
     at = 0
     while len(data) - at > 2 * size:
@@ -130,7 +134,7 @@ def _counted(fp: np.ndarray, proof: np.ndarray, doc: np.ndarray, hits: np.ndarra
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Runs, np.ndarray]]:
-    for table in W.chunks(batches):
+    for table in W.chunks(batches, size=2 * SLICE_BYTES):
         docs = table.column("doc").to_numpy()
         langs = table.column("lang_key").to_numpy().view(np.uint64)
         for data, offsets in slices(*W.buffers(table.column("text").chunk(0))):
@@ -196,7 +200,7 @@ def _phrases(mask: int):
     names = ["fp", "proof", "a", "lang", "phrase", "k", "left_fp", "left_proof", "right_fp", "right_proof", "all_fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in W.chunks(batches):
+        for table in W.chunks(batches, size=2 * SLICE_BYTES):
             column = table.column("text").chunk(0)
             for row in range(table.num_rows):
                 lang = np.array([table.column("lang_key")[row].as_py()], np.int64).view(np.uint64)
@@ -273,8 +277,8 @@ def mine_phrases(
     is for tests: it takes bits from the fingerprints, so that they collide.
 
     Everything is counted over all texts. Skew: each chunk counts before the shuffle, whose rows
-    are single fingerprints, so no phrase or language is gathered in one task; the ranking keeps
-    at most ``top`` rows of a language per task before it is shuffled.
+    are single fingerprints, so no phrase or language is gathered in one task; the ranking is
+    made in ``RANK_PARTS`` parts of each language before their best are ranked together.
     """
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG))
     texts = docs.select(
@@ -318,7 +322,9 @@ def mine_phrases(
     )
     inside = part("left").unionByName(part("right")).groupBy("fp", "proof").agg(F.max("longer").alias("longer"))
     kept = best.join(inside, ["fp", "proof"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover_percent * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    first = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    for keys in (["lang", "part"], ["lang"]):  # no task ranks more of a language than the best of its parts
+        order = Window.partitionBy(*keys).orderBy(F.desc("c.score"), F.desc("a"), "phrase")
+        first = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     totals = short.where(words_in == 0).select(F.col("fp").alias("all_fp"), F.col("hits").alias("n"))
     return first.join(totals, "all_fp").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", "c.score")
