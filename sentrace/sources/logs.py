@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentrace.sources.records import csv_records
+
 # Fixed: header columns of the raw files.
 LOG_COLUMNS = {
     "logon": ["id", "date", "user", "pc", "activity"],
@@ -46,13 +48,23 @@ OPERATOR_NAMES = {"user": "user_id", "to": "to_addr", "cc": "cc_addr", "bcc": "b
 def read_csv(spark: SparkSession, path: str | list[str], *, multi_line: bool = True) -> DataFrame:
     """CSV as text columns, named by the header line.
 
-    Quoted fields may hold line breaks. A file is then read as a whole by one task; for
-    large files that are known to hold no such breaks, ``multi_line=False`` lets Spark split
-    them.
+    Quoted fields may hold line breaks; many tasks read one file all the same (see
+    ``records``). Where no field has a break Spark's own reader does the work, as it does
+    with ``multi_line=False``, which also spares the look. All files must have the same
+    header. Blank lines are no records.
     """
-    reader = spark.read.options(header=True, escape='"', multiLine=multi_line, enforceSchema=False)
+    reader = spark.read.options(header=True, escape='"', enforceSchema=False)
     names = reader.csv(path).columns
-    return reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    records = csv_records(spark, path) if multi_line else None
+    if records is None:
+        return reader.schema(schema).csv(path)
+    parsed = F.from_csv("value", ", ".join(f"`{n}` STRING" for n in names), {"escape": '"'})
+    odd = records.where("kind = 'header'").select("file", parsed.alias("r")).where(F.array(*[F.col(f"r.`{n}`") for n in names]) != F.array(*map(F.lit, names)))
+    for row in odd.limit(1).collect():
+        raise ValueError(f"another header than {names}: {row['file']}")
+    rows = records.where("kind <> 'header'").select(parsed.alias("r"))
+    return rows.select(*[F.col(f"r.`{n}`").alias(n) for n in names])
 
 
 def scan_log(spark: SparkSession, path: str | list[str], table: str, *, multi_line: bool = True) -> DataFrame:
@@ -120,7 +132,9 @@ def scan_snapshots(spark: SparkSession, path: str, pattern: str = r"(\d{4}-\d{2}
 
 
 def _snapshot_rows(spark: SparkSession, files: list[str], pattern: str) -> DataFrame:
-    rows = read_csv(spark, files)
+    rows = spark.read.options(header=True, escape='"', multiLine=True, enforceSchema=False)
+    names = rows.csv(files).columns
+    rows = rows.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(files)
     period = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
     first_day = "if(length(ldap_month) = 7, concat(ldap_month, '-01'), ldap_month)"
     return rows.select("*", period.alias("ldap_month")).selectExpr(

@@ -6,12 +6,15 @@ import hashlib
 import json
 import warnings
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sentrace.operators.directory import snapshot_changes, snapshot_latest
 from sentrace.sources.logs import LOG_COLUMNS, scan_log, scan_snapshots, typed_log
+from sentrace.sources.records import pinned_parts
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -58,34 +61,41 @@ def write_log(raw: DataFrame, table: str, path: str) -> int:
     return seen.get["rows"]
 
 
-def ingest(spark: SparkSession, raw_dir: str, out_dir: str, *, multi_line: bool = True) -> DataFrame:
+def ingest(spark: SparkSession, raw_dir: str, out_dir: str, *, multi_line: bool = True, at_once: int = 4) -> DataFrame:
     """Raw folder to Parquet tables: (table, rows). Missing files are skipped with a warning.
 
-    Quoted line breaks are read as part of their field unless ``multi_line`` is off, which
-    lets Spark split large files that have none.
+    Quoted line breaks are read as part of their field, and large files are read by many
+    tasks; ``multi_line=False`` spares the look for such breaks. ``at_once`` tables are
+    written at the same time, so that the tasks of small ones fill what large ones leave idle.
     Rows are counted while they are written. Directory history and its latest rows become
     ``ldap_history`` and ``ldap``.
     """
-    stats: list[tuple[str, int]] = []
+    jobs: list[Callable[[], tuple[str, int]]] = []
     for table in LOG_COLUMNS:
         source = f"{raw_dir}/{table}.csv"
         if not path_exists(spark, source):
             warnings.warn(f"no raw file for {table}: {source}", stacklevel=2)
             continue
-        stats.append((table, write_log(scan_log(spark, source, table, multi_line=multi_line), table, f"{out_dir}/{table}.parquet")))
-    folder = f"{raw_dir}/LDAP"
-    if path_exists(spark, folder):
-        seen = Observation()
-        typed = write_tables(scan_snapshots(spark, folder), f"{out_dir}/ldap_snapshots.parquet")
-        history = snapshot_changes(typed).observe(seen, F.count(F.lit(1)).alias("rows"))
-        stored = write_tables(history, f"{out_dir}/ldap_history.parquet")
-        write_tables(snapshot_latest(stored), f"{out_dir}/ldap.parquet")
-        stats.append(("ldap", seen.get["rows"]))
+        target = f"{out_dir}/{table}.parquet"
+        jobs.append(lambda t=table, a=source, b=target: (t, write_log(scan_log(spark, a, t, multi_line=multi_line), t, b)))
+    if path_exists(spark, f"{raw_dir}/LDAP"):
+        jobs.append(lambda: ("ldap", _write_directory(spark, f"{raw_dir}/LDAP", out_dir)))
     else:
-        warnings.warn(f"no directory snapshots: {folder}", stacklevel=2)
+        warnings.warn(f"no directory snapshots: {raw_dir}/LDAP", stacklevel=2)
+    with pinned_parts(spark), ThreadPoolExecutor(at_once) as pool:
+        stats = list(pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs))
     return spark.createDataFrame(stats, "table string, rows bigint")
 
 
+def _write_directory(spark: SparkSession, folder: str, out_dir: str) -> int:
+    seen = Observation()
+    typed = write_tables(scan_snapshots(spark, folder), f"{out_dir}/ldap_snapshots.parquet")
+    history = snapshot_changes(typed).observe(seen, F.count(F.lit(1)).alias("rows"))
+    stored = write_tables(history, f"{out_dir}/ldap_history.parquet")
+    write_tables(snapshot_latest(stored), f"{out_dir}/ldap.parquet")
+    return seen.get["rows"]
+
+
 def write_scores(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Scores as JSON lines, Parquet or CSV (CSV leaves array columns out)."""
     if fmt == "csv":
