@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrace.functions.columns import struct_of, time_bucket
-from sentrace.operators.ordered import running_sums
+from sentrace.operators.ordered import running_sums, time_slices
 
 SLICE = 6 * 3600  # default width of the time slices of one key
 DAY = 86400
@@ -30,15 +30,14 @@ def sums_before(
     """
     held = [c for c in points.columns if c != key]
     measures = [c for c in events.columns if c not in (key, event_time)]
-    slice_of = lambda ts: f"{time_bucket(ts, slice_seconds)} AS _slice"
     point_rows = points.selectExpr(
-        key, f"{point_time} AS _ts", slice_of(point_time), "0 AS _tie", f"{struct_of(held)} AS _point"
+        key, f"{point_time} AS _ts", "0 AS _tie", f"{struct_of(held)} AS _point"
     )
     # A NULL key equals no key, so such events are before no point.
     event_rows = events.where(f"{key} IS NOT NULL AND {event_time} IS NOT NULL").selectExpr(
-        key, f"{event_time} AS _ts", slice_of(event_time), f"{event_tie} AS _tie", *measures
+        key, f"{event_time} AS _ts", f"{event_tie} AS _tie", *measures
     )
-    stream = point_rows.unionByName(event_rows, allowMissingColumns=True)
+    stream = time_slices(point_rows.unionByName(event_rows, allowMissingColumns=True), [key], "_ts", slice_seconds)
     guarded = {n: f"CASE WHEN _point IS NULL THEN coalesce({text}, 0) ELSE 0 END" for n, text in sums.items()}
     out = running_sums(stream, [key], ["_ts", "_tie"], "_slice", guarded)
     return out.where("_point IS NOT NULL").selectExpr(key, *[f"_point.{c} AS {c}" for c in held], *sums)
@@ -134,16 +133,14 @@ def first_per_epoch(
     that value inside any interval. Distinct counts per interval stay exact while repeats
     are gone before they are matched with intervals.
     """
-    marks = starts.selectExpr(
-        key, f"{start} AS _ts", f"{time_bucket(start, slice_seconds)} AS _slice", "1 AS _mark"
-    )
+    marks = starts.selectExpr(key, f"{start} AS _ts", "1 AS _mark")
     rows = events.where(f"{value} IS NOT NULL AND {key} IS NOT NULL").selectExpr(
-        key, f"{event_time} AS _ts", f"{time_bucket(event_time, slice_seconds)} AS _slice", "0 AS _mark", value
+        key, f"{event_time} AS _ts", "0 AS _mark", value
     )
     epoch = f"""sum(_mark) OVER (PARTITION BY {key}, _slice ORDER BY _ts, _mark DESC
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _epoch"""
     return (
-        rows.unionByName(marks, allowMissingColumns=True)
+        time_slices(rows.unionByName(marks, allowMissingColumns=True), [key], "_ts", slice_seconds)
         .selectExpr("*", epoch)
         .where("_mark = 0")
         .groupBy(key, "_slice", "_epoch", value)

@@ -15,8 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrace.functions.columns import struct_of
+from sentrace.functions.columns import struct_of, time_bucket
+from sentrace.storage import materialise
 
+#: Rows of a key that a time slice may hold before it is cut where the data are dense.
+SLICE_ROWS = 2_000_000
+#: A key and a time take at least so many bytes in a table; smaller tables have no dense slice.
+LEAST_ROW_BYTES = 4
 _STEP = 32  # distance of the cut points tried first
 _ALL_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
@@ -26,6 +31,60 @@ def _over(keys: Sequence[str], order: Sequence[str], frame: str = "") -> str:
     return f"OVER (PARTITION BY {by} ORDER BY {', '.join(order)} {frame})"
 
 
+def time_slices(df: DataFrame, keys: Sequence[str], time: str, seconds: int, *, name: str = "_slice", limit: int | None = None) -> DataFrame:
+    """Adds ``name``: the slice of each row, as the microsecond at which it begins; grows with ``time``.
+
+    Slices are ``seconds`` wide. Where a key has more than ``limit`` rows in one, its
+    seconds are counted and the slice is cut into pieces of about ``limit`` rows; a second that
+    has more itself is cut by its microseconds in the same way. So a slice holds at most
+    ``2 * limit`` rows of a key, and those of one more microsecond. Counts are bounded by the clock: a
+    slice has ``seconds`` seconds, and a second a million microseconds. NULL times have a NULL slice.
+
+    The look for dense slices is one count by key and slice, and none for tables whose
+    estimated size leaves no room for one. Cut or not, results are the same.
+    """
+    limit = limit or SLICE_ROWS
+    ticks = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {time})"
+    second, bucket = f"floor({ticks} / 1000000)", time_bucket(time, seconds)
+    whole = f"{bucket} * {seconds * 1_000_000}"
+    plain = df.selectExpr("*", f"{whole} AS {name}")
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate < limit * LEAST_ROW_BYTES:
+        return plain
+    by = ", ".join(keys)
+    narrow = df.where(f"{time} IS NOT NULL").selectExpr(*keys, f"{bucket} AS _b", f"{second} AS _s", f"{ticks} AS _t")
+    dense = materialise(narrow.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).where(f"_n > {limit}").select(*keys, "_b"), "dense")
+    if dense.isEmpty():
+        return plain
+
+    def same(a: str, b: str, *columns: str):
+        return F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in (*keys, *columns)))
+
+    # The running count before a second tells its piece; a piece begins at its first second.
+    hot = narrow.alias("r").join(dense.alias("d"), same("r", "d", "_b"), "left_semi")
+    counted = hot.groupBy(*keys, "_b", "_s").agg(F.count("*").alias("_n"))
+    placed = counted.selectExpr("*", f"sum(_n) OVER (PARTITION BY {by}, _b ORDER BY _s) - _n AS _before")
+    placed = placed.selectExpr("*", f"_before div {limit} AS _piece")
+    placed = placed.selectExpr(*keys, "_s", "_n", "_before", "_piece", f"min(_s) OVER (PARTITION BY {by}, _b, _piece) * 1000000 AS _start")
+    placed = materialise(placed, "dense-seconds")
+    full = placed.where(f"_n > {limit}")
+    instants = narrow.alias("r").join(full.alias("d"), same("r", "d", "_s")).groupBy(*[f"r.{k}" for k in keys], "r._s", "r._t")
+    instants = instants.agg(F.count("*").alias("_n"), F.first("d._before").alias("_from"), F.first("d._piece").alias("_first"))
+    instants = instants.selectExpr("*", f"(_from + sum(_n) OVER (PARTITION BY {by}, _s ORDER BY _t) - _n) div {limit} AS _piece")
+    cuts = instants.where("_piece > _first").groupBy(*keys, "_s", "_piece").agg(F.min("_t").alias("_t"))
+    cuts = cuts.groupBy(*keys, "_s").agg(F.collect_list("_t").alias("_cuts"))
+    starts = placed.alias("p").join(cuts.alias("c"), same("p", "c", "_s"), "left").selectExpr(
+        *[f"p.{k} AS _key{i}" for i, k in enumerate(keys)], "p._s AS _second", "_start", "_cuts"
+    )
+    found = df.join(
+        materialise(starts, "slice-starts"),
+        F.expr(" AND ".join([*[f"{k} <=> _key{i}" for i, k in enumerate(keys)], f"{second} = _second"])),
+        "left",
+    )
+    own = f"coalesce(array_max(filter(_cuts, cut -> cut <= {ticks})), _start, {whole})"
+    return found.selectExpr(*df.columns, f"{own} AS {name}")
+
+
 def _neighbour(df, keys, order, slice_col, values, *, ahead: bool) -> DataFrame:
     payload = struct_of(f"{source} AS {name}" for name, source in values.items())
     shift, edge, rank = ("lead", "min_by", 1) if ahead else ("lag", "max_by", 0)

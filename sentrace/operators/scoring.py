@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrace.functions.columns import text_literal, time_bucket
+from sentrace.functions.columns import text_literal
 from sentrace.operators.features import FeatureModel, feature_vector
 from sentrace.operators.intervals import DAY
 from sentrace.operators.labels import sample_sessions
 from sentrace.operators.metrics import anomaly_percentile, percentile_vs_reference
-from sentrace.operators.ordered import trailing
+from sentrace.operators.ordered import time_slices, trailing
 from sentrace.operators.profile import user_history
 from sentrace.storage import materialise
 
@@ -126,7 +126,7 @@ def masked_error_window(
 
     Equals the masked error of the padded sequence, without building the sequence.
     """
-    rows = df.selectExpr("*", f"{time_bucket(time, slice_seconds)} AS _slice")
+    rows = time_slices(df, keys, time, slice_seconds)
     return trailing(rows, list(keys), [time, tie], "_slice", length, {"error": f"avg({row_error})"}).drop("_slice")
 
 
@@ -159,7 +159,7 @@ def reconstruction_error_all(
     """Adds ``error``: mean over all steps and features of the padded sequence."""
     width = len(model.mean)
     padded = _padding_error(model, pad if pad is not None else [0.0] * width)
-    rows = row_errors(df, model, vector).selectExpr("*", f"{time_bucket(time, slice_seconds)} AS _slice")
+    rows = time_slices(row_errors(df, model, vector), keys, time, slice_seconds)
     sums = {"_sum": "sum(row_error)", "_real": "count(*)"}
     return trailing(rows, list(keys), [time, tie], "_slice", length, sums).selectExpr(
         *df.columns, f"(_sum + ({length} - _real) * {padded!r}D) / {length * width} AS error"

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from sentrace.functions.columns import pad_array, pad_mask, time_bucket
+from sentrace.functions.columns import pad_array, pad_mask
 from sentrace.operators.intervals import DAY
-from sentrace.operators.ordered import trailing
+from sentrace.operators.ordered import time_slices, trailing
 
 
 def sequences(
@@ -29,7 +29,7 @@ def sequences(
     split column to keep history from crossing splits. Vectors are gathered per block of a
     user's history, never for a whole user.
     """
-    rows = df.selectExpr(*keys, tie, time, vector, *keep, f"{time_bucket(time, slice_seconds)} AS _slice")
+    rows = time_slices(df.select(*keys, tie, time, vector, *keep), keys, time, slice_seconds)
     history = trailing(rows, list(keys), [time, tie], "_slice", length, {"_history": f"collect_list({vector})"})
     padding = f"transform({vector}, x -> 0D)"
     if pad is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentrace.functions import columns as C
 from sentrace.operators.intervals import DAY, SLICE, events_inside, first_per_epoch, sums_inside
-from sentrace.operators.ordered import next_in_order
+from sentrace.operators.ordered import next_in_order, time_slices
 
 DEFAULT_DOMAIN = "@dtaa.com"
 COUNT_MODES = ("true", "compat")
@@ -44,9 +44,7 @@ def sessions(
     ends it too unless it is more than ``max_gap`` away; then, and when nothing follows,
     the session lasts ``cap``. Sessions without positive length are dropped.
     """
-    ordered = logon.selectExpr(
-        "id", "date", "user_id", "pc", "activity", f"{C.time_bucket('date', slice_seconds)} AS _slice"
-    )
+    ordered = time_slices(logon.select("id", "date", "user_id", "pc", "activity"), ["user_id", "pc"], "date", slice_seconds)
     following = next_in_order(
         ordered, ["user_id", "pc"], ["date", "id"], "_slice", {"next_time": "date", "next_activity": "activity"}
     )
