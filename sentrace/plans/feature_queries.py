@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sentrace.operators import features as X
 from sentrace.operators.sequences import sequences
 from sentrace.plans.base import history, stored, with_views
@@ -10,7 +12,6 @@ from sentrace.storage import scratch_path
 
 ALL_FEATURES = [*X.NUMERIC_FEATURES, *X.OPTIONAL_FEATURES]
 CLIP = 99.0
-STEP_FEATURES = ["duration_minutes", "total_actions", "email_count"]
 LENGTH = 100
 # A map without Salesman, so that the data hold an unknown role.
 PARTIAL = RoleMap(
@@ -62,19 +63,15 @@ def _vectors(s, d):
 
 def _sequences(s, d):
     rows = stored(s, d, "enriched")
-    model = X.fit_features(rows, STEP_FEATURES, optional=False)
-    cells = ", ".join(f"seq[step][{i}] AS {f}" for i, f in enumerate(STEP_FEATURES))
+    model = X.fit_features(rows)
+    vectors = X.feature_vector(rows, model).withColumn("features", F.transform("features", lambda x: F.round(x, 9)))
     return (
-        sequences(X.feature_vector(rows, model), LENGTH, model.padding)
-        .selectExpr("session_id", "user_id", "seq", "posexplode(mask) AS (step, mask)")
-        .selectExpr("session_id", "user_id", "step", "mask", *[f"round({c[0]}, 9) AS {c[1]}" for c in _cells(cells)])
+        sequences(vectors, LENGTH, model.padding)
+        .selectExpr("session_id", "user_id", "posexplode(arrays_zip(mask, seq)) AS (step, _at)")
+        .selectExpr("session_id", "user_id", "step", "_at.mask AS mask", *[f"_at.seq[{i}] AS {f}" for i, f in enumerate(model.names)])
     )
 
 
-def _cells(text):
-    return [cell.split(" AS ") for cell in text.split(", ")]
-
-
 QUERIES = {
     "fit_features": lambda s, d: _parameters(_fit(s, d, CLIP, role_mode="units", role_map=PARTIAL), s),
     "feature_model_roundtrip": _roundtrip,
@@ -174,20 +171,40 @@ ORACLE = {
     ),
 }
 
-_WIDE = ", ".join(
-    f"max(CASE WHEN feature = '{f}' THEN round({SCALED}, 9) END) AS {f}" for f in STEP_FEATURES
-)
+_WIDE = ", ".join(f"max(CASE WHEN feature = '{f}' THEN round({SCALED}, 9) END) AS {f}" for f in ALL_FEATURES)
 ORACLE["sequences"] = fitted_views(
     f"""SELECT r.session_id, r.user_id, CAST(s.step AS INTEGER) AS step,
         CAST(CASE WHEN p.n IS NULL THEN 0 ELSE 1 END AS INTEGER) AS mask,
-        {', '.join(f"coalesce(p.{f}, 0.0) AS {f}" for f in STEP_FEATURES)}
+        {', '.join(f"coalesce(p.{f}, 0.0) AS {f}" for f in ALL_FEATURES)}
     FROM (SELECT session_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_time, session_id) AS n
           FROM enriched) r
     CROSS JOIN (SELECT unnest(range({LENGTH})) AS step) s
-    LEFT JOIN (SELECT e.session_id, e.user_id, n, {', '.join(STEP_FEATURES)} FROM
+    LEFT JOIN (SELECT e.session_id, e.user_id, n, {', '.join(ALL_FEATURES)} FROM
             (SELECT session_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_time, session_id) AS n
              FROM enriched) e
             JOIN (SELECT session_id, {_WIDE} FROM long JOIN fitted USING (feature) GROUP BY session_id) w
                 USING (session_id)) p
         ON p.user_id = r.user_id AND p.n = r.n - ({LENGTH - 1} - s.step)"""
 )
+
+
+def prepared_sql(split: str, keys: str, fit: str) -> str:
+    """Check of prepared data: for each session and feature the values of all steps, each times its step.
+
+    ``split`` gives the labelled sessions with their split, ``fit`` the rows that medians and quartiles come from.
+    """
+    structs = f"unnest([{_STRUCTS}], recursive := true)"
+    frame = f"PARTITION BY {keys}, feature ORDER BY nr ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW"
+    return with_views(
+        "labelled",
+        body=f""", placed AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY start_time, session_id) AS nr
+            FROM ({split}) WHERE split IS NOT NULL),
+        long AS (SELECT session_id, {structs} FROM ({fit})),
+        fitted AS ({FITTED}),
+        cells AS (SELECT session_id, user_id, split, label_user, label_session, nr, {structs} FROM placed),
+        scaled AS (SELECT c.*, {SCALED} AS x FROM cells c JOIN fitted USING (feature))
+        SELECT session_id, user_id, split, label_user, label_session, CAST({LENGTH} AS INTEGER) AS steps,
+            CAST(least({LENGTH}, nr) AS INTEGER) AS real_steps, feature,
+            round(({LENGTH} - nr) * sum(x) OVER w + sum(nr * x) OVER w, 5) AS total
+        FROM scaled WINDOW w AS ({frame})""",
+    ).replace("\n, placed AS", ",\nplaced AS", 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sentrace.operators import labels as L
 from sentrace.plans import adapters as A
 from sentrace.plans.base import stored, with_views
+from sentrace.plans.feature_queries import prepared_sql
 
 SEED = 42
 SAMPLE = 500
@@ -19,20 +20,23 @@ def labelled(s, d):
 
 
 def _prepared(kind):
+    """Every feature of every prepared session: the sum of its values over the steps, each times its step (from 1)."""
+
     def run(s, d):
         incidents = A.incidents(s, d)
         prepare = L.prepare_random if kind == "random" else L.prepare_temporal
-        return (
-            prepare(stored(s, d, "enriched"), incidents, incidents, LENGTH)
-            .sequences.selectExpr(
-                "session_id",
-                "user_id",
-                "split",
-                "label_user",
-                "label_session",
-                "size(seq) AS steps",
-                "aggregate(mask, 0, (t, x) -> t + x) AS real_steps",
-            )
+        found = prepare(stored(s, d, "enriched"), incidents, incidents, LENGTH)
+        total = lambda i: f"aggregate(seq, struct(0D AS t, 1 AS s), (a, x) -> struct(a.t + a.s * x[{i}] AS t, a.s + 1 AS s), a -> a.t)"
+        totals = ", ".join(f"struct('{f}' AS feature, round({total(i)}, 5) AS total)" for i, f in enumerate(found.model.names))
+        return found.sequences.selectExpr(
+            "session_id",
+            "user_id",
+            "split",
+            "label_user",
+            "label_session",
+            "size(seq) AS steps",
+            "aggregate(mask, 0, (t, x) -> t + x) AS real_steps",
+            f"inline(array({totals}))",
         )
 
     return run
@@ -76,13 +80,6 @@ _RANDOM = f"""SELECT *, CASE WHEN n <= floor(total * CAST(0.7 AS DOUBLE)) THEN '
     UNION ALL BY NAME SELECT *, 'test' AS split FROM labelled WHERE label_user = 1"""
 
 
-def _prepared_sql(source: str, keys: str) -> str:
-    return f"""SELECT session_id, user_id, split, label_user, label_session, CAST({LENGTH} AS INTEGER) AS steps,
-        CAST(least({LENGTH}, row_number() OVER (PARTITION BY {keys} ORDER BY start_time, session_id)) AS INTEGER)
-            AS real_steps
-        FROM ({source}) WHERE split IS NOT NULL"""
-
-
 ORACLE = {
     "incidents": with_views("incidents", body="SELECT * FROM incidents"),
     "label_sessions": with_views(
@@ -108,7 +105,7 @@ ORACLE = {
         body=f"""SELECT session_id, user_id FROM sessions
             ORDER BY md5(concat(CAST(session_id AS VARCHAR), ':{SEED}')), session_id LIMIT {SAMPLE}""",
     ),
-    "prepare_random": with_views("labelled", body=_prepared_sql(_RANDOM, "label_user, user_id")),
-    "prepare_temporal": with_views("labelled", body=_prepared_sql(_TEMPORAL, "split, user_id")),
+    "prepare_random": prepared_sql(_RANDOM, "label_user, user_id", "SELECT * FROM labelled WHERE label_user = 0"),
+    "prepare_temporal": prepared_sql(_TEMPORAL, "split, user_id", "SELECT * FROM placed WHERE split = 'train'"),
     "cutoffs": with_views("sessions", body=_CUT.format(source="sessions")),
 }

@@ -9,7 +9,7 @@ from sentrace.operators import scoring as K
 from sentrace.operators.sequences import sequences
 from sentrace.plans import adapters as A
 from sentrace.plans.base import stored
-from sentrace.plans.feature_queries import LENGTH, SCALED, STEP_FEATURES, fitted_views
+from sentrace.plans.feature_queries import ALL_FEATURES, LENGTH, SCALED, fitted_views
 from sentrace.plans.metric_queries import _rounded
 from sentrace.storage import materialise, scratch_path
 
@@ -99,7 +99,7 @@ def _squared_norm_model():
 
 def _external(s, d):
     rows = stored(s, d, "enriched")
-    model = X.fit_features(rows, STEP_FEATURES, optional=False)
+    model = X.fit_features(rows)
     built = materialise(sequences(X.feature_vector(rows, model), LENGTH, model.padding), "sequences")
     scored = K.score_sessions(built, K.batch_model(_squared_norm_model, LENGTH, len(model.names)))
     return scored.selectExpr(
@@ -148,7 +148,7 @@ QUERIES = {
 
 _WINDOWED = f"""SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
     ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), 9) AS error FROM events"""
-_NAMES = ", ".join(f"'{f}'" for f in STEP_FEATURES)
+_NAMES = ", ".join(f"'{f}'" for f in ALL_FEATURES)
 
 ORACLE = {
     "masked_error_window": _WINDOWED,

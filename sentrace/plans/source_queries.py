@@ -24,10 +24,12 @@ def raw_folder(s, d) -> str:
         return _raw[key]
     root = scratch_path(s, "raw")
     blank = {"content": "concat('say \"hi\", ', id)", "pc": "'PC-0'"}
+    mail = {"content": "concat('say \"hi\", ', id, if(id % 3 = 0, '\\nbye, \\r\\n\"x\"', ''))"}  # with line breaks
     back = {v: k for k, v in logs.OPERATOR_NAMES.items()}
     for name in ("logon", "device", "http", "email", "file"):
         df = getattr(A, name)(s, d)
         have = {back.get(c, c): f"date_format(date, '{RAW_TIME}')" if c == "date" else c for c in df.columns}
+        have |= mail if name == "email" else {}
         texts = [f"{have.get(c) or blank[c]} AS `{c}`" for c in logs.LOG_COLUMNS[name]]
         df.selectExpr(*texts).write.csv(f"{root}/{name}.csv", header=True, escape='"')
     traits = A.traits(s, d).selectExpr("concat('Name ', user_id) AS employee_name", "user_id", "o AS O", "c AS C",
@@ -198,7 +200,8 @@ ORACLE = {
     "scan_log": with_views(
         "email",
         body="""SELECT id, date_trunc('second', date) AS date, user_id, to_addr, cc_addr, from_addr, size, attachments,
-            concat('say "hi", ', id) AS content FROM email""",
+            concat('say "hi", ', id, CASE WHEN id % 3 = 0 THEN concat(chr(10), 'bye, ', chr(13), chr(10), '"x"') ELSE '' END)
+                AS content FROM email""",
     ),
     "coerce_types": """SELECT event_id, CASE WHEN event_id % 5 <= 2 THEN date_trunc('second', ts) END AS date,
         CAST(CASE WHEN event_id % 4 <= 1 THEN event_id ELSE 0 END AS BIGINT) AS size FROM events""",
