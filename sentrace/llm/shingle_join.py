@@ -7,8 +7,9 @@
    Nodes that share one, with sizes that allow a link, form a group.
 3. Instead of all pairs of a group, nodes are searched from centres: each node goes to the centre
    it shares most with, then each component found so far to the centre of another. Only
-   pairs of a group that are still in different components after that are searched one by one.
-   The number of rare shingles a pair shares bounds its overlap, and most pairs end there.
+   pairs of a group that are still in different components after that are searched one by one,
+   and of these only such whose shared shingle stands so early in both orders that what follows can
+   hold the overlap a link needs. The number of rare shingles a pair shares bounds its overlap too.
 4. A search is a T-occurrence search (DivideSkip): the lists of the query's shingles say which
    records of a block have them; short lists are merged and counted, long ones are probed
    by binary search for the records that may still reach their bound.
@@ -89,7 +90,7 @@ def _describe(width: int):
 
 
 def _prefixes(width: int, parts: int, sketch):
-    """The rare shingles of each node, packed by part: 32-bit key, node, size."""
+    """The rare shingles of each node, packed by part: 32-bit key, node, size, place in the node's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -110,6 +111,7 @@ def _prefixes(width: int, parts: int, sketch):
             lengths = [len(k) for k in keys]
             key = np.concatenate(keys)
             node, size = np.repeat(np.array(nodes, np.int64), lengths), np.repeat(np.array(sizes, np.uint32), lengths)
+            place = np.concatenate([np.arange(x, dtype=np.uint32) for x in lengths])
             mixed = W.mix(key)
             part = (mixed % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -117,27 +119,28 @@ def _prefixes(width: int, parts: int, sketch):
             used = np.flatnonzero(np.diff(cuts))
             short = (mixed >> np.uint64(32)).astype(np.uint32)
             at = [order[cuts[p] : cuts[p + 1]] for p in used]
-            columns = [pa.array([x[i].tobytes() for i in at], pa.binary()) for x in (short, node, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *columns], ["part", "keys", "nodes", "sizes"])
+            columns = [pa.array([x[i].tobytes() for i in at], pa.binary()) for x in (short, node, size, place)]
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *columns], ["part", "keys", "nodes", "sizes", "places"])
 
     return run
 
 
 def _groups(frame: pd.DataFrame) -> pd.DataFrame:
-    """(shared, node, n): nodes that share a key and whose sizes allow a link with the next."""
+    """(shared, node, n, place): nodes that share a key and whose sizes allow a link with the next."""
     key = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["keys"]]).astype(np.int64)
     node = np.concatenate([np.frombuffer(x, np.int64) for x in frame["nodes"]])
     n = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["sizes"]]).astype(np.int64)
-    order = np.lexsort((node, n, key))
-    key, node, n = key[order], node[order], n[order]
+    place = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["places"]])
+    order = np.lexsort((place, node, n, key))
+    key, node, n, place = key[order], node[order], n[order], place[order]
     new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-    key, node, n = key[new], node[new], n[new]
+    key, node, n, place = key[new], node[new], n[new], place[new]
     split = np.append(True, (key[1:] != key[:-1]) | (DEN * n[:-1] < NUM * n[1:]))
     run = np.cumsum(split) - 1
     count = np.bincount(run)
     keep = count[run] > 1
     shared = (np.int64(frame["part"].iloc[0]) << 32) + run[keep]
-    return pd.DataFrame({"shared": shared, "node": node[keep], "n": n[keep]})
+    return pd.DataFrame({"shared": shared, "node": node[keep], "n": n[keep], "place": place[keep].astype(np.int32)})
 
 
 def _needed(n: int, sizes: np.ndarray) -> np.ndarray:
@@ -286,8 +289,8 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
     sketch[counted["slot"].to_numpy(np.int64)] = counted["n"]
     nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("d"), F.min("n").alias("n"))
     nodes = materialise(nodes.select("node", "d.id", "d.digest", "n"), "nodes")
-    sent = rows.mapInArrow(_prefixes(width, parts, context.broadcast(sketch)), "part int, keys binary, nodes binary, sizes binary")
-    groups = materialise(sent.groupBy("part").applyInPandas(_groups, "shared long, node long, n long"), "groups")
+    sent = rows.mapInArrow(_prefixes(width, parts, context.broadcast(sketch)), "part int, keys binary, nodes binary, sizes binary, places binary")
+    groups = materialise(sent.groupBy("part").applyInPandas(_groups, "shared long, node long, n long, place int"), "groups")
     join = _Join(rows, nodes, groups, width)
 
     links = None
@@ -317,13 +320,16 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
     pairs = per_part.join(centres, "shared").where(F.col("label") != F.col("c.label")).select("label", "node", F.col("c.node").alias("centre"))
     joined(join.search(join.counted(_best(pairs, "label"))))
 
-    rest = materialise(mixed(), "mixed")
+    # The first shingle that two linked sets share leaves room behind it, in both, for all that they must share.
+    rest = materialise(mixed().where("place <= n - ceil(4 * n / 5)"), "mixed")
     a, b = rest.alias("a"), rest.alias("b")
+    must = "ceil(4 * (a.n + b.n) / 9)"
     left = a.join(b, F.col("a.shared") == F.col("b.shared")).where(
         "a.node < b.node AND a.label != b.label AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n"
+        f" AND a.place <= a.n - {must} AND b.place <= b.n - {must}"
     )
-    left = left.groupBy(F.col("a.node").alias("node"), F.col("b.node").alias("centre")).agg(F.count("*").alias("common"))
-    return members, joined(join.search(left))
+    left = materialise(left.select(F.col("a.node").alias("node"), F.col("b.node").alias("centre")).distinct(), "left")
+    return members, joined(join.search(join.counted(left)))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
