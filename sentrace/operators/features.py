@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrace.functions.columns import text_literal
+from sentrace.operators.ordered import ordinal
 from sentrace.operators.quantiles import exact_quantiles, unpivot
 
 # Fixed: base features in vector order.
@@ -296,6 +297,41 @@ def feature_vector(df: DataFrame, model: FeatureModel) -> DataFrame:
     return df.selectExpr("*", f"{vector} AS features")
 
 
+def role_dictionary(df: DataFrame) -> DataFrame:
+    """(role, place): the distinct roles with their places (from 0) in byte order.
+
+    Counts of the roles' leading bytes, summed in order, tell where each group of roles begins, so
+    no task sorts all roles and none reaches the driver.
+    """
+    roles = df.where("role IS NOT NULL").select("role").distinct()
+    sliced = roles.selectExpr("role", "substring(hex(role), 1, 12) AS _slice")
+    return ordinal(sliced, [], ["role"], "_slice").selectExpr("role", "_n - 1 AS place")
+
+
+def sparse_vector(df: DataFrame, model: FeatureModel, dictionary: DataFrame) -> DataFrame:
+    """Adds ``sparse STRUCT<size, indices, values>``: the entries of the feature vector that are not 0.
+
+    The scaled numeric features come first, then one position for each role of ``dictionary``
+    (see :func:`role_dictionary`), however many there are: a row holds one entry for its
+    role at most. Roles that are missing or not in the dictionary have none. ``model`` is
+    fitted without roles. The dictionary is joined; it is broadcast only if it is measured small.
+    """
+    width = len(model.numeric)
+    numbers = ", ".join(f"struct(CAST({i} AS BIGINT) AS i, {text} AS v)" for i, text in enumerate(_clipped(model).values()))
+    own = f"CASE WHEN _place IS NULL THEN array() ELSE array(struct({width} + _place AS i, 1D AS v)) END"
+    total = dictionary.agg(F.count("*")).scalar()
+    placed = df.join(dictionary.selectExpr("role AS _role", "place AS _place"), F.expr("role = _role"), "left")
+    entries = placed.withColumn("_roles", total).selectExpr(
+        *df.columns, "_roles", f"filter(concat(array({numbers}), {own}), e -> e.v <> 0) AS _entries"
+    )
+    return entries.selectExpr(*df.columns, f"struct({width} + _roles AS size, _entries.i AS indices, _entries.v AS values) AS sparse")
+
+
+def dense_vector(sparse: str) -> str:
+    """A sparse struct as an array of all its values."""
+    return f"transform(sequence(0L, {sparse}.size - 1), i -> coalesce(get({sparse}.values, CAST(array_position({sparse}.indices, i) - 1 AS INT)), 0D))"
+
+
 def unknown_roles(df: DataFrame, roles: DataFrame) -> DataFrame:
     """Roles in the data that the map does not hold."""
     present = df.where("role IS NOT NULL").select("role").distinct()

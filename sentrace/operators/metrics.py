@@ -15,6 +15,7 @@ from sentrace.functions.columns import clamp_hours, hours_between, ratio, text_l
 from sentrace.operators.intervals import DAY, interval_slices
 from sentrace.operators.ordered import next_in_order, previous_in_order, running_sums, with_value_slices
 from sentrace.operators.quantiles import exact_quantiles, unpivot, value_ranks
+from sentrace.operators.substrings import words_inside
 from sentrace.storage import materialise
 
 
@@ -318,17 +319,14 @@ def ttd_per_incident(
 
     Sessions meet incidents on user and time slice. The first detection and the counts are
     plain aggregates, so a large incident is not gathered anywhere. With ``by_substring``
-    the user id only has to occur in the session id (for scores without a user column); the
-    parts of the session id as long as some user id then take the place of the user.
+    the user id only has to occur in the session id (for scores without a user column): every
+    user id found in it takes the place of the user.
     """
     cut = threshold.select("threshold").scalar() if isinstance(threshold, DataFrame) else F.lit(float(threshold))
     user = "user_id"
     if by_substring:
-        lengths = incidents.agg(F.expr("coalesce(collect_set(length(user_id)), array())")).scalar()
-        scored = scored.withColumn("_lengths", lengths)
-        parts = """transform(_lengths, n -> transform(sequence(1, greatest(1, length(session_id) - n + 1)),
-            i -> substring(session_id, i, n)))"""
-        user = f"explode(array_distinct(flatten({parts})))"
+        columns = list(dict.fromkeys(["session_id", "start_time", score]))
+        scored, user = words_inside(scored.select(*columns), "session_id", incidents, "user_id", "_name"), "_name"
     rows = scored.withColumn("_cut", cut).selectExpr(
         "session_id",
         f"{user} AS _user",

@@ -61,6 +61,13 @@ def _vectors(s, d):
     )
 
 
+def _sparse(s, d):
+    rows = stored(s, d, "enriched")
+    found = X.sparse_vector(rows, _fit(s, d), X.role_dictionary(rows))
+    entries = found.selectExpr("session_id", "sparse.size AS size", "inline(arrays_zip(sparse.indices, sparse.values))")
+    return entries.selectExpr("session_id", "size", "indices AS position", "round(values, 9) AS value").where("value <> 0")
+
+
 def _sequences(s, d):
     rows = stored(s, d, "enriched")
     model = X.fit_features(rows)
@@ -81,6 +88,8 @@ QUERIES = {
     "encode_roles": lambda s, d: _encoded(s, d, "roles"),
     "encode_role_units": lambda s, d: _encoded(s, d, "units"),
     "feature_vector": _vectors,
+    "sparse_vector": _sparse,
+    "role_dictionary": lambda s, d: X.role_dictionary(stored(s, d, "enriched")),
     "sequences": _sequences,
     "role_units": lambda s, d: X.role_unit_lookup(history(s, d), role_units(s))
     .groupBy("role", "unit")
@@ -160,6 +169,20 @@ ORACLE = {
                 CAST(CASE WHEN {_unit_case(role_map())} = unit THEN 1 ELSE 0 END AS DOUBLE)
                 FROM enriched, (VALUES {_UNIT_ROWS}) AS u(unit, i)"""
     ),
+    "role_dictionary": with_views(
+        "enriched",
+        body="""SELECT role, row_number() OVER (ORDER BY encode(role)) - 1 AS place
+            FROM (SELECT DISTINCT role FROM enriched WHERE role IS NOT NULL)""",
+    ),
+    "sparse_vector": fitted_views(
+        f"""SELECT session_id, {_N} + (SELECT count(DISTINCT role) FROM enriched) AS size, position, value FROM (
+            SELECT session_id, CAST(fitted.position AS BIGINT) AS position, round({SCALED}, 9) AS value
+                FROM long JOIN fitted USING (feature)
+            UNION ALL SELECT session_id, {_N} + place, CAST(1 AS DOUBLE) FROM enriched JOIN (
+                SELECT role, row_number() OVER (ORDER BY encode(role)) - 1 AS place
+                FROM (SELECT DISTINCT role FROM enriched WHERE role IS NOT NULL)) USING (role))
+            WHERE value <> 0"""
+    ),
     "sequences": None,
     "role_units": with_views(
         "history",
