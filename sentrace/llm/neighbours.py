@@ -6,7 +6,8 @@ goes if a kept one is nearer to its end by the factor ALPHA), and edges back are
 Queries walk every shard's graph with a beam, in blocks, and their best are merged.
 
 Inner products become distances by one more coordinate, sqrt(m^2 - |x|^2) for the largest
-length m of the shard (0 for queries), so the graph also serves vectors of unequal length.
+length m of the shard (0 for queries). That coordinate must stay small, or it hides the direction
+of a vector, so a shard holds vectors of one band of lengths only, and every band is searched.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from sentrace.storage import materialise
 SHARD = 8192
 DEGREE, BUILD_BEAM, ALPHA = 32, 48, 1.2
 BEAM, STEP = 80, 4
+#: Lengths of a shard differ by this factor at most.
+LENGTH_BAND = 1.15
 QUERY_BLOCK = 1024
-_GRAPH = "shard int, dim int, vectors binary, edges binary, ids binary, id_bounds binary, start int"
+#: Query blocks that pass one copy of a shard.
+BLOCKS_PER_COPY = 16
+_GRAPH = "shard int, dim int, band int, vectors binary, edges binary, ids binary, id_bounds binary, start int"
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, beam: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -133,20 +138,23 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
 
 
 def lift(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with the coordinate that makes them equally long."""
-    square = (vectors.astype(np.float64) ** 2).sum(1)
+    """Vectors, scaled to lengths up to 1, with the coordinate that makes them equally long."""
+    vectors = vectors / max(np.abs(vectors).max(), np.finfo(float).tiny)
+    square = (vectors**2).sum(1)
+    vectors, square = vectors / np.sqrt(square.max()), square / square.max()
     return np.concatenate([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1).astype(np.float32)
 
 
 def _index(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("first_id")
-    vectors = np.stack(group["vector"].to_numpy()).astype(np.float32)
+    vectors = np.stack(group["vector"].to_numpy()).astype(np.float64)
     edges, start = build_graph(lift(vectors))
     ids = [np.sort(np.asarray(i, np.int64)) for i in group["ids"]]
     return pd.DataFrame(
         {
             "shard": [group["shard"].iloc[0]],
             "dim": [vectors.shape[1]],
+            "band": [group["band"].iloc[0]],
             "vectors": [vectors.tobytes()],
             "edges": [edges.tobytes()],
             "ids": [np.concatenate(ids).tobytes()],
@@ -160,19 +168,20 @@ def _search(k: int, beam: int):
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                vectors = np.frombuffer(row.vectors, np.float32).reshape(-1, row.dim)
+                vectors = np.frombuffer(row.vectors, np.float64).reshape(-1, row.dim)
                 edges = np.frombuffer(row.edges, np.int32).reshape(len(vectors), -1)
                 ids, bounds = np.frombuffer(row.ids, np.int64), np.frombuffer(row.id_bounds, np.int64)
                 query_ids = np.asarray(row.query_ids, np.int64)
-                queries = np.stack([np.asarray(q, np.float32) for q in row.queries])
+                queries = np.stack([np.asarray(q, np.float64) for q in row.queries])
                 points = lift(vectors)
                 for at in range(0, len(queries), 256):
                     part = queries[at : at + 256]
-                    padded = np.concatenate([part, np.zeros((len(part), 1), np.float32)], 1)
+                    scaled = part / np.maximum(np.abs(part).max(1, keepdims=True), np.finfo(float).tiny)
+                    padded = np.concatenate([scaled, np.zeros((len(part), 1))], 1).astype(np.float32)
                     met, _ = beam_search(points, edges, row.start, padded, beam)
                     query, slot = np.nonzero(met >= 0)
                     node = met[query, slot]
-                    score = np.einsum("ij,ij->i", part[query].astype(np.float64), vectors[node].astype(np.float64))
+                    score = np.einsum("ij,ij->i", part[query], vectors[node])
                     n = bounds[node + 1] - bounds[node]
                     which = np.repeat(np.arange(len(node)), n)
                     vec = ids[np.repeat(bounds[node] - (np.cumsum(n) - n), n) + np.arange(len(which))]
@@ -190,7 +199,7 @@ def _search(k: int, beam: int):
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector) of the rows that take part, one per id."""
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("vector", lambda x: x != 0)
     return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~odd & some).groupBy("vec_id").agg(F.min("vector").alias("vector"))
@@ -215,25 +224,39 @@ def nearest(
     smallest ids (larger ones cannot be among the nearest). Every row is indexed.
     """
     rows = usable(vectors, id_col, vector_col)
-    rows = materialise(rows.withColumn("dim", F.size("vector")), "vectors")
+    most = "array_max(transform(vector, x -> abs(x)))"
+    length = f"ln({most}) + 0.5D * ln(aggregate(vector, 0D, (t, x) -> t + (x / {most}) * (x / {most})))"
+    band = F.expr(f"CAST(floor(({length}) / {math.log(LENGTH_BAND)!r}D + 0.5D) AS INT)")
+    rows = materialise(rows.withColumn("dim", F.size("vector")).withColumn("band", band), "vectors")
     equal = Window.partitionBy("vector").orderBy("vec_id")
     points = rows.withColumn("nr", F.row_number().over(equal)).where(F.col("nr") <= k + 1)
-    points = points.groupBy("dim", "vector").agg(F.collect_list("vec_id").alias("ids"), F.min("vec_id").alias("first_id"))
-    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row per length
-    shards = {dim: max(1, math.ceil(n / shard_size)) for dim, n in sizes.items()}
-    if not shards:
+    points = points.groupBy("dim", "band", "vector").agg(F.collect_list("vec_id").alias("ids"), F.min("vec_id").alias("first_id"))
+    # One row for each number of components and band of lengths.
+    sizes = rows.groupBy("dim", "band").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_step == 0).alias("asked")).collect()
+    if not sizes:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    of_dim = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])
-    placed = points.withColumn("shard", F.pmod(F.xxhash64("vector"), of_dim[F.col("dim")]).cast("int"))
-    graphs = materialise(placed.groupBy("dim", "shard").applyInPandas(_index, _GRAPH), "graphs")
-    queries = rows.where(F.col("vec_id") % query_step == 0)
-    per_dim = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    blocks = F.create_map(*[F.lit(x) for dim, n in (per_dim or {0: 1}).items() for x in (dim, max(1, math.ceil(n / QUERY_BLOCK)))])
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks[F.col("dim")]))
+    asked_of: dict[int, int] = {}
+    for r in sizes:
+        asked_of[r["dim"]] = asked_of.get(r["dim"], 0) + r["asked"]
+    plan = [
+        (r["dim"], r["band"], math.ceil(r["n"] / shard_size), max(1, math.ceil(asked_of[r["dim"]] / QUERY_BLOCK))) for r in sizes
+    ]
+    plan = rows.sparkSession.createDataFrame(plan, "dim int, band int, shards int, blocks int")
+    placed = points.join(plan, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vector"), "shards").cast("int"))
+    graphs = materialise(placed.groupBy("dim", "band", "shard").applyInPandas(_index, _GRAPH), "graphs")
+    of_dim = plan.groupBy("dim").agg(F.max("blocks").alias("blocks"))
+    queries = rows.where(F.col("vec_id") % query_step == 0).select("vec_id", "vector", "dim").join(of_dim, "dim")
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
     queries = queries.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("q"))
-    queries = queries.select("dim", "block", F.col("q.vec_id").alias("query_ids"), F.col("q.vector").alias("queries"))
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), of_dim[F.col("dim")] - 1)))
-    pairs = asked.join(graphs, ["dim", "shard"]).select("dim", "vectors", "edges", "ids", "id_bounds", "start", "query_ids", "queries")
-    found = pairs.repartition("query_ids", "vectors").mapInPandas(_search(k, beam), "query_id long, vec_id long, score double")
+    copy = F.floor(F.col("block") / BLOCKS_PER_COPY).cast("int").alias("copy")
+    queries = queries.select("dim", copy, F.col("q.vec_id").alias("query_ids"), F.col("q.vector").alias("queries"))
+    # Query blocks travel to the shards; a shard is copied once for many blocks and searched where the join puts it.
+    shards = plan.select("dim", "band", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    asked = queries.join(shards, "dim")
+    copies = F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / BLOCKS_PER_COPY).cast("int"))).alias("copy")
+    held = graphs.join(of_dim, "dim").select("*", copies)
+    pairs = asked.join(held.hint("merge"), ["dim", "band", "shard", "copy"])
+    pairs = pairs.select("dim", "vectors", "edges", "ids", "id_bounds", "start", "query_ids", "queries")
+    found = pairs.mapInPandas(_search(k, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

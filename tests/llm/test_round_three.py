@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from conftest_helpers import prose
 
-from sentrace.llm import collocations, spelling, warc
+from sentrace.llm import collocations, neighbours, spelling, warc
 
 
 def folder():
@@ -256,3 +256,38 @@ def test_words_are_counted_with_dropped_letters(session, odd):
 def test_words_without_letters(session):
     df = session.createDataFrame([(None, 3), ("", 4), ("ab", 5)], "word string, n long")
     assert rows_of(spelling.group_variants(df)) == sorted([(None, None, None, 3, 0, None), ("", None, "", 4, 0, None), ("ab", None, "ab", 5, 0, None)], key=str)
+
+
+# Nearest neighbours by inner product
+
+
+def lengths(kind, n, random_):
+    if kind == "unit":
+        return np.ones((n, 1))
+    if kind == "uniform":
+        return random_.uniform(0.5, 2, (n, 1))
+    return random_.lognormal(0, float(kind), (n, 1)) * 1e120
+
+
+@pytest.mark.parametrize("kind", ["unit", "uniform", "0.2", "1.0"])
+def test_recall_in_shards_of_the_registered_size(session, kind):
+    """Also for vectors of unequal length, and beyond the range of single precision."""
+    random_ = np.random.default_rng(11)
+    vectors = random_.normal(size=(8000, 48))
+    vectors *= lengths(kind, 8000, random_) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = session.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    found = {}
+    for r in neighbours.nearest(frame).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    queries = np.arange(0, 8000, 20)
+    score = vectors[queries] @ vectors.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    best = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    assert sum(len(found[q] & set(b.tolist())) for q, b in zip(queries.tolist(), best)) >= 0.9 * best.size
+
+
+def test_order_in_double_precision(session):
+    rows = [(i, [1.0 + i * 1e-9, 1.0, 2.0]) for i in range(40)]
+    got = neighbours.nearest(session.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert [r["vec_id"] for r in got.where("query_id = 0").orderBy("rank").collect()] == list(range(39, 19, -1))
