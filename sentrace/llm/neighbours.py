@@ -241,9 +241,12 @@ def nearest(
     plan = [
         (r["dim"], r["band"], math.ceil(r["n"] / shard_size), max(1, math.ceil(asked_of[r["dim"]] / QUERY_BLOCK))) for r in sizes
     ]
+    n_shards = sum(shards for _, _, shards, _ in plan)
     plan = rows.sparkSession.createDataFrame(plan, "dim int, band int, shards int, blocks int")
     placed = points.join(plan, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vector"), "shards").cast("int"))
-    graphs = materialise(placed.groupBy("dim", "band", "shard").applyInPandas(_index, _GRAPH), "graphs")
+    # Building takes long for its bytes, so shards are spread by their number, not by their size.
+    spread = placed.repartition(2 * n_shards, "dim", "band", "shard")
+    graphs = materialise(spread.groupBy("dim", "band", "shard").applyInPandas(_index, _GRAPH), "graphs")
     of_dim = plan.groupBy("dim").agg(F.max("blocks").alias("blocks"))
     queries = rows.where(F.col("vec_id") % query_step == 0).select("vec_id", "vector", "dim").join(of_dim, "dim")
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
