@@ -169,10 +169,9 @@ def profile_raw(df: DataFrame, name: str, numeric: Sequence[str] = (), size_byte
     return out
 
 
-def file_bytes(df: DataFrame) -> DataFrame:
-    """One row: total size of the files behind a file scan. Only their listing is read."""
-    files = df.sparkSession.read.format("binaryFile").load(df.inputFiles())
-    return files.agg(F.expr("sum(length) AS size"))
+def file_bytes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row: total size of the files at ``path``. Only their listing is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.expr("coalesce(sum(length), 0) AS size"))
 
 
 def raw_overview(logs: dict[str, DataFrame], directory: DataFrame | None = None, period: str = "ldap_month") -> DataFrame:

@@ -48,6 +48,14 @@ def _history_with_current(s, d):
     )
 
 
+_LOG_COLUMNS = {
+    "logon": "id date user_id pc activity",
+    "device": "id date user_id activity",
+    "http": "id date user_id url",
+    "email": "id date user_id to_addr cc_addr bcc_addr from_addr size attachments",
+    "file": "id date user_id filename",
+}
+
 QUERIES = {
     "feature_distribution": lambda s, d: profile.feature_distribution(stored(s, d, "features")).selectExpr(
         "feature",
@@ -66,7 +74,9 @@ QUERIES = {
     ),
     "table_counts": _counted,
     "table_sample": lambda s, d: profile.table_sample(A.table(s, d, "events"), ["event_id"], 10),
-    "profile_nulls": lambda s, d: profile.profile_nulls(A.http(s, d)),
+    "profile_nulls": lambda s, d: union_all(
+        [profile.profile_nulls(getattr(A, n)(s, d)).selectExpr(f"'{n}' AS table", "*") for n in _LOG_COLUMNS]
+    ),
     "profile_table": lambda s, d: profile.profile_table(A.table(s, d, "lineitem"), "lineitem").selectExpr(
         "table", "column", "metric", "round(value, 6) AS value"
     ),
@@ -181,11 +191,12 @@ ORACLE = {
     ),
     "table_sample": "SELECT * FROM events ORDER BY event_id LIMIT 10",
     "profile_nulls": with_views(
-        "http",
+        *_LOG_COLUMNS,
         body=" UNION ALL ".join(
-            f"""SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS nulls,
-            100.0 * CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS pct FROM http"""
-            for c in ("id", "date", "user_id", "url")
+            f"""SELECT '{n}' AS "table", '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS nulls,
+            100.0 * CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS pct FROM {n}"""
+            for n, columns in _LOG_COLUMNS.items()
+            for c in columns.split()
         ),
     ),
     "profile_table": profile_table_sql("lineitem", [*_NUMERIC, *_OTHER], _NUMERIC),

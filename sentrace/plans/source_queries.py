@@ -14,6 +14,8 @@ from sentrace.sources import logs, tables, truth
 from sentrace.storage import scratch_path
 
 RAW_TIME = "MM/dd/yyyy HH:mm:ss"
+_RAW_LOGS = ("logon", "device", "http", "email", "file")
+_NUMBERS = {"email": ["size", "attachments"]}
 _raw: dict[tuple[str, str, str], str] = {}
 
 
@@ -159,11 +161,11 @@ QUERIES = {
     "ingest_stats": _ingested,
     "incident_file": _incident_file,
     "malicious_events": _malicious,
-    "profile_raw": lambda s, d: profile.profile_raw(
-        logs.scan_log(s, f"{raw_folder(s, d)}/email.csv", "email"), "email", ["size", "attachments"]
+    "profile_raw": lambda s, d: union_all(
+        [profile.profile_raw(logs.scan_log(s, f"{raw_folder(s, d)}/{n}.csv", n), n, _NUMBERS.get(n, [])) for n in _RAW_LOGS]
     ),
-    "profile_raw_bytes": lambda s, d: profile.file_bytes(
-        logs.scan_log(s, f"{raw_folder(s, d)}/http.csv", "http")
+    "profile_raw_bytes": lambda s, d: union_all(
+        [profile.file_bytes(s, f"{raw_folder(s, d)}/{n}.csv").selectExpr(f"'{n}' AS table", "size") for n in logs.LOG_COLUMNS]
     ),
     "raw_overview": lambda s, d: profile.raw_overview(
         {n: logs.scan_log(s, f"{raw_folder(s, d)}/{n}.csv", n) for n in logs.LOG_COLUMNS}, _snapshots(s, d)
@@ -174,22 +176,23 @@ QUERIES = {
     "merge_reports": _reports,
 }
 
-_MAIL = "id user pc to cc bcc from size attachments content".split()
-_MAIL_NULLS = {"to": "to_addr IS NULL", "cc": "cc_addr IS NULL", "bcc": "TRUE"}
+# What the raw files lack, by log and column of the file.
+_RAW_NULLS = {"email": {"to": "to_addr IS NULL", "cc": "cc_addr IS NULL", "bcc": "TRUE"}, "http": {"url": "url IS NULL"}}
 
 
-def _raw_sql() -> str:
-    row = "SELECT '{c}' AS column, '{m}' AS metric, CAST({x} AS VARCHAR) AS value FROM email"
-    parts = [row.format(c="", m="rows", x="count(*)"), row.format(c="", m="columns", x="max(11)")]
-    for c in (*_MAIL, "date"):
-        nulls = f"count(*) FILTER (WHERE {_MAIL_NULLS.get(c, 'FALSE')})"
+def _raw_sql(name: str) -> str:
+    row = f"SELECT '{name}' AS \"table\", '{{c}}' AS column, '{{m}}' AS metric, CAST({{x}} AS VARCHAR) AS value FROM {name}"
+    columns = logs.LOG_COLUMNS[name]
+    parts = [row.format(c="", m="rows", x="count(*)"), row.format(c="", m="columns", x=f"max({len(columns)})")]
+    for c in columns:
+        nulls = f"count(*) FILTER (WHERE {_RAW_NULLS.get(name, {}).get(c, 'FALSE')})"
         parts.append(row.format(c=c, m="nulls", x=nulls))
         parts.append(row.format(c=c, m="null_pct", x=f"round(100.0 * CAST({nulls} AS DOUBLE) / count(*), 4)"))
     parts.append(row.format(c="date", m="first_date", x="min(strftime(date, '%Y-%m-%d'))"))
     parts.append(row.format(c="date", m="last_date", x="max(strftime(date, '%Y-%m-%d'))"))
-    for c in ("size", "attachments"):
+    for c in _NUMBERS.get(name, []):
         parts += [row.format(c=c, m=m, x=f"round(CAST({m}({c}) AS DOUBLE), 4)") for m in ("min", "max", "avg")]
-    return "SELECT 'email' AS \"table\", * FROM (" + " UNION ALL ".join(parts) + ")"
+    return " UNION ALL ".join(parts)
 
 
 _RAW_COUNT = " UNION ALL ".join(
@@ -232,7 +235,7 @@ ORACLE = {
     ),
     "malicious_events": """SELECT concat('U', lpad(CAST(user_id AS VARCHAR), 6, '0')) AS user_id,
         date_trunc('second', ts) AS ts, event_type FROM events WHERE event_id % 3 <> 2""",
-    "profile_raw": with_views("email", body=_raw_sql()),
+    "profile_raw": with_views(*_RAW_LOGS, body=" UNION ALL ".join(map(_raw_sql, _RAW_LOGS))),
     "retention": with_views(
         "sessions",
         "device",
