@@ -82,7 +82,8 @@ def filter_urls(
     path or verdict take no part. Repeated URLs are judged once and every row is kept;
     columns of ``pages`` named like a result column are replaced, others are kept.
 
-    The distinct path lengths of the list decide which prefixes are tried; more than
+    The distinct path lengths of the list, and its numbers of host labels, decide which prefixes and
+    suffixes are tried; more than
     ``MAX_PATH_LENGTHS`` raise an error instead of being cut.
     """
     rules = (
@@ -96,6 +97,7 @@ def filter_urls(
         F.concat("host", "path").alias("rule"),
         F.length("host").alias("host_length"),
         F.length("path").alias("path_length"),
+        (F.length("host") - F.length(F.translate("host", ".", "")) + 1).alias("labels"),
         "verdict",
     )
     facts = rules.groupBy("path_length").count().limit(MAX_PATH_LENGTHS + 1).collect()  # one row per length
@@ -108,8 +110,9 @@ def filter_urls(
     rows = pages.withColumn(address, F.col(f"`{url}`").cast("string"))
     urls = rows.select(F.col(address).alias("page_url")).where(F.col("page_url").isNotNull()).distinct()
     urls = urls.select("page_url", host_of(F.col("page_url")).alias("host"), path_of(F.col("page_url")).alias("path")).where("host <> ''")
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # A host is cut only where some listed host begins, so a long one costs one step for each number of labels in the list.
+    depths = sorted(r["labels"] for r in rules.select("labels").distinct().collect())  # one row per number of labels
+    suffixes = F.array(*[F.substring_index("host", ".", -n) for n in depths]) if depths else F.array().cast("array<string>")
     keys = urls.select("page_url", F.explode(F.array_distinct(suffixes)).alias("suffix"), "path").where("suffix <> ''")
     keys = keys.select("page_url", "suffix", "path", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("cut"))
     keys = keys.where(F.col("cut") <= F.length("path")).select(

@@ -6,13 +6,14 @@ import os
 import random
 import re
 import tempfile
+import time
 import zlib
 
 import numpy as np
 import pytest
 from conftest_helpers import prose
 
-from sentrace.llm import collocations, neighbours, spelling, warc
+from sentrace.llm import collocations, neighbours, spelling, url_filter, warc
 
 
 def folder():
@@ -291,3 +292,21 @@ def test_order_in_double_precision(session):
     rows = [(i, [1.0 + i * 1e-9, 1.0, 2.0]) for i in range(40)]
     got = neighbours.nearest(session.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert [r["vec_id"] for r in got.where("query_id = 0").orderBy("rank").collect()] == list(range(39, 19, -1))
+
+
+# URL filter
+
+
+def test_hosts_of_many_labels(session):
+    deep = ".".join(["a"] * 20000)
+    urls = [f"http://{deep}.example.net/en/x", f"http://{deep}/", "http://net/", "http://x.b..c./p", "http://org", "http://.net/", "http://anet/"]
+    pages = session.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id int, url string")
+    rules = session.createDataFrame(
+        [("net", "/", "block"), ("example.net", "/en/", "allow"), ("b..c.", "/", "block"), ("a.a.a", "", "block")], "host string, path string, verdict string"
+    )
+    began = time.time()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert time.time() - began < 30
+    none = (None, "allow")
+    assert got == {0: ("example.net/en/", "allow"), 1: ("a.a.a", "block"), 2: ("net/", "block"), 3: ("b..c./", "block"), 4: none, 5: ("net/", "block"), 6: none}
+    assert url_filter.filter_urls(pages, rules.limit(0)).where("rule IS NOT NULL").count() == 0
