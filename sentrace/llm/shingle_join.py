@@ -6,10 +6,12 @@
    ``n - ceil(0.8 n) + 1`` shingles in this order, so only those are sent, by hash part.
    Nodes that share one, with sizes that allow a link, form a group.
 3. Instead of all pairs of a group, nodes are searched from centres: each node goes to the centre
-   it shares most with, then each component found so far to the centre of another. Only
-   pairs of a group that are still in different components after that are searched one by one,
-   and of these only such whose shared shingle stands so early in both orders that what follows can
-   hold the overlap a link needs. The number of rare shingles a pair shares bounds its overlap too.
+   it shares most with, then each component found so far to the centre of another.
+   The number of rare shingles that a pair shares bounds its overlap.
+   What then still is in different components is searched inside its group, in blocks of bounded size: inverted lists
+   of the members' rare shingles give, again by T-occurrence, the pairs that reach this bound.
+   A pair leaves only the group of the first rare shingle it shares, and only if that stands so early
+   that what follows can hold the overlap a link needs.
 4. A search is a T-occurrence search (DivideSkip): the lists of the query's shingles say which
    records of a block have them; short lists are merged and counted, long ones are probed
    by binary search for the records that may still reach their bound.
@@ -182,6 +184,100 @@ def divide_skip(query: np.ndarray, records: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _least_common(n: int, sizes: np.ndarray) -> np.ndarray:
+    """Least number of rare shingles that linked sets of these sizes have in common.
+
+    All shingles they share, up to the end of the prefix that ends first, are common rare
+    ones; the rest lies behind that prefix.
+    """
+    behind = np.maximum(-(-NUM * n // DEN), -(-NUM * sizes // DEN)) - 1
+    return np.maximum(_needed(n, sizes) - behind, 1)
+
+
+def open_pairs(shared: int, own: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, sets: list[np.ndarray], across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(q, rows behind q, common rare shingles): pairs of one block of group ``shared`` that may link.
+
+    ``sets`` are the groups of each row from rare to frequent, ``place`` the row's place in
+    this one. Rows have different labels, sizes that allow a link, as many groups in common
+    as a link needs, and this group as the first of them in the order of row q. With
+    ``across``, only pairs of different sides (``own``) count. DivideSkip: a row that reaches
+    its bound T is in one of the short lists even if it is in all of the T - 1 longest,
+    so these are only probed.
+    """
+    rows = len(sets)
+    lengths = np.array([len(x) for x in sets])
+    names, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(of, kind="stable")
+    members = np.repeat(np.arange(rows), lengths)[order]
+    first = np.append(0, np.cumsum(count))
+    here = np.searchsorted(names, shared)
+    begins = np.append(0, np.cumsum(lengths))
+    for q in range(rows - 1):
+        room = n[q] - _needed(n[q], n)
+        fits = (label != label[q]) & (DEN * n >= NUM * n[q]) & (DEN * n[q] >= NUM * n) & (place[q] <= room)
+        fits[: q + 1] = False
+        if across:
+            fits &= own != own[q]
+        if not fits.any():
+            continue
+        lists = of[begins[q] : begins[q + 1]]
+        at = int(np.flatnonzero(lists == here)[0])
+        for x in lists[:at]:  # a pair that shares an earlier one leaves that group
+            if count[x] > 1:
+                fits[members[first[x] : first[x + 1]]] = False
+        lists = lists[at:][count[lists[at:]] > 1]
+        if not fits.any():
+            continue
+        bound = _least_common(n[q], n)
+        lists = lists[np.argsort(count[lists], kind="stable")]
+        n_long = min(int(bound[fits].min()) - 1, len(lists) - 1)
+        merged = np.concatenate([members[first[x] : first[x + 1]] for x in lists[: len(lists) - n_long]])
+        common = np.bincount(merged, minlength=rows)
+        open_ = np.flatnonzero(fits & (common >= bound - n_long))
+        for x in lists[len(lists) - n_long :]:
+            one = members[first[x] : first[x + 1]]
+            found = np.minimum(np.searchsorted(one, open_), len(one) - 1)
+            common[open_] += one[found] == open_
+        open_ = open_[common[open_] >= bound[open_]]
+        if len(open_):
+            yield q, open_, common[open_]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (shared, i, j) of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("shared", "i", "j")])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(keys[:, a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _blocks(batches):
+        if table.num_rows < 2:
+            continue
+        table = table.sort_by("node").combine_chunks()
+        get = lambda c: table.column(c).to_numpy()
+        packed = table.column("rare").chunk(0)
+        values, ends = packed.flatten().to_numpy(), np.cumsum([0, *packed.value_lengths().to_pylist()])
+        sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        node, across = get("node"), get("i")[0] != get("j")[0]
+        for q, others, common in open_pairs(int(get("shared")[0]), get("own"), get("label"), get("n"), get("place"), sets, across):
+            centre = np.full(len(others), node[q])
+            yield pa.RecordBatch.from_arrays([pa.array(node[others]), pa.array(centre), pa.array(common.astype(np.int64))], ["node", "centre", "common"])
+
+
 def _pack(shingles: np.ndarray) -> bytes:
     return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES].tobytes()
 
@@ -206,7 +302,9 @@ class _Join:
     """The tables of one join: documents, their nodes, and the groups of nodes."""
 
     def __init__(self, rows: DataFrame, nodes: DataFrame, groups: DataFrame, width: int):
-        self.rows, self.nodes, self.groups, self.width = rows, nodes, groups, width
+        self.rows, self.nodes, self.width = rows, nodes, width
+        placed = F.sort_array(F.collect_list(F.struct("place", "shared")))  # of one node: bounded by its text
+        self.rare = materialise(groups.groupBy("node").agg(placed.alias("p")).select("node", F.col("p.shared").alias("rare")), "rare")
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in ``wanted``, read again from one document of each.
@@ -240,17 +338,30 @@ class _Join:
         return self.rows.select(F.xxhash64("id", "digest").alias("mark"), "text").mapInArrow(read, "node long, shingles binary")
 
     def counted(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` with the number of rare shingles that both have, as ``common``."""
-        own = self.groups.select("shared", "node")
-        other = self.groups.select("shared", F.col("node").alias("centre"))
-        return pairs.join(own, "node").join(other, ["shared", "centre"]).groupBy("node", "centre").agg(F.count("*").alias("common"))
+        """``pairs`` with the number of rare shingles that both have, as ``common``; one row a pair throughout."""
+        own = self.rare.select("node", F.col("rare").alias("own"))
+        other = self.rare.select(F.col("node").alias("centre"), F.col("rare").alias("other"))
+        common = F.size(F.array_intersect("own", "other")).cast("long").alias("common")
+        return pairs.join(own, "node").join(other, "centre").select("node", "centre", common)
+
+    def left_over(self, mixed: DataFrame) -> DataFrame:
+        """Pairs of ``mixed`` (rows of groups with several labels) that may link, with ``common``.
+
+        A group is cut into blocks of about ``BLOCK_SHINGLES`` rare shingles by hash of node; every two blocks
+        meet in one task step, so no group is held whole.
+        """
+        rows = mixed.join(self.rare, "node")
+        blocks = rows.groupBy("shared").agg(F.ceil(F.sum(F.size("rare")) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        rows = rows.join(blocks, "shared").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("shared", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label", "n", "place", "rare")
+        sorted_ = rows.repartition("shared", "i", "j").sortWithinPartitions("shared", "i", "j")
+        return sorted_.mapInArrow(_pairs_in_blocks, "node long, centre long, common long")
 
     def search(self, pairs: DataFrame) -> DataFrame | None:
         """The (centre, node) rows of ``pairs`` that are linked; a centre's records are cut into blocks.
 
-        ``pairs`` have ``common``. All shingles that two sets share, up to the end of the
-        prefix that ends first, are common ones; the rest lies in what follows that prefix.
-        Pairs that cannot reach their bound so are left out. None if no row is linked.
+        ``pairs`` have ``common``; those with fewer than ``_least_common`` are left out. None if no row is linked.
         """
         sizes = self.nodes.select("node", "n")
         of_centre = sizes.select(F.col("node").alias("centre"), F.col("n").alias("m"))
@@ -320,16 +431,7 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
     pairs = per_part.join(centres, "shared").where(F.col("label") != F.col("c.label")).select("label", "node", F.col("c.node").alias("centre"))
     joined(join.search(join.counted(_best(pairs, "label"))))
 
-    # The first shingle that two linked sets share leaves room behind it, in both, for all that they must share.
-    rest = materialise(mixed().where("place <= n - ceil(4 * n / 5)"), "mixed")
-    a, b = rest.alias("a"), rest.alias("b")
-    must = "ceil(4 * (a.n + b.n) / 9)"
-    left = a.join(b, F.col("a.shared") == F.col("b.shared")).where(
-        "a.node < b.node AND a.label != b.label AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n"
-        f" AND a.place <= a.n - {must} AND b.place <= b.n - {must}"
-    )
-    left = materialise(left.select(F.col("a.node").alias("node"), F.col("b.node").alias("centre")).distinct(), "left")
-    return members, joined(join.search(join.counted(left)))
+    return members, joined(join.search(join.left_over(materialise(mixed(), "mixed"))))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:

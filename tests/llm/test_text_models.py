@@ -142,6 +142,46 @@ def test_divide_skip_counts_what_reaches_the_bound():
             assert n == (both if linked else -1)
 
 
+def test_open_pairs_are_those_that_may_link():
+    pick = np.random.default_rng(5)
+    for across in (False, True):
+        for _ in range(20):
+            rows, shared = 40, 7
+            # One global order; each set holds the group 7 and its elements in that order.
+            order = pick.permutation(60)
+            sets = [np.array([x for x in order if x == shared or pick.random() < 0.3], np.int64) for _ in range(rows)]
+            n = pick.integers(60, 90, rows)
+            label, own = pick.integers(0, 6, rows), pick.integers(0, 2, rows)
+            place = np.array([int(np.flatnonzero(x == shared)[0]) for x in sets])
+            got = {(q, r): c for q, found, counts in shingle_join.open_pairs(shared, own, label, n, place, sets, across) for r, c in zip(found.tolist(), counts.tolist())}
+            want = {}
+            for q in range(rows):
+                for r in range(q + 1, rows):
+                    both = [x for x in sets[q] if x in sets[r]]
+                    must = -(-4 * (n[q] + n[r]) // 9)
+                    least = must - max(-(-4 * n[q] // 5), -(-4 * n[r] // 5)) + 1
+                    sizes = 5 * n[q] >= 4 * n[r] and 5 * n[r] >= 4 * n[q]
+                    if label[q] != label[r] and sizes and both[0] == shared and len(both) >= least and place[q] <= n[q] - must and (own[q] != own[r] or not across):
+                        want[q, r] = len(both)
+            assert got == want
+
+
+def test_jaccard_join_of_one_passage_in_small_blocks(session, monkeypatch):
+    """Texts around one passage: most share rare shingles without a link, and their group takes many blocks."""
+    pick = np.random.default_rng(8)
+    base = split(prose(44, 50))
+    texts = []
+    for i in range(90):
+        a, b = sorted(pick.integers(0, 51, 2).tolist())
+        own = [f"own{i}x{k}" for k in range(int(pick.integers(0, 25)))]
+        texts.append(" ".join([*base[:a], *own, *base[a if i % 2 else b :]]))
+    rows = list(enumerate(texts))
+    docs = session.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", 150)
+    got = shingle_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(map(tuple, got)) == ordered(plain_components(rows))
+
+
 def test_components_of_long_paths(session):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 90), (95, 99), (7, 7)]
     got = graph.components(session.createDataFrame(edges, "a long, b long"), "a", "b").collect()
