@@ -8,10 +8,10 @@
 3. Instead of all pairs of a group, nodes are searched from centres: each node goes to the centre
    it shares most with, then each component found so far to the centre of another.
    The number of rare shingles that a pair shares bounds its overlap.
-   What then still is in different components is searched inside its group, in blocks of bounded size: inverted lists
-   of the members' rare shingles give, again by T-occurrence, the pairs that reach this bound.
-   A pair leaves only the group of the first rare shingle it shares, and only if that stands so early
-   that what follows can hold the overlap a link needs.
+   Nodes of groups that then still hold different components are put into clusters (whatever shares such
+   a group), each node once, and each cluster into blocks of bounded size: inverted lists of the
+   rare shingles give, again by T-occurrence, the pairs that reach this bound and whose first
+   common rare shingle stands so early that what follows can hold the overlap a link needs.
 4. A search is a T-occurrence search (DivideSkip): the lists of the query's shingles say which
    records of a block have them; short lists are merged and counted, long ones are probed
    by binary search for the records that may still reach their bound.
@@ -194,63 +194,75 @@ def _least_common(n: int, sizes: np.ndarray) -> np.ndarray:
     return np.maximum(_needed(n, sizes) - behind, 1)
 
 
-def open_pairs(shared: int, own: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, sets: list[np.ndarray], across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(q, rows behind q, common rare shingles): pairs of one block of group ``shared`` that may link.
+def open_pairs(own: np.ndarray, label: np.ndarray, n: np.ndarray, sets: list[np.ndarray], places: list[np.ndarray], across: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(q, rows behind q, common rare shingles): pairs of one block that may link. Rows are sorted by ``n``.
 
-    ``sets`` are the groups of each row from rare to frequent, ``place`` the row's place in
-    this one. Rows have different labels, sizes that allow a link, as many groups in common
-    as a link needs, and this group as the first of them in the order of row q. With
+    ``sets`` are the groups of each row from rare to frequent, ``places`` where they stand in
+    its order. Rows have different labels, sizes that allow a link, as many groups in common
+    as a link needs, and the first of them early enough in the order of row q. With
     ``across``, only pairs of different sides (``own``) count. DivideSkip: a row that reaches
     its bound T is in one of the short lists even if it is in all of the T - 1 longest,
     so these are only probed.
     """
     rows = len(sets)
     lengths = np.array([len(x) for x in sets])
-    names, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(of, kind="stable")
-    members = np.repeat(np.arange(rows), lengths)[order]
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    members = np.repeat(np.arange(rows), lengths)[np.argsort(of, kind="stable")]
     first = np.append(0, np.cumsum(count))
-    here = np.searchsorted(names, shared)
     begins = np.append(0, np.cumsum(lengths))
+    ends = np.searchsorted(NUM * n, DEN * n, side="right")  # rows before this one are small enough
+    sizes = np.unique(n)
+    least: dict[int, int] = {}
     for q in range(rows - 1):
-        room = n[q] - _needed(n[q], n)
-        fits = (label != label[q]) & (DEN * n >= NUM * n[q]) & (DEN * n[q] >= NUM * n) & (place[q] <= room)
-        fits[: q + 1] = False
-        if across:
-            fits &= own != own[q]
-        if not fits.any():
-            continue
-        lists = of[begins[q] : begins[q + 1]]
-        at = int(np.flatnonzero(lists == here)[0])
-        for x in lists[:at]:  # a pair that shares an earlier one leaves that group
-            if count[x] > 1:
-                fits[members[first[x] : first[x + 1]]] = False
-        lists = lists[at:][count[lists[at:]] > 1]
-        if not fits.any():
+        if ends[q] <= q + 1:
             continue
-        bound = _least_common(n[q], n)
-        lists = lists[np.argsort(count[lists], kind="stable")]
-        n_long = min(int(bound[fits].min()) - 1, len(lists) - 1)
-        merged = np.concatenate([members[first[x] : first[x + 1]] for x in lists[: len(lists) - n_long]])
-        common = np.bincount(merged, minlength=rows)
-        open_ = np.flatnonzero(fits & (common >= bound - n_long))
-        for x in lists[len(lists) - n_long :]:
+        of_q = of[begins[q] : begins[q + 1]]
+        used = [(x, k) for k, x in enumerate(of_q.tolist()) if count[x] > 1]
+        lists = []
+        for x, k in used:
             one = members[first[x] : first[x + 1]]
-            found = np.minimum(np.searchsorted(one, open_), len(one) - 1)
-            common[open_] += one[found] == open_
-        open_ = open_[common[open_] >= bound[open_]]
-        if len(open_):
-            yield q, open_, common[open_]
+            one = one[np.searchsorted(one, q + 1) : np.searchsorted(one, ends[q])]
+            if len(one):
+                lists.append((len(one), k, one))
+        if not lists:
+            continue
+        size = int(n[q])
+        if size not in least:
+            near = sizes[(sizes >= size) & (NUM * sizes <= DEN * size)]
+            least[size] = int(_least_common(size, near).min())
+        lists.sort(key=lambda x: x[:2])
+        n_long = min(least[size] - 1, len(lists) - 1)
+        split = len(lists) - n_long
+        found, common = np.unique(np.concatenate([x[2] for x in lists[:split]]), return_counts=True)
+        fits = (label[found] != label[q]) & (common >= _least_common(size, n[found]) - n_long)
+        if across:
+            fits &= own[found] != own[q]
+        found, common = found[fits], common[fits]
+        for _, _, one in lists[split:]:
+            at = np.minimum(np.searchsorted(one, found), len(one) - 1)
+            common += one[at] == found
+        fits = common >= _least_common(size, n[found])
+        found, common = found[fits], common[fits]
+        if not len(found):
+            continue
+        room, early = size - _needed(size, n[found]), np.zeros(len(found), bool)
+        for _, k, one in sorted(lists, key=lambda x: x[1]):
+            at = np.minimum(np.searchsorted(one, found), len(one) - 1)
+            early |= (one[at] == found) & (places[q][k] <= room)
+            if early.all():
+                break
+        if early.any():
+            yield q, found[early], common[early]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each (shared, i, j) of sorted batches."""
+    """The rows of each (cluster, i, j) of sorted batches."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("shared", "i", "j")])
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("cluster", "i", "j")])
         cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             key = tuple(keys[:, a].tolist())
@@ -267,13 +279,12 @@ def _pairs_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for table in _blocks(batches):
         if table.num_rows < 2:
             continue
-        table = table.sort_by("node").combine_chunks()
-        get = lambda c: table.column(c).to_numpy()
-        packed = table.column("rare").chunk(0)
-        values, ends = packed.flatten().to_numpy(), np.cumsum([0, *packed.value_lengths().to_pylist()])
-        sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        node, across = get("node"), get("i")[0] != get("j")[0]
-        for q, others, common in open_pairs(int(get("shared")[0]), get("own"), get("label"), get("n"), get("place"), sets, across):
+        table = table.sort_by([("n", "ascending"), ("node", "ascending")]).combine_chunks()
+        own, node, label, n, i, j = (table.column(c).to_numpy() for c in ("own", "node", "label", "n", "i", "j"))
+        ends = np.cumsum([0, *table.column("rare").chunk(0).value_lengths().to_pylist()]).tolist()
+        rare, places = (table.column(c).chunk(0).flatten().to_numpy() for c in ("rare", "places"))
+        sets, places = ([x[a:b] for a, b in zip(ends, ends[1:])] for x in (rare, places))
+        for q, others, common in open_pairs(own, label, n, sets, places, i[0] != j[0]):
             centre = np.full(len(others), node[q])
             yield pa.RecordBatch.from_arrays([pa.array(node[others]), pa.array(centre), pa.array(common.astype(np.int64))], ["node", "centre", "common"])
 
@@ -347,15 +358,22 @@ class _Join:
     def left_over(self, mixed: DataFrame) -> DataFrame:
         """Pairs of ``mixed`` (rows of groups with several labels) that may link, with ``common``.
 
-        A group is cut into blocks of about ``BLOCK_SHINGLES`` rare shingles by hash of node; every two blocks
-        meet in one task step, so no group is held whole.
+        Two nodes of different labels share only groups of ``mixed``. A cluster is cut into blocks of about
+        ``BLOCK_SHINGLES`` rare shingles by hash of node; every two blocks of it meet in one step of a task.
         """
-        rows = mixed.join(self.rare, "node")
-        blocks = rows.groupBy("shared").agg(F.ceil(F.sum(F.size("rare")) / BLOCK_SHINGLES).cast("int").alias("blocks"))
-        rows = rows.join(blocks, "shared").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        least = mixed.groupBy("shared").agg(F.min("node").alias("least"))
+        bound = mixed.join(least, "shared").select("node", "least").where("node != least").distinct()
+        clusters = components(bound, "node", "least").withColumnRenamed("label", "cluster")
+        placed = F.sort_array(F.collect_list(F.struct("place", "shared"))).alias("p")  # of one node: bounded by its text
+        rows = mixed.groupBy("node").agg(F.min("label").alias("label"), F.min("n").alias("n"), placed)
+        rows = rows.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+        rows = rows.select("cluster", "node", "label", "n", F.col("p.shared").alias("rare"), F.col("p.place").alias("places"))
+        rows = materialise(rows, "clusters")
+        blocks = rows.groupBy("cluster").agg(F.ceil(F.sum(F.size("rare")) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+        rows = rows.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("shared", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label", "n", "place", "rare")
-        sorted_ = rows.repartition("shared", "i", "j").sortWithinPartitions("shared", "i", "j")
+        rows = rows.select("cluster", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "label", "n", "rare", "places")
+        sorted_ = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         return sorted_.mapInArrow(_pairs_in_blocks, "node long, centre long, common long")
 
     def search(self, pairs: DataFrame) -> DataFrame | None:
