@@ -142,31 +142,6 @@ def test_divide_skip_counts_what_reaches_the_bound():
             assert n == (both if linked else -1)
 
 
-def test_open_pairs_are_those_that_may_link():
-    pick = np.random.default_rng(5)
-    for across in (False, True):
-        for _ in range(20):
-            rows = 40
-            # Groups in one global order; each set holds its elements in that order, with gaps between the places.
-            order = pick.permutation(60)
-            n = np.sort(pick.integers(60, 90, rows))
-            sets = [np.array([x for x in order if pick.random() < 0.3], np.int64) for _ in range(rows)]
-            places = [np.sort(pick.choice(60, len(x), replace=False)) for x in sets]
-            label, own = pick.integers(0, 6, rows), pick.integers(0, 2, rows)
-            found = shingle_join.open_pairs(own, label, n, sets, places, across)
-            got = {(q, r): c for q, others, counts in found for r, c in zip(others.tolist(), counts.tolist())}
-            want = {}
-            for q in range(rows):
-                for r in range(q + 1, rows):
-                    both = [p for x, p in zip(sets[q], places[q]) if x in sets[r]]
-                    must = -(-4 * (n[q] + n[r]) // 9)
-                    least = max(1, must - max(-(-4 * n[q] // 5), -(-4 * n[r] // 5)) + 1)
-                    sizes = 5 * n[q] >= 4 * n[r] and 5 * n[r] >= 4 * n[q]
-                    if label[q] != label[r] and sizes and len(both) >= least and both[0] <= n[q] - must and (own[q] != own[r] or not across):
-                        want[q, r] = len(both)
-            assert got == want
-
-
 def test_jaccard_join_of_one_passage_in_small_blocks(session, monkeypatch):
     """Texts around one passage: most share rare shingles without a link, and their group takes many blocks."""
     pick = np.random.default_rng(8)
