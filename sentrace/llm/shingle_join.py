@@ -2,7 +2,8 @@
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one node from then on.
 2. Shingles are ordered from rare to frequent by a count sketch over all documents (any order
-   gives right results; this one keeps groups small). Two linked sets share one of the first
+   gives right results; this one keeps groups small, the more so the fewer shingles share a slot:
+   what an edit alone brought comes first and is in no group). Two linked sets share one of the first
    ``n - ceil(0.8 n) + 1`` shingles in this order, so only those are sent, by hash part.
    Nodes that share one, with sizes that allow a link, form a group.
 3. Instead of all pairs of a group, nodes are searched from centres: each node goes to the centre
@@ -18,6 +19,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,10 @@ from sentrace.storage import materialise
 WORDS = 5
 #: A link needs ``DEN * shared >= NUM * union``.
 NUM, DEN = 4, 5
-SKETCH_BITS = 17
+#: 2 ** this many counts: 32 MB in a task that counts, 16 MB when broadcast, whatever the input.
+SKETCH_BITS = 23
+#: Counts travel in pieces of 2 ** this many slots.
+PIECE_BITS = 16
 #: The broadcast bitmap of documents to search has at most 2 ** this many bits (4 MB).
 MAX_BITMAP_BITS = 25
 BLOCK_SHINGLES = 2_000_000
@@ -66,11 +71,20 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts below 2 ** 32, byte by byte of equal weight, compressed."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _describe(width: int):
-    """A row per document, and at the end of each task its counts by sketch slot."""
+    """A row per document, and at the end of each task its counts by sketch slot, packed in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for table in W.chunks(batches):
             sizes, nodes = [], []
             for shingles in shingle_sets(table.column("text").chunk(0), width):
@@ -79,16 +93,54 @@ def _describe(width: int):
                 np.add.at(counts, _slots(shingles), 1)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [table.column("id").chunk(0), table.column("digest").chunk(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int64())],
-                ["id", "digest", "n", "node", "slot"],
+                [
+                    table.column("id").chunk(0),
+                    table.column("digest").chunk(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(nodes, pa.int64()),
+                    pa.nulls(n, pa.int32()),
+                    pa.nulls(n, pa.binary()),
+                ],
+                ["id", "digest", "n", "node", "piece", "counts"],
             )
-        slots = np.flatnonzero(counts)
-        none = pa.nulls(len(slots), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(counts[slots]), none, pa.array(slots)], ["id", "digest", "n", "node", "slot"])
+        none = pa.nulls(1, pa.int64())
+        for piece, own in enumerate(counts.reshape(-1, 1 << PIECE_BITS)):
+            if own.any():
+                columns = [none, none, none, none, pa.array([piece], pa.int32()), pa.array([_packed(own)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n", "node", "piece", "counts"])
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the packed counts of each piece; rows are sorted by piece, one sum is held at a time."""
+    last, total = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([_packed(np.minimum(total, (1 << 32) - 1))], pa.binary())], ["piece", "counts"])
+
+    for batch in batches:
+        for piece, packed in zip(batch.column("piece").to_pylist(), batch.column("counts")):
+            if piece != last:
+                if last is not None:
+                    yield row()
+                last, total = piece, np.zeros(1 << PIECE_BITS, np.int64)
+            total += _counts(packed.as_py())
+    if last is not None:
+        yield row()
+
+
+def _sketch(told: DataFrame) -> np.ndarray:
+    """Count of each slot over all documents, in units that leave 256 for the mean of a full sketch."""
+    pieces = told.where("piece IS NOT NULL").select("piece", "counts").repartition("piece").sortWithinPartitions("piece")
+    sketch = np.zeros((1 << SKETCH_BITS - PIECE_BITS, 1 << PIECE_BITS), np.uint32)
+    for row in pieces.mapInArrow(_summed, "piece int, counts binary").collect():  # at most 2 ** (SKETCH_BITS - PIECE_BITS) rows
+        sketch[row["piece"]] = _counts(row["counts"])
+    sketch = sketch.ravel()
+    unit = max(1, int(sketch.mean(dtype=np.float64)) >> 8)
+    return np.minimum(sketch // np.uint32(unit), (1 << 16) - 1).astype(np.uint16)
+
+
 def _prefixes(width: int, parts: int, sketch):
     """The rare shingles of each node, packed by part: 32-bit key, node, size, place in the node's order."""
 
@@ -207,6 +259,8 @@ class _Join:
 
     def __init__(self, rows: DataFrame, nodes: DataFrame, groups: DataFrame, width: int):
         self.rows, self.nodes, self.groups, self.width = rows, nodes, groups, width
+        own = groups.groupBy("node").agg(F.collect_list("shared").alias("rare"))  # of one node: bounded by its text
+        self.rare = materialise(own, "rare")
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes in ``wanted``, read again from one document of each.
@@ -240,10 +294,11 @@ class _Join:
         return self.rows.select(F.xxhash64("id", "digest").alias("mark"), "text").mapInArrow(read, "node long, shingles binary")
 
     def counted(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` with the number of rare shingles that both have, as ``common``."""
-        own = self.groups.select("shared", "node")
-        other = self.groups.select("shared", F.col("node").alias("centre"))
-        return pairs.join(own, "node").join(other, ["shared", "centre"]).groupBy("node", "centre").agg(F.count("*").alias("common"))
+        """``pairs`` with the number of rare shingles that both have, as ``common``: one row a pair throughout."""
+        own = self.rare.select("node", F.col("rare").alias("own"))
+        other = self.rare.select(F.col("node").alias("centre"), F.col("rare").alias("other"))
+        common = F.size(F.array_intersect("own", "other")).alias("common")
+        return pairs.join(own, "node").join(other, "centre").select("node", "centre", common)
 
     def search(self, pairs: DataFrame) -> DataFrame | None:
         """The (centre, node) rows of ``pairs`` that are linked; a centre's records are cut into blocks.
@@ -282,14 +337,11 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
     rows = keyed(docs, id_col, text_col)
     parts = parts_for(docs)
     context = docs.sparkSession.sparkContext
-    told = materialise(rows.mapInArrow(_describe(width), "id long, digest long, n long, node long, slot long"), "shingle-sets")
-    members = told.where("slot IS NULL").drop("slot")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    counted = told.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2 ** SKETCH_BITS rows
-    sketch[counted["slot"].to_numpy(np.int64)] = counted["n"]
+    told = materialise(rows.mapInArrow(_describe(width), "id long, digest long, n long, node long, piece int, counts binary"), "shingle-sets")
+    members = told.where("piece IS NULL").drop("piece", "counts")
     nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("d"), F.min("n").alias("n"))
     nodes = materialise(nodes.select("node", "d.id", "d.digest", "n"), "nodes")
-    sent = rows.mapInArrow(_prefixes(width, parts, context.broadcast(sketch)), "part int, keys binary, nodes binary, sizes binary, places binary")
+    sent = rows.mapInArrow(_prefixes(width, parts, context.broadcast(_sketch(told))), "part int, keys binary, nodes binary, sizes binary, places binary")
     groups = materialise(sent.groupBy("part").applyInPandas(_groups, "shared long, node long, n long, place int"), "groups")
     join = _Join(rows, nodes, groups, width)
 
