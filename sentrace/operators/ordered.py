@@ -22,6 +22,10 @@ from sentrace.storage import materialise
 SLICE_ROWS = 2_000_000
 #: A key and a time take at least so many bytes in a table; smaller tables have no dense slice.
 LEAST_ROW_BYTES = 4
+#: A key with at most this part of ``SLICE_ROWS`` rows stays in one slice.
+WHOLE_SHARE = 8
+_BUCKETS = 8_192  # hash buckets in which rows are counted before any slice is
+_WHOLE = {"whole_keys": True}  # metadata of a slice column that cuts no key
 _STEP = 32  # distance of the cut points tried first
 _ALL_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
@@ -40,8 +44,11 @@ def time_slices(df: DataFrame, keys: Sequence[str], time: str, seconds: int, *,
     ``2 * limit`` rows of a key, and those of one more microsecond. Counts are bounded by the clock: a
     slice has ``seconds`` seconds, and a second a million microseconds. NULL times have a NULL slice.
 
-    The look for dense slices is one count by key and slice, and none for tables whose
-    estimated size leaves no room for one. Cut or not, results are the same.
+    Rows are first counted by a hash of the key, which bounds the rows of every key. Where
+    no key can have more than ``limit / WHOLE_SHARE`` rows, none is cut: its rows of known time share one
+    slice, and the helpers below then need no carry rows. Where none can exceed ``limit``, slices keep their
+    width. Only otherwise are rows counted by key and slice. Tables whose estimated size leaves no
+    room for a dense slice are spared the counts. Cut or not, results are the same.
     """
     limit = limit or SLICE_ROWS
     ticks = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {time})"
@@ -52,6 +59,11 @@ def time_slices(df: DataFrame, keys: Sequence[str], time: str, seconds: int, *,
     if estimate < limit * LEAST_ROW_BYTES:
         return plain
     by = ", ".join(keys)
+    most = df.groupBy(F.expr(f"pmod(hash({by}), {_BUCKETS})").alias("_h")).count().agg(F.max("count")).first()[0] or 0
+    if most <= limit // WHOLE_SHARE:
+        return df.select("*", F.expr(f"CASE WHEN {time} IS NOT NULL THEN 0L END").alias(name, metadata=_WHOLE))
+    if most <= limit:
+        return plain
     narrow = df.where(f"{time} IS NOT NULL").selectExpr(*keys, f"{bucket} AS _b", f"{second} AS _s", f"{ticks} AS _t")
     dense = materialise(narrow.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).where(f"_n > {limit}").select(*keys, "_b"), "dense")
     if dense.isEmpty():
@@ -85,9 +97,17 @@ def time_slices(df: DataFrame, keys: Sequence[str], time: str, seconds: int, *,
     return found.selectExpr(*df.columns, f"{own} AS {name}")
 
 
+def _whole_keys(df: DataFrame, slice_col: str) -> bool:
+    """Whether :func:`time_slices` found that every key is small enough for a plain window."""
+    return bool(df.schema[slice_col].metadata.get("whole_keys"))
+
+
 def _neighbour(df, keys, order, slice_col, values, *, ahead: bool) -> DataFrame:
     payload = struct_of(f"{source} AS {name}" for name, source in values.items())
     shift, edge, rank = ("lead", "min_by", 1) if ahead else ("lag", "max_by", 0)
+    if _whole_keys(df, slice_col):
+        found = df.selectExpr("*", f"{shift}({payload}) {_over(keys, order)} AS _found")
+        return found.selectExpr(*df.columns, *[f"_found.{name} AS {name}" for name in values])
     edges = df.groupBy(*keys, slice_col).agg(F.expr(f"{edge}({payload}, {struct_of(order)}) AS _edge"))
     carry = edges.selectExpr(
         *keys, slice_col, f"{shift}(_edge) {_over(keys, [slice_col])} AS _carry", f"{rank} AS _rank"
@@ -136,6 +156,14 @@ def running_sums(
     """
     totals = totals or {}
     names = list(sums)
+    if _whole_keys(df, slice_col):
+        every = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+        added = lambda n, frame: f"coalesce(sum(CAST({sums[n]} AS BIGINT)) {_over(keys, order, frame)}, 0L)"
+        return df.selectExpr(
+            "*",
+            *[f"{added(n, _ALL_BEFORE)} AS {n}" for n in names],
+            *[f"{added(n, every)} AS {out}" for out, n in totals.items()],
+        )
     per_slice = df.groupBy(*keys, slice_col).agg(
         *[F.expr(f"CAST(coalesce(sum({sums[n]}), 0) AS BIGINT) AS {n}") for n in names]
     )

@@ -69,11 +69,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN 'error' THEN 'Technician' WHEN 'signup' THEN 'Accountant' ELSE 'Salesman' END"""
     return (
         table(spark, sf_dir, "events")
-        .selectExpr(f"{_USER_ID} AS user_id", f"{week_of('ts')} AS week", "ts", "event_id", "event_type")
-        .groupBy("user_id", "week")
-        .agg(F.expr("max_by(struct(event_type, event_id), struct(ts, event_id)) AS _last"))
-        .select("user_id", "week", "_last.*")
-        .selectExpr("user_id", "week", f"{role} AS role", "concat('D', event_id % 4) AS department")
+        .selectExpr(f"{_USER_ID} AS user_id", "date_trunc('week', ts) AS _week", "ts", "event_id", "event_type")
+        .groupBy("user_id", "_week")
+        .agg(F.expr("max(struct(ts, event_id, event_type)) AS _last"))
+        .select("user_id", "_week", "_last.*")
+        .selectExpr("user_id", f"{week_of('_week')} AS week", f"{role} AS role", "concat('D', event_id % 4) AS department")
     )
 
 

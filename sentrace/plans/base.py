@@ -43,7 +43,7 @@ def build_features(spark: SparkSession, sf_dir: str, count_mode: str = "true") -
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return directory.snapshot_changes(A.snapshots(spark, sf_dir), period="week")
+    return directory.snapshot_changes(materialise(A.snapshots(spark, sf_dir), "snapshots"), period="week")
 
 
 def build_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
