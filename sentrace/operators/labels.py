@@ -12,6 +12,7 @@ from sentrace.operators.features import FeatureModel, feature_vector, fit_featur
 from sentrace.operators.intervals import DAY, interval_slices
 from sentrace.operators.ordered import hash_key, hash_slice, ordinal
 from sentrace.operators.sequences import sequences
+from sentrace.storage import materialise
 
 
 def incident_pieces(incidents: DataFrame, slice_seconds: int = DAY) -> DataFrame:
@@ -181,7 +182,7 @@ def prepare_random(
     role_map: object | None = None,
 ) -> Prepared:
     """Labels, random split, fit on all normal sessions, histories per normal/insider group."""
-    labelled = label_sessions(features, users, incidents)
+    labelled = materialise(label_sessions(features, users, incidents), "labelled")
     split = split_random(labelled, train, val, seed, normal_only=normal_only)
     fit_rows = labelled.where("label_user = 0") if normal_only else labelled
     return _prepare(labelled, split, fit_rows, ["split_group", "user_id"], length, role_mode, role_map)
@@ -199,7 +200,7 @@ def prepare_temporal(
     role_map: object | None = None,
 ) -> Prepared:
     """Labels, time split, fit on the training period only, histories inside each split."""
-    labelled = label_sessions(features, users, incidents)
+    labelled = materialise(label_sessions(features, users, incidents), "labelled")
     split = split_temporal(labelled, train, val).where("split IS NOT NULL")
     return _prepare(
         labelled, split, split.where("split = 'train'"), ["split", "user_id"], length, role_mode, role_map

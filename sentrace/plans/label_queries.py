@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sentrace.operators import labels as L
@@ -19,6 +21,21 @@ def labelled(s, d):
     return L.label_sessions(stored(s, d, "enriched"), incidents, incidents)
 
 
+def _step_totals(length, width):
+    """Column function of ``seq``: for each feature the sum of its values, each times its step (from 1)."""
+
+    @F.arrow_udf("array<double>")
+    def totals(seq: pa.Array) -> pa.Array:
+        cells = seq.flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(seq), length, width)
+        out = np.zeros((len(seq), width))
+        for step in range(length):
+            out += (step + 1) * cells[:, step]
+        ends = pa.array(np.arange(len(seq) + 1) * width, pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+
+    return totals
+
+
 def _prepared(kind):
     """Every feature of every prepared session: the sum of its values over the steps, each times its step (from 1)."""
 
@@ -26,9 +43,10 @@ def _prepared(kind):
         incidents = A.incidents(s, d)
         prepare = L.prepare_random if kind == "random" else L.prepare_temporal
         found = prepare(stored(s, d, "enriched"), incidents, incidents, LENGTH)
-        total = lambda i: f"aggregate(seq, struct(0D AS t, 1 AS s), (a, x) -> struct(a.t + a.s * x[{i}] AS t, a.s + 1 AS s), a -> a.t)"
-        totals = ", ".join(f"struct('{f}' AS feature, round({total(i)}, 5) AS total)" for i, f in enumerate(found.model.names))
-        return found.sequences.selectExpr(
+        names = found.model.names
+        totals = ", ".join(f"struct('{f}' AS feature, round(_totals[{i}], 5) AS total)" for i, f in enumerate(names))
+        summed = found.sequences.withColumn("_totals", _step_totals(LENGTH, len(names))(F.col("seq")))
+        return summed.selectExpr(
             "session_id",
             "user_id",
             "split",
