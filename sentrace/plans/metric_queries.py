@@ -49,6 +49,11 @@ def _ttd(kind):
     return run
 
 
+def _details(s, d):
+    scored = materialise(_scores(s, d), "scores")
+    return _rounded(M.session_details(scored, M.score_thresholds(scored, [95])), "percentile")
+
+
 def _levels(s, d):
     """Metrics of two simple scores at session and user level, one wide row each."""
     base = materialise(
@@ -108,9 +113,7 @@ QUERIES = {
         "recall_at_fpr_5",
         "f1_at_optimal",
     ),
-    "session_details": lambda s, d: _rounded(
-        M.session_details(_scores(s, d), M.score_thresholds(_scores(s, d), [95])), "percentile"
-    ),
+    "session_details": _details,
     "time_to_detect": _ttd("total"),
     "time_to_detect_substr": _ttd("substring"),
     "ttd_per_incident": _ttd("incident"),
