@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -94,11 +95,12 @@ def _row_errors(model: Compressor, vector: str) -> Column:
     """Squared length of what the components leave of the centred vector."""
     components, mean = np.array(model.components), np.array(model.mean)
 
-    @F.pandas_udf("double")
-    def left(vectors: pd.Series) -> pd.Series:
-        centred = np.stack(vectors.to_numpy()).astype(float) - mean
+    @F.arrow_udf("double")
+    def left(vectors: pa.Array) -> pa.Array:
+        values = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+        centred = values.reshape(len(vectors), len(mean)) - mean
         rest = centred - (centred @ components.T) @ components
-        return pd.Series((rest * rest).sum(axis=1))
+        return pa.array((rest * rest).sum(axis=1))
 
     return left(vector)
 
