@@ -14,7 +14,9 @@ def rows(spark):
     random.seed(9)
     data = [(i, random.choice(["a", "b", "c", None]), random.choice([random.randrange(10**13), None])) for i in range(400)]
     df = spark.createDataFrame(data, "id long, user_id string, us long")
-    return df.selectExpr("id", "user_id", "CAST(timestamp_micros(us) AS TIMESTAMP_NTZ) AS date").cache()
+    made = df.selectExpr("id", "user_id", "CAST(timestamp_micros(us) AS TIMESTAMP_NTZ) AS date").cache()
+    made.count()  # its size is known from here on
+    return made
 
 
 def plan(df):
