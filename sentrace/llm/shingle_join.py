@@ -7,10 +7,13 @@
    ``n - ceil(0.8 n) + 1`` shingles in this order, so only those are sent, by hash part.
    Nodes that share one, with sizes that allow a link, form a group.
 3. Instead of all pairs of a group, nodes are searched from centres: each node goes to the centre
-   it shares most with, then each component found so far to the centre of another. Only
+   it shares most with, then each component found so far to the centre of another, then every
+   node to a few centres of each of its groups, if their bitmaps allow a link. Only
    pairs of a group that are still in different components after that are searched one by one,
-   and of these only such whose shared shingle stands so early in both orders that what follows can
-   hold the overlap a link needs. The number of rare shingles a pair shares bounds its overlap too.
+   and of these (as in the round before) only such whose shared shingle stands so early in both orders that what follows can
+   hold the overlap a link needs, and whose parity bitmaps (all shingles of a set, each flips one bit)
+   differ in no more bits than linked sets differ in shingles. The number of rare shingles a pair
+   shares bounds its overlap too.
 4. A search is a T-occurrence search (DivideSkip): the lists of the query's shingles say which
    records of a block have them; short lists are merged and counted, long ones are probed
    by binary search for the records that may still reach their bound.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +46,10 @@ PIECE_BITS = 16
 #: The broadcast bitmap of documents to search has at most 2 ** this many bits (4 MB).
 MAX_BITMAP_BITS = 25
 BLOCK_SHINGLES = 2_000_000
+#: Of longer bitmaps, which only sort out fewer pairs of texts with more than this many shingles.
+MAX_PARITY_BITS = 1 << 11
+#: Centres of each group in the round that compares bitmaps.
+CENTRES = 4
 _SET_BYTES = 6  # of each hash that are compared in a search
 
 
@@ -67,6 +74,17 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of 2 to 4 bits a shingle (at most ``MAX_PARITY_BITS``), in words; each shingle flips one bit.
+
+    Sets differ in at least as many shingles as their bitmaps differ in bits. A bitmap of
+    twice the length folds to the shorter one by exclusive or of its halves.
+    """
+    size = min(MAX_PARITY_BITS, max(256, 2 << (len(shingles) - 1).bit_length()))
+    flips = np.bincount((W.mix(shingles) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _slots(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -82,14 +100,16 @@ def _counts(packed: bytes) -> np.ndarray:
 
 def _describe(width: int):
     """A row per document, and at the end of each task its counts by sketch slot, packed in pieces."""
+    names = ["id", "digest", "n", "node", "bits", "piece", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for table in W.chunks(batches):
-            sizes, nodes = [], []
+            sizes, nodes, bits = [], [], []
             for shingles in shingle_sets(table.column("text").chunk(0), width):
                 sizes.append(len(shingles))
                 nodes.append(node_of(shingles) if len(shingles) else None)
+                bits.append(parity(shingles) if len(shingles) else None)
                 np.add.at(counts, _slots(shingles), 1)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
@@ -98,16 +118,17 @@ def _describe(width: int):
                     table.column("digest").chunk(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(nodes, pa.int64()),
+                    pa.array(bits, pa.list_(pa.int64())),
                     pa.nulls(n, pa.int32()),
                     pa.nulls(n, pa.binary()),
                 ],
-                ["id", "digest", "n", "node", "piece", "counts"],
+                names,
             )
-        none = pa.nulls(1, pa.int64())
+        none, no_bits = pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))
         for piece, own in enumerate(counts.reshape(-1, 1 << PIECE_BITS)):
             if own.any():
-                columns = [none, none, none, none, pa.array([piece], pa.int32()), pa.array([_packed(own)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "n", "node", "piece", "counts"])
+                columns = [none, none, none, none, no_bits, pa.array([piece], pa.int32()), pa.array([_packed(own)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -325,6 +346,12 @@ class _Join:
         return None if found.isEmpty() else found
 
 
+#: Number of bits in which the bitmaps of ``a`` and ``b`` differ, the longer one folded to the shorter.
+_WORDS = "least(size(a.bits), size(b.bits))"
+_WORD = "a.bits[i] ^ b.bits[i] ^ if(size(a.bits) > {0}, a.bits[i + {0}], 0L) ^ if(size(b.bits) > {0}, b.bits[i + {0}], 0L)".format(_WORDS)
+_DIFFERENT = f"aggregate(sequence(0, {_WORDS} - 1), 0, (sum, i) -> sum + bit_count({_WORD}))"
+
+
 def _best(pairs: DataFrame, by: str) -> DataFrame:
     """Of the (by, node, centre) rows, for each ``by`` the pair that occurs most (ties: the smallest)."""
     counted = pairs.groupBy(by, "node", "centre").count() if by != "node" else pairs.groupBy("node", "centre").count()
@@ -337,8 +364,8 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
     rows = keyed(docs, id_col, text_col)
     parts = parts_for(docs)
     context = docs.sparkSession.sparkContext
-    told = materialise(rows.mapInArrow(_describe(width), "id long, digest long, n long, node long, piece int, counts binary"), "shingle-sets")
-    members = told.where("piece IS NULL").drop("piece", "counts")
+    told = materialise(rows.mapInArrow(_describe(width), "id long, digest long, n long, node long, bits array<long>, piece int, counts binary"), "shingle-sets")
+    members = told.where("piece IS NULL").select("id", "digest", "n", "node")
     nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("d"), F.min("n").alias("n"))
     nodes = materialise(nodes.select("node", "d.id", "d.digest", "n"), "nodes")
     sent = rows.mapInArrow(_prefixes(width, parts, context.broadcast(_sketch(told))), "part int, keys binary, nodes binary, sizes binary, places binary")
@@ -356,9 +383,9 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
             labels = components(links, "centre", "node")
         return labels
 
-    def mixed() -> DataFrame:
-        """Groups that still hold several components, with the label of each node."""
-        own = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def mixed(rows: DataFrame = groups) -> DataFrame:
+        """``rows`` of groups that still hold several components, with the label of each node."""
+        own = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         own = materialise(own, "labelled")
         several = own.groupBy("shared").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("shared")
         return own.join(several, "shared", "left_semi")
@@ -373,15 +400,36 @@ def link(docs: DataFrame, *, id_col: str, text_col: str, width: int = WORDS) ->
     joined(join.search(join.counted(_best(pairs, "label"))))
 
     # The first shingle that two linked sets share leaves room behind it, in both, for all that they must share.
-    rest = materialise(mixed().where("place <= n - ceil(4 * n / 5)"), "mixed")
-    a, b = rest.alias("a"), rest.alias("b")
-    must = "ceil(4 * (a.n + b.n) / 9)"
-    left = a.join(b, F.col("a.shared") == F.col("b.shared")).where(
-        "a.node < b.node AND a.label != b.label AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n"
-        f" AND a.place <= a.n - {must} AND b.place <= b.n - {must}"
-    )
-    left = materialise(left.select(F.col("a.node").alias("node"), F.col("b.node").alias("centre")).distinct(), "left")
-    return members, joined(join.search(join.counted(left)))
+    rest = mixed()
+    smallest = rest.groupBy("shared").agg(F.min("n").alias("least"))
+    rest = rest.join(smallest, "shared").where("place <= n - ceil(4 * (n + greatest(least, ceil(4 * n / 5))) / 9)").drop("least", "label")
+    rest = materialise(rest, "rest")
+    bits = told.join(nodes.join(rest, "node", "left_semi"), ["node", "id", "digest"], "left_semi").groupBy("node").agg(F.first("bits").alias("bits"))
+    bits = materialise(bits, "bits")
+
+    def near(some: Callable[[DataFrame], DataFrame], order: str) -> DataFrame:
+        """Pairs of nodes of a group that may link and are in different components, with one of ``some`` rows as centre."""
+        rows = materialise(mixed(rest).join(bits, "node"), "mixed")
+        a, b = rows.alias("a"), some(rows).alias("b")
+        must = "ceil(4 * (a.n + b.n) / 9)"
+        found = a.join(b, F.col("a.shared") == F.col("b.shared")).where(
+            f"{order} AND a.label != b.label AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n"
+            f" AND a.place <= a.n - {must} AND b.place <= b.n - {must} AND {_DIFFERENT} <= a.n + b.n - 2 * {must}"
+        )
+        return found.select(F.col("a.node").alias("node"), F.col("b.node").alias("centre"))
+
+    def centre_rows(rows: DataFrame) -> DataFrame:
+        orders = [F.min_by("node", F.struct(F.xxhash64(F.lit(i), "node"), "node")) for i in range(CENTRES)]
+        chosen = rows.groupBy("shared").agg(F.array_distinct(F.array(*orders)).alias("nodes"))
+        return rows.join(chosen.select("shared", F.explode("nodes").alias("node")), ["shared", "node"], "left_semi")
+
+    def search_near(some: Callable[[DataFrame], DataFrame], order: str) -> None:
+        left = near(some, order).select(F.greatest("node", "centre").alias("node"), F.least("node", "centre").alias("centre"))
+        joined(join.search(join.counted(materialise(left.distinct(), "left"))))
+
+    search_near(centre_rows, "a.node != b.node")
+    search_near(lambda rows: rows, "a.node < b.node")
+    return members, labels
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:

@@ -11,6 +11,7 @@ from conftest_helpers import prose
 import corpus_pipeline
 from sentrace.llm import catalog, graph, neighbours, packing, quality, shingle_join, substring_dedup
 from sentrace.llm import words as W
+from sentrace.storage import materialise
 
 
 def split(text):
@@ -288,3 +289,40 @@ def test_pipeline(session, tmp_path):
     assert set(kept["n-gram Jaccard join"]) - set(kept["benchmark decontamination"]) == {123}
     last = corpus_pipeline.STAGES[-1][1](session, docs, str(tmp_path)).collect()
     assert {r["doc_id"] for r in last} == set(kept["benchmark decontamination"])
+
+
+def test_parity_bitmaps_differ_in_no_more_bits_than_sets():
+    pick = np.random.default_rng(5)
+    for n, m in [(1, 1), (60, 70), (129, 128), (250, 300), (1025, 1020), (3000, 2900)]:
+        pool = np.unique(pick.integers(0, 1 << 62, n + m, dtype=np.uint64))
+        a, b = np.sort(pick.choice(pool, n, replace=False)), np.sort(pick.choice(pool, m, replace=False))
+        x, y = shingle_join.parity(a), shingle_join.parity(b)
+        size = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+        assert np.unpackbits((x ^ y).view(np.uint8)).sum() <= len(np.setxor1d(a, b))
+        assert max(len(shingle_join.parity(a)), len(shingle_join.parity(b))) <= 2 * size
+
+
+def test_jaccard_join_does_not_pair_a_family_that_does_not_link(session, monkeypatch):
+    """60 texts, each with two changed words of its own: any two share about two thirds of their union, so none links."""
+    base = split(prose(45, 100))
+    texts = []
+    for i in range(60):
+        words = list(base)
+        words[10 + i % 40], words[55 + i % 40] = f"a{i}", f"b{i}"
+        texts.append(" ".join(words))
+    texts += copies(6, 20, 60)
+    rows = list(enumerate(texts))
+    docs = session.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = []
+
+    def recorded(df, name, **options):
+        out = materialise(df, name, **options)
+        if name == "left":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(shingle_join, "materialise", recorded)
+    got = shingle_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(map(tuple, got)) == ordered(plain_components(rows))
+    assert sum(left) <= len(rows)  # 1770 pairs of the family
